@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +30,42 @@ from graphloom.llm.common import cut
 
 CAPACITY = 2048
 GRAIN = 32
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 QUADRATIC = 1 / 2048  # cost of a piece of n tokens: n + QUADRATIC * n * n
 
 #: White space on which both the tokenizer's pre-tokeniser and Python agree; texts with the others take the plain path.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+#: The pre-tokeniser's pattern for lower-cased text below U+0100, where letters, numbers and white space can be listed.
+_LETTERS, _NUMBERS, _SPACE = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"
+_PARTS = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def _simple(text: str) -> bool:
+    """All below U+0100, without white space that only Python knows and without what may be an added token."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return "<|" not in text and not any(c in text for c in _ODD_SPACE)
+
+
 class WordEncoder:
-    """Little-endian 32-bit ids of whole texts, by the tokenizers library, with a bounded cache of words.
+    """Little-endian 32-bit ids of whole texts, by the tokenizers library, with bounded caches.
 
-    The vocabulary's pre-tokeniser drops white space and never joins across it, so a text's ids are its words' ids in order.
+    The vocabulary's pre-tokeniser splits a text into parts (letters, one number, marks) and drops white space, so a text's
+    ids are its parts' ids in order. Of a simple text the parts are found here, and each part not met before goes through the
+    library's BPE model. Other texts are split at white space, and those of their words that aren't simple either go through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str, words: int = CACHE_WORDS):
@@ -48,54 +75,69 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.words, self.now, self.old = words, {}, {}
-        self.marks = {m: self._plain([m])[0] for m in ".,!?;:"}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        now, old, left, ended = self.now, self.old, [], []
-        if len(now) > self.words:
-            self.old, self.now = now, {}
-            now, old = self.now, self.old
-        for w in words:
-            if w in now:
-                continue
-            if w in old:
-                now[w] = old[w]
-            elif w[-1] in self.marks and w[:-1].isascii() and w[:-1].isalpha():
-                ended.append(w)  # letters, then one mark: two words to the pre-tokeniser
-            else:
-                left.append(w)
-        bare = {w[:-1] for w in ended}
-        left += [w for w in bare if w not in now]
-        for w, ids in zip(left, self._plain(left), strict=True):
-            now[w] = ids
-        for w in ended:
-            now[w] = now[w[:-1]] + self.marks[w[-1]]
-
-    def __call__(self, text: str) -> bytes:
+
+    def _plain(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, parts: set[str]) -> None:
+        now, old, bpe, letters = self.now, self.old, self.model.tokenize, self.letters
+        for x in parts:
+            ids = old.get(x)
+            now[x] = array("I", [t.id for t in bpe(x.encode().decode("latin-1").translate(letters))]).tobytes() if ids is None else ids
+
+    def _rest(self, text: str) -> bytes:
         if any(c in text for c in _ODD_SPACE):
-            return self._plain([text])[0]
-        words = text.split()
-        try:
-            return b"".join(map(self.now.__getitem__, words))
-        except KeyError:
-            self._learn(set(words))
-            return b"".join(map(self.now.__getitem__, words))
+            return self._plain(text)
+        out = []
+        for word in text.split():
+            if _simple(word):
+                parts = _PARTS.findall(word.lower())
+                self._learn({x for x in parts if x not in self.now})
+                out += map(self.now.__getitem__, parts)
+            else:
+                out.append(self._plain(word))
+        return b"".join(out)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. New parts of all texts are learnt first; the older generation of the cache goes when the newer is full."""
+        if len(self.now) > self.words:
+            self.old, self.now = self.now, {}
+        split = [_PARTS.findall(text.lower()) if _simple(text) else None for text in texts]
+        self._learn(set().union(*(x for x in split if x)).difference(self.now))
+        get = self.now.__getitem__
+        return [self._rest(text) if parts is None else b"".join(map(get, parts)) for text, parts in zip(texts, split, strict=True)]
+
+
+@lru_cache(1)
+def encoder(path: str) -> WordEncoder:
+    """One for the whole worker process, so that its caches outlive a task."""
+    return WordEncoder(path)
+
+
+def _each(encode: WordEncoder, texts: list[str | None], chars: int = 1 << 20) -> Iterator[bytes]:
+    """Ids of each text, encoded in groups of about ``chars`` characters."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text or "")
+        size += len(group[-1])
+        if size >= chars:
+            yield from encode(group)
+            group, size = [], 0
+    yield from encode(group)
 
 
 def _tokenise(path: str, end_id: int, capacity: int, grain: int):
     step, grid = 4 * capacity, 4 * grain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = WordEncoder(path), array("I", [end_id]).tobytes()
+        encode, last = encoder(path), array("I", [end_id]).tobytes()
         part, numbers, full = TaskContext.get().partitionId(), {}, 0
         for batch in batches:
             out: tuple[list, ...] = tuple([] for _ in range(8))
-            for text in batch.column(1).to_pylist():
-                ids = encode(text or "") + last
+            for ids in _each(encode, batch.column(1).to_pylist()):
+                ids += last
                 n = len(ids) // 4
                 whole = n // capacity
                 rest = ids[whole * step :]
