@@ -6,6 +6,8 @@ Nothing here collects rows: the largest thing that reaches the driver is a set o
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,3 +60,17 @@ def sieve_join(rows: DataFrame, survivors: DataFrame, *keys: str, anti: bool = F
 def as_bytes(column: pa.Array) -> pa.Array:
     """The column's UTF-8 bytes, without a copy."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that their Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_graphloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="graphloom-package-")) / "graphloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(archive))  # from here on Spark's own file server hands it out
+    sc._graphloom_shipped = True

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, exact_dedup, html_extract, minhash, packing, quality, sharding, token_counts, toxicity, warc
-from graphloom.llm.common import ensure_checkpoint_dir
+from graphloom.llm.common import ensure_checkpoint_dir, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -104,11 +105,13 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: five words, similarity of 0.8."""
+    ship(spark)
     return minhash.drop_near_duplicates(docs)
 
 
@@ -118,6 +121,7 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return packing.pack(docs)
 
 

@@ -116,7 +116,7 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, n
     keep = lambda f: (c := columns[f])[c >= 0]
     sample = Rows([keep(f) for f, _ in rows])
     both = Rows([keep(a) for a, _ in pairs]), Rows([keep(b) for _, b in pairs])
-    w, b = fit(sample, y, int(telling.sum()), l2=2e-5, pairs=both, pair_weight=pair_weight)
+    w, b = fit(sample, y, int(telling.sum()), l2=3e-6, steps=250, pairs=both, pair_weight=pair_weight)
     weights = np.zeros(width)
     weights[telling] = w
     return Model(weights, float(b))
