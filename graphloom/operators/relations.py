@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def named_edges(g, *kinds: str) -> DataFrame:
-    """Edges of some kinds with source and target names, kinds and paths. The two symbol joins go by id."""
-    edges = g.edges.filter(F.col("kind").isin(*kinds)).withColumnRenamed("kind", "edge_kind")
+def named_edges(g, *kinds: str, edges: DataFrame | None = None) -> DataFrame:
+    """Edges of some kinds with source and target names, kinds and paths. The two symbol joins go by id.
+
+    ``edges``: those edges, narrowed before the joins.
+    """
+    edges = g.edges.filter(F.col("kind").isin(*kinds)) if edges is None else edges
+    edges = edges.withColumnRenamed("kind", "edge_kind")
     files = g.files.select(F.col("id").alias("file"), "path", "repository_id")
 
     def side(p: str) -> DataFrame:
@@ -22,22 +26,27 @@ def named_edges(g, *kinds: str) -> DataFrame:
     return edges.join(side("source"), F.col("source_symbol_id") == F.col("source_id")).join(side("target"), F.col("target_symbol_id") == F.col("target_id"), "left")
 
 
-def last_segment(c: Column) -> Column:
-    """What follows the last ``::`` or ``.``."""
-    return F.regexp_extract(c, r"([^.:]*)$", 1)
+def edges_at(g, kinds: tuple[str, ...], symbols: DataFrame, column: str) -> DataFrame:
+    """Edges of some kinds with a symbol of ``symbols`` at one end. The semi-join goes below the edges' aggregation."""
+    return g.edges.filter(F.col("kind").isin(*kinds)).join(symbols.select(F.col("id").alias("at_id")), F.col(column) == F.col("at_id"), "left_semi")
+
 
+def edges_to_name(g, name: str, kinds: tuple[str, ...]) -> DataFrame:
+    """Edges whose resolved or unresolved target a name stands for, found before any names are joined."""
+    resolved = edges_at(g, kinds, g.symbols.filter(symbol_has(name)), "target_symbol_id")
+    text = F.col("unresolved_target") == name
+    if "::" not in name:  # suffix tests on lower case, as the pattern match ignores ASCII case
+        text = text | F.lower("unresolved_target").endswith("::" + name.lower()) | F.lower("unresolved_target").endswith("." + name.lower())
+    return resolved.unionByName(g.edges.filter(F.col("kind").isin(*kinds) & F.col("target_symbol_id").isNull() & text))
 
-def names_target(name: str) -> Column:
-    qualified = (F.col("target_qname") == name) | (F.col("unresolved_target") == name)
-    if "::" in name:
-        return F.coalesce(qualified, F.lit(False))
-    # Suffix tests, as the pattern match ignores ASCII case.
-    tail = F.lower("unresolved_target")
-    return F.coalesce(qualified, F.lit(False)) | F.coalesce(F.col("target_name") == name, F.lit(False)) | F.coalesce(tail.endswith("::" + name.lower()) | tail.endswith("." + name.lower()), F.lit(False))
 
+def symbol_has(name: str) -> Column:
+    return (F.col("qualified_name") == name) if "::" in name else (F.col("name") == name) | (F.col("qualified_name") == name)
 
-def names_source(name: str) -> Column:
-    return (F.col("source_qname") == name) if "::" in name else (F.col("source_name") == name) | (F.col("source_qname") == name)
+
+def last_segment(c: Column) -> Column:
+    """What follows the last ``::`` or ``.``."""
+    return F.regexp_extract(c, r"([^.:]*)$", 1)
 
 
 def target_label() -> Column:
@@ -46,13 +55,14 @@ def target_label() -> Column:
 
 def sources_of(g, name: str, *kinds: str) -> DataFrame:
     """Distinct sources of edges to a name: callers, referencers, decorated symbols, tests."""
-    hit = named_edges(g, *kinds).filter(names_target(name))
+    hit = named_edges(g, edges=edges_to_name(g, name, kinds))
     return hit.select("source_qname", "source_kind", "source_path", "confidence").distinct()
 
 
 def targets_of(g, name: str, *kinds: str, distinct: bool = False) -> DataFrame:
     """Targets of edges from a name, one row an edge unless ``distinct``: callees, types, decorators, dependencies."""
-    out = named_edges(g, *kinds).filter(names_source(name)).select(target_label().alias("target"), "target_kind", "target_path", "confidence")
+    edges = edges_at(g, kinds, g.symbols.filter(symbol_has(name)), "source_symbol_id")
+    out = named_edges(g, edges=edges).select(target_label().alias("target"), "target_kind", "target_path", "confidence")
     return out.distinct() if distinct else out
 
 
@@ -64,13 +74,15 @@ def caller_counts(g, kind: str = "Calls") -> DataFrame:
 
 def imports_of_file(g, path: str) -> DataFrame:
     """Imports of any symbol of a file, not distinct."""
-    hit = named_edges(g, "Imports").filter(F.col("source_path") == path)
+    home = g.symbols.join(g.files.filter(F.col("path") == path).select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    hit = named_edges(g, edges=edges_at(g, ("Imports",), home, "source_symbol_id"))
     return hit.select("source_qname", target_label().alias("target"), "target_path")
 
 
 def imported_by(g, path: str) -> DataFrame:
     """Distinct importers of a file's module."""
-    hit = named_edges(g, "Imports").filter((F.col("target_path") == path) & (F.col("target_kind") == "Module"))
+    home = g.symbols.filter("kind = 'Module'").join(g.files.filter(F.col("path") == path).select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    hit = named_edges(g, edges=edges_at(g, ("Imports",), home, "target_symbol_id"))
     return hit.select("source_qname", "source_path").distinct()
 
 
