@@ -59,6 +59,21 @@ def _simple(text: str) -> bool:
     return "<|" not in text and not any(c in text for c in _ODD_SPACE)
 
 
+class _Parts(dict):
+    """Ids of parts; a part that isn't there is taken from the older generation, or encoded."""
+
+    def __init__(self, bpe, letters: dict[int, str], old: dict):
+        super().__init__()
+        self.bpe, self.letters, self.old = bpe, letters, old
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = array("I", [t.id for t in self.bpe(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self[part] = ids
+        return ids
+
+
 class WordEncoder:
     """Little-endian 32-bit ids of whole texts, by the tokenizers library, with bounded caches.
 
@@ -76,38 +91,29 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.words, self.now, self.old = words, {}, {}
+        self.words, self.now = words, _Parts(self.model.tokenize, self.letters, {})
 
     def _plain(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, parts: set[str]) -> None:
-        now, old, bpe, letters = self.now, self.old, self.model.tokenize, self.letters
-        for x in parts:
-            ids = old.get(x)
-            now[x] = array("I", [t.id for t in bpe(x.encode().decode("latin-1").translate(letters))]).tobytes() if ids is None else ids
-
     def _rest(self, text: str) -> bytes:
         if any(c in text for c in _ODD_SPACE):
             return self._plain(text)
         out = []
         for word in text.split():
             if _simple(word):
-                parts = _PARTS.findall(word.lower())
-                self._learn({x for x in parts if x not in self.now})
-                out += map(self.now.__getitem__, parts)
+                out += map(self.now.__getitem__, _PARTS.findall(word.lower()))
             else:
                 out.append(self._plain(word))
         return b"".join(out)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. New parts of all texts are learnt first; the older generation of the cache goes when the newer is full."""
+        """The ids of each text. The older generation of the cache goes when the newer is full."""
         if len(self.now) > self.words:
-            self.old, self.now = self.now, {}
-        split = [_PARTS.findall(text.lower()) if _simple(text) else None for text in texts]
-        self._learn(set().union(*(x for x in split if x)).difference(self.now))
-        get = self.now.__getitem__
-        return [self._rest(text) if parts is None else b"".join(map(get, parts)) for text, parts in zip(texts, split, strict=True)]
+            self.now.old = {}
+            self.now = _Parts(self.model.tokenize, self.letters, self.now)
+        get, find = self.now.__getitem__, _PARTS.findall
+        return [b"".join(map(get, find(text.lower()))) if _simple(text) else self._rest(text) for text in texts]
 
 
 @lru_cache(1)
