@@ -180,11 +180,12 @@ def _blocks(stars: DataFrame, block: int) -> DataFrame:
 
     Members of the centre's component can be linked among themselves already, so pairs of two blocks of them are left out.
     """
-    counts = cut(stars.groupBy("star").agg(F.sum(F.col("odd").cast("int")).alias("n_odd"), F.sum(1 - F.col("odd").cast("int")).alias("n_own")))
+    # One row a star that isn't of one component yet; partial sums, so a large star is a record a task.
+    counts = stars.groupBy("star").agg(F.sum(F.col("odd").cast("int")).alias("n_odd"), F.sum(1 - F.col("odd").cast("int")).alias("n_own"))
+    counts = cut(counts.filter("n_odd > 0").withColumnRenamed("star", "s"))
     at = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
-    dealt = stars.join(counts.withColumnRenamed("star", "s"), F.col("star") == F.col("s")).select(
-        "star", "rep", "component", "odd", at("n_odd").alias("p"), at("n_own").alias("q")
-    )
+    # By merge, as only then are large partitions split; a broadcast join that is chosen after the shuffle leaves them whole.
+    dealt = stars.join(counts.hint("merge"), F.col("star") == F.col("s")).select("star", "rep", "component", "odd", at("n_odd").alias("p"), at("n_own").alias("q"))
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("odd"), F.col("p")).otherwise(F.col("q"))).cast("int")
     # Odd members are blocks 0 .. p-1, the others p .. p+q-1; an odd block meets all blocks, another only the odd ones.
     dealt = dealt.withColumn("own", F.when(F.col("odd"), own).otherwise(F.col("p") + own))
@@ -268,10 +269,8 @@ def near_duplicates(
     # Stars whose members are still apart.
     named = stars.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("star", "rep", F.coalesce("component", "rep").alias("component"))
     centre = labels.select(F.col("node").alias("star"), F.col("component").alias("own"))
-    named = cut(named.join(centre, "star", "left").withColumn("odd", F.col("component") != F.coalesce("own", "star")).drop("own"))
-    apart = cut(named.filter("odd").select(F.col("star").alias("s")).distinct())
-    rest = named.join(apart, F.col("star") == F.col("s"), "left_semi")
-    more = cut(_rest_links(_blocks(rest, block_docs), texts, shingle, threshold))
+    named = cut(named.join(centre.hint("merge"), "star", "left").withColumn("odd", F.col("component") != F.coalesce("own", "star")).drop("own"))
+    more = cut(_rest_links(_blocks(named, block_docs), texts, shingle, threshold))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component_id"))
