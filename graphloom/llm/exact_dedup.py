@@ -76,7 +76,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that stay, with all their columns. Only rows of duplicated texts are ever shuffled with their text."""
     groups = duplicate_groups(docs, id_col, text_col)
     digest = F.sha2(text_or_empty(text_col), 256)
-    losers = docs.select(F.col(id_col).alias("__lost_id"), digest.alias("text_sha256")).join(groups, "text_sha256")
+    losers = docs.select(F.col(id_col).alias("__lost_id"), digest.alias("text_sha256")).join(groups.hint("merge"), "text_sha256")
+    # By merge, as only then are large partitions split; a broadcast join that is chosen after the shuffle leaves them whole.
     losers = losers.filter(~F.col("__lost_id").eqNullSafe(F.col("keep_id")))
     losers = cut(losers.select("__lost_id", F.col("text_sha256").alias("__lost_sha")).distinct())
     rows = docs.withColumn("__row_sha", digest)
