@@ -78,8 +78,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     digest = F.sha2(text_or_empty(text_col), 256)
     losers = docs.select(F.col(id_col).alias("__lost_id"), digest.alias("text_sha256")).join(groups.hint("merge"), "text_sha256")
     # By merge, as only then are large partitions split; a broadcast join that is chosen after the shuffle leaves them whole.
+    # Repeated rows stay in it: an aggregation above would hold a text's rows together.
     losers = losers.filter(~F.col("__lost_id").eqNullSafe(F.col("keep_id")))
-    losers = cut(losers.select("__lost_id", F.col("text_sha256").alias("__lost_sha")).distinct())
+    losers = cut(losers.select("__lost_id", F.col("text_sha256").alias("__lost_sha")))
     rows = docs.withColumn("__row_sha", digest)
     hit = F.col(id_col).eqNullSafe(F.col("__lost_id")) & (F.col("__row_sha") == F.col("__lost_sha"))
     return rows.join(losers, hit, "left_anti").drop("__row_sha")
