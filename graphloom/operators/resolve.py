@@ -54,7 +54,7 @@ def resolve_edges(g) -> DataFrame:
     unique = F.when(F.col("kind").isin(*NOT_MODULE), F.when(F.col("n_plain") == 1, F.col("id_plain"))).otherwise(F.when(F.col("n_all") == 1, F.col("id_all")))
     edges = edges.withColumn("unique_id", F.when(may, unique))
     stage = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("dotted_id").isNotNull(), "dotted").when(F.col("unique_id").isNotNull(), "unique").otherwise("none")
-    return edges.select("source_symbol_id", "kind", "unresolved_target", F.coalesce("exact_id", "dotted_id", "unique_id").alias("resolved_id"), stage.alias("stage"), "repository_id")
+    return edges.select("source_symbol_id", "kind", "unresolved_target", F.coalesce("exact_id", "dotted_id", "unique_id").alias("resolved_id"), stage.alias("stage"), "repository_id", *[c for c in ("confidence", "ordering") if c in edges.columns])
 
 
 def resolve_external(edges: DataFrame, owners: DataFrame, dependencies: DataFrame) -> DataFrame:

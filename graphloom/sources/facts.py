@@ -6,6 +6,7 @@ each file's language; a file that an adapter can't read gives a ``diagnostic`` f
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -34,10 +35,15 @@ class Fact:
 Adapter = Callable[[str, str], Iterable[Fact]]
 
 
-def module_of(path: str) -> str:
-    """``src/a/b.py`` as ``src::a::b``."""
+def module_of(path: str, separator: str = "::") -> str:
+    """``src/a/b.rs`` as ``src::a::b``; with ``.`` for languages whose modules are written with dots."""
     stem = path.rsplit(".", 1)[0] if "." in path.rsplit("/", 1)[-1] else path
-    return stem.strip("/").replace("/", "::")
+    return stem.strip("/").replace("/", separator)
+
+
+def last_part(name: str) -> str:
+    """What follows the last ``::`` or ``.``."""
+    return re.split(r"::|\.", name)[-1]
 
 
 def adapters() -> dict[str, Adapter]:
@@ -49,6 +55,26 @@ def adapters() -> dict[str, Adapter]:
     }
 
 
+def by_file_name(path: str) -> Adapter | None:
+    """The adapter of a build file, which goes by its name and not by its language."""
+    from graphloom.sources import manifests
+
+    name = path.rsplit("/", 1)[-1]
+    if name == "Cargo.lock":
+        return manifests.cargo
+    if name in ("build.gradle", "build.gradle.kts"):
+        return manifests.gradle
+    if name == "pom.xml":
+        return manifests.pom
+    if name == "Package.swift":
+        return manifests.swift_package
+    if name == "paket.dependencies":
+        return lambda path, text: (Fact("dependency", k, path, "paket", v or None) for k, v in manifests.paket(text).items())
+    if name.endswith(".sln"):
+        return lambda path, text: (Fact("package", x, path, "member") for x in manifests.solution(text))
+    return manifests.fsproj if name.endswith(".fsproj") else None
+
+
 def extract(files: DataFrame, known: dict[str, Adapter] | None = None) -> DataFrame:
     """Facts of all files. ``files``: path, language, content (binary or string)."""
     schema = pa.schema([("path", pa.string()), ("fact", pa.string()), ("name", pa.string()), ("qualified_name", pa.string()), ("kind", pa.string()), ("target", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("ordering", pa.int64()), ("detail", pa.map_(pa.string(), pa.string()))])
@@ -58,12 +84,12 @@ def extract(files: DataFrame, known: dict[str, Adapter] | None = None) -> DataFr
         for batch in batches:
             rows: list[tuple] = []
             for path, language, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                adapter = by_language.get(language)
+                adapter = by_file_name(path) or by_language.get(language)
                 if adapter is None or content is None:
                     continue
                 try:
                     facts = list(adapter(path, content.decode("utf-8")))
-                except (SyntaxError, ValueError, RecursionError) as e:  # UnicodeDecodeError is a ValueError
+                except (SyntaxError, ValueError, RecursionError, LookupError, TypeError, AttributeError) as e:  # UnicodeDecodeError is a ValueError; the others: fields of unexpected form
                     line = getattr(e, "lineno", None) or 0
                     facts = [Fact("diagnostic", type(e).__name__, kind=language, target=str(e)[:500], start_line=line, end_line=line)]
                 rows += [(path, f.fact, f.name, f.qualified_name, f.kind, f.target, f.start_line, f.end_line, f.ordering, list(f.detail.items())) for f in facts]

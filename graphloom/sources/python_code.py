@@ -28,7 +28,7 @@ def dotted(node: ast.AST) -> str | None:
 
 class _Walk(ast.NodeVisitor):
     def __init__(self, path: str):
-        self.path, self.module, self.out = path, module_of(path), []
+        self.path, self.module, self.out = path, module_of(path, "."), []
         self.names: list[str] = []  # enclosing classes and functions
         self.classes: list[bool] = []
         self.calls: dict[str, int] = {}
@@ -64,7 +64,7 @@ class _Walk(ast.NodeVisitor):
 
     def visit_Module(self, node: ast.Module) -> None:
         lines = max((getattr(x, "end_lineno", 1) or 1 for x in node.body), default=1)
-        self.out.append(Fact("symbol", self.module.rsplit("::", 1)[-1], self.module, "Module", None, 1, lines))
+        self.out.append(Fact("symbol", self.module.rsplit(".", 1)[-1], self.module, "Module", None, 1, lines))
         for x in node.body:
             if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
                 self.top.add(x.name)
@@ -80,7 +80,7 @@ class _Walk(ast.NodeVisitor):
     def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
         base = node.module or ""
         if node.level:
-            parts = self.module.split("::")[: -node.level]
+            parts = self.module.split(".")[: -node.level]
             base = ".".join([*parts, *([base] if base else [])])
         for a in node.names:
             self.add("import", a.asname or a.name, node, qualified_name=self.module, target=f"{base}.{a.name}" if base else a.name)

@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from graphloom.sources.facts import Fact, module_of
+from graphloom.sources.facts import Fact, last_part, module_of
 
 VERBS = "get|post|put|delete|patch|head|options"
 
@@ -28,7 +28,7 @@ LANGUAGES = {
     "rust": Language([(r"\bmod\s+(\w+)", "Module"), (r"\bstruct\s+(\w+)", "Struct"), (r"\benum\s+(\w+)", "Enum"), (r"\btrait\s+(\w+)", "Trait"), (r"\bimpl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(\w+)", "impl"), (r"\bfn\s+(\w+)", "Function")], r"^\s*(?:pub\s+)?use\s+([^;]+);"),
     "kotlin": Language([(r"\benum\s+class\s+(\w+)", "Enum"), (r"\b(?<!enum )class\s+(\w+)", "Class"), (r"\binterface\s+(\w+)", "Interface"), (r"\bobject\s+(\w+)", "Class"), (r"\bfun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)", "Function"), (r"\b(?:val|var)\s+(\w+)", "Unknown"), (r"\btypealias\s+(\w+)", "TypeAlias")], r"^\s*import\s+([\w.*]+)"),
     "swift": Language([(r"\bclass\s+(?!func|var)(\w+)", "Class"), (r"\bstruct\s+(\w+)", "Struct"), (r"\benum\s+(\w+)", "Enum"), (r"\bprotocol\s+(\w+)", "Interface"), (r"\bextension\s+(\w+)", "impl"), (r"\bfunc\s+(\w+)", "Function"), (r"\btypealias\s+(\w+)", "TypeAlias")], r"^\s*import\s+(?:\w+\s+)?([\w.]+)"),
-    "fsharp": Language([(r"^\s*module\s+([\w.]+)", "Module"), (r"^\s*type\s+(\w+)", "Class"), (r"^\s*let\s+(?:rec\s+|inline\s+|private\s+)*(\w+)", "Function"), (r"^\s*(?:static\s+)?member\s+(?:\w+\.)?(\w+)", "Method")], r"^\s*open\s+([\w.]+)", True, r"//[^\n]*|\(\*.*?\*\)"),
+    "fsharp": Language([(r"^\s*module\s+(?:rec\s+)?([\w.]+)\s*=", "Module"), (r"^\s*type\s+(\w+)", "Class"), (r"^\s*let\s+(?:rec\s+|inline\s+|private\s+)*(\w+)", "Function"), (r"^\s*(?:static\s+)?member\s+(?:\w+\.)?(\w+)", "Method")], r"^\s*open\s+([\w.]+)", True, r"//[^\n]*|\(\*.*?\*\)"),
     "mojo": Language([(r"^\s*struct\s+(\w+)", "Struct"), (r"^\s*class\s+(\w+)", "Class"), (r"^\s*trait\s+(\w+)", "Interface"), (r"^\s*(?:async\s+)?(?:fn|def)\s+(\w+)", "Function")], r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", True, r"#[^\n]*"),
 }
 _STRING = re.compile(r'"""(?:.*?)"""|"(?:\\.|[^"\\\n])*"', re.S)
@@ -72,11 +72,24 @@ def _end(lines: list[str], at: int, column: int, indented: bool) -> int:
     return len(lines) - 1
 
 
+def _module(language: str, path: str, text: str) -> str:
+    """Kotlin: the package header, else the path. F#: the declared module or namespace, else the file's name. Others: the path."""
+    if language == "rust":
+        return module_of(path.removesuffix("/mod.rs"))
+    if language == "kotlin" and (m := re.search(r"^\s*package\s+([\w.]+)", text, re.M)):
+        return m[1]
+    if language == "fsharp":
+        m = re.search(r"^(?:module|namespace)\s+(?:rec\s+)?([\w.]+)\s*$", text, re.M)
+        return m[1] if m else module_of(path, ".").rsplit(".", 1)[-1]
+    return module_of(path, ".")
+
+
 def extract(language: str, path: str, text: str) -> Iterator[Fact]:
-    spec, module = LANGUAGES[language], module_of(path)
+    spec = LANGUAGES[language]
     plain = blank(text, spec.comment)
+    module, within = _module(language, path, plain), "." if language == "fsharp" else "::"
     lines, raw = plain.split("\n"), text.split("\n")
-    yield Fact("symbol", module.rsplit("::", 1)[-1], module, "Module", None, 1, max(1, len(raw)))
+    yield Fact("symbol", last_part(module), module, "Module", None, 1, max(1, len(raw)))
     found: list[tuple[int, int, str, str]] = []
     for pattern, kind in spec.declarations:
         for k, line in enumerate(lines):
@@ -94,7 +107,8 @@ def extract(language: str, path: str, text: str) -> Iterator[Fact]:
             continue  # a local value
         if kind == "Function" and in_type:
             kind = "Method"
-        qualified = "::".join([module, *dict.fromkeys(n for _, n, _ in open_), name]) if kind != "Method" else f"{'::'.join([module, *dict.fromkeys(n for _, n, _ in open_)])}.{name}"
+        around = within.join([module, *dict.fromkeys(n for _, n, _ in open_)])
+        qualified = f"{around}.{name}" if kind == "Method" else f"{around}{within}{name}"
         open_.append((last, name, kind))
         if kind != "impl":
             scopes.append((first, last, qualified, kind))

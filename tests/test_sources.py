@@ -56,10 +56,10 @@ def add(a, b, c): ...
 
 def test_python():
     rows = list(python_code.extract("src/m.py", PYTHON))
-    assert ("src::m::TestA.run", "Method") in have(rows, "symbol", "qualified_name", "kind") and ("src::m::show.inner", "Function") in have(rows, "symbol", "qualified_name", "kind")
+    assert ("src.m::TestA.run", "Method") in have(rows, "symbol", "qualified_name", "kind") and ("src.m::show.inner", "Function") in have(rows, "symbol", "qualified_name", "kind")
     assert have(rows, "import", "target")[:2] == [("src.base.Thing",), ("os.path",)]
     calls = {f.target: f.detail["confidence"] for f in rows if f.fact == "call"}
-    assert calls["src::m::TestA.run"] == "1.0" and calls["TestA.other"] == "0.8" and calls["src::m::helper"] == "1.0" and calls["p.join"] == "0.5" and calls["list"] == "0.7"
+    assert calls["src.m::TestA.run"] == "1.0" and calls["TestA.other"] == "0.8" and calls["src.m::helper"] == "1.0" and calls["p.join"] == "0.5" and calls["list"] == "0.7"
     assert [f.detail["placeholders"] for f in rows if f.fact == "call" and "placeholders" in f.detail] == ["b, c"]
     assert sorted(have(rows, "route", "kind", "target")) == [("GET", "/users/{id}"), ("POST", "/x"), ("PUT", "/x")]
     assert [(n, d["required"]) for n, d in have(rows, "field", "name", "detail")] == [("name", "true"), ("age", "true"), ("nick", "false")]
@@ -91,6 +91,15 @@ def test_kotlin_swift_fsharp_mojo():
     assert dict(have(m, "symbol", "name", "kind"))["go"] == "Method" and have(m, "test", "name") == [("test_x",)] and have(m, "import", "target") == [("a.b",)]
 
 
+def test_qualified_names_by_language():
+    first = lambda language, path, text: have(list(scanners.extract(language, path, text)), "symbol", "qualified_name")
+    assert first("rust", "src/a/mod.rs", "fn f() {}\n") == [("src::a",), ("src::a::f",)]
+    assert first("kotlin", "x/App.kt", "package com.example\nclass App {\n  fun run() {}\n}\n")[1:] == [("com.example::App",), ("com.example::App.run",)]
+    assert first("swift", "Sources/App.swift", "class App {\n  func run() {}\n}\n") == [("Sources.App",), ("Sources.App::App",), ("Sources.App::App.run",)]
+    assert first("fsharp", "L.fs", "module Lib.Core\n\nlet run () = 1\n") == [("Lib.Core",), ("Lib.Core.run",)]
+    assert first("mojo", "main.mojo", "fn run():\n    pass\n") == [("main",), ("main::run",)]
+
+
 def test_markup():
     assert markup.sections("lead\n# A\nbody\n#no\n## B ##\n") == [(None, "lead", 1, 1), ("A", "body\n#no", 2, 4), ("B", "", 5, 6)]
     book = '{"cells": [{"cell_type": "code", "source": ["%magic\\n", "def f(): pass\\n"]}, {"cell_type": "markdown", "source": "# T\\nx"}, {"cell_type": "code", "source": "g()"}]}'
@@ -139,7 +148,7 @@ def test_repository_end_to_end(spark, tmp_path):
     assert sorted(r.path for r in files.select("path").collect()) == ["README.md", "src/a.py", "src/bad.py", "src/broken.py"]
     rows = facts.extract(files)
     assert sorted(r.path for r in rows.filter("fact = 'diagnostic'").collect()) == ["src/bad.py", "src/broken.py"]
-    assert {(r.source, r.unresolved_target, r.kind) for r in facts.edges_of(rows).collect()} == {("src::a", "b.go", "Imports"), ("src::a::main", "go", "Calls")}
+    assert {(r.source, r.unresolved_target, r.kind) for r in facts.edges_of(rows).collect()} == {("src.a", "b.go", "Imports"), ("src.a::main", "go", "Calls")}
     assert facts.symbols_of(rows).filter("kind = 'Function'").count() == 1 and rows.filter("kind = 'Markdown'").count() == 1
     commits, changed = repo.git_history(spark, str(root))
     assert [(r.message, r.author_email) for r in commits.collect()] == [("one | two", "a@x")] and [r["item"] for r in changed.collect()] == ["src/a.py"]
