@@ -51,7 +51,7 @@ def index(spark: SparkSession, root: str, store: FactStore, ignored: list[str] |
     ``force`` parses all files again. ``history`` reads ``git log`` of a local clone (its last ``limit`` commits, 0: all). An
     empty folder gives empty tables; a file that can't be parsed gives a diagnostic and no symbols.
     """
-    run, began = store.begin(), _now()
+    run, began, root = store.begin(), _now(), root.rstrip("/")
     repo_id = key(F.lit(root))
     run.write("repositories", spark.range(1).select(repo_id.alias("id"), F.lit(root).alias("root_path"), F.lit("git").alias("vcs_type")))
     found = repo.discover(spark, root, ignored)

@@ -7,7 +7,8 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Sections in the order in which they are tried. The first always goes in; the edges go in all at once or not at all.
 SECTIONS = ("target", "target_docs", "target_tests", "edges", "symbols", "docs", "tests")
@@ -38,9 +39,14 @@ def fit(items: list[tuple[int, int]], budget: int | None) -> list[bool]:
 def pack(items: DataFrame, budget: int | None) -> DataFrame:
     """Items that fit, for all targets at once. ``items``: target, section (number), position, item, tokens.
 
-    Rows of a target meet in one task: they are its neighbourhood, some hundreds of narrow rows. Rows are cut per target by
-    the budget itself: an item has a token at least.
+    Without a budget all go in. With one, a section ends at its first item that doesn't fit, and an item has a token at least, so
+    only the first ``budget + 1`` of a section can matter (of the edges, too: more of them don't fit at all). A hub's other
+    items are left behind before the rows of a target meet in one task.
     """
+    if budget is None:
+        return items.select("target", "section", "position", "item", "tokens")
+    order = Window.partitionBy("target", "section").orderBy("position", "item")
+    items = items.withColumn("tokens", F.greatest("tokens", F.lit(1))).withColumn("__rank", F.row_number().over(order)).filter((F.col("section") == 0) | (F.col("__rank") <= budget + 1))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("section", "ascending"), ("position", "ascending"), ("item", "ascending")])

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,20 +39,94 @@ def ignore_pattern(lines: list[str]) -> str | None:
     return "|".join(out) or None
 
 
+def skipped_by_reader(path: str, size: int) -> bool:
+    """Spark's file readers leave out empty files, and names of files or folders that begin with ``_`` or ``.``."""
+    return size == 0 or any(x.startswith(".") or (x.startswith("_") and "=" not in x) or x.endswith("._COPYING_") for x in path.split("/"))
+
+
+def _listing(spark: SparkSession, root: str) -> Iterator[tuple[str, int]]:
+    """Relative path and size of every file but those in ``.git``. Symbolic links are not followed."""
+    if local := _local(root):
+        for folder, names, files in os.walk(local):
+            rel = os.path.relpath(folder, local).replace(os.sep, "/")
+            names[:] = [n for n in names if not (rel == "." and n == ".git")]
+            for f in files:
+                if os.path.isfile(full := os.path.join(folder, f)):
+                    yield f if rel == "." else f"{rel}/{f}", os.path.getsize(full)
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    todo = [("", path)]
+    while todo:
+        above, folder = todo.pop()
+        for x in fs.listStatus(folder):
+            rel = f"{above}{x.getPath().getName()}"
+            if x.isDirectory():
+                todo += [] if rel == ".git" else [(f"{rel}/", x.getPath())]
+            else:
+                yield rel, x.getLen()
+
+
+def _local(root: str) -> str | None:
+    """The plain path of a root that lies in a local or mounted file system."""
+    return re.sub(r"^file:/*", "/", root) if re.match(r"^(file:|/)", root) else None
+
+
+def _left_out(spark: SparkSession, root: str) -> DataFrame:
+    """``path, content`` of the files that Spark's readers skip. Under a plain path the executors open them; in another store the driver
+    reads them one by one through Hadoop's file system, as no reader of Spark returns such names."""
+    names = [p for p, n in _listing(spark, root) if skipped_by_reader(p, n)]
+    schema = "path string, content binary"
+    if not names:
+        return spark.createDataFrame([], schema)
+    if local := _local(root):
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path in batch.column(0).to_pylist():  # a batch a file: contents may be large
+                    with open(f"{local.rstrip('/')}/{path}", "rb") as f:
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], names=["path", "content"])
+
+        return spark.createDataFrame([(n,) for n in names], "path string").mapInArrow(read, schema)
+    jvm, base = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    for n in names:
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(base, f"./{n}"))
+        rows.append((n, bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+        stream.close()
+    return spark.createDataFrame(rows, schema)
+
+
 def discover(spark: SparkSession, root: str, ignored: list[str] | None = None) -> DataFrame:
-    """``path`` (relative), ``language, content_hash, line_count, content`` of all files but ignored ones and ``.git``.
+    """``path`` (relative), ``language, content_hash, line_count, content`` of all files but ignored ones and those in ``.git``.
 
-    The folder can be on any store that Spark reads; listing and reading are distributed.
+    Hidden and empty files count. The folder can be on any store that Spark reads; most files are listed and read by Spark, the
+    others (see ``skipped_by_reader``) are listed by the driver.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split(":", 1)[-1].lstrip("/")) + "/", "")
-    files = files.withColumn("path", rel).filter(~F.col("path").rlike(r"^\.git/"))
+    files = files.select(rel.alias("path"), "content").unionByName(_left_out(spark, root)).filter(~F.col("path").rlike(r"^\.git/"))
     if pattern := ignore_pattern(ignored or []):
         files = files.filter(~F.col("path").rlike(pattern))
     text = F.col("content").cast("string")
     return files.select("path", T.language(F.col("path")).alias("language"), F.sha2("content", 256).alias("content_hash"), T.line_count(text).alias("line_count"), "content")
 
 
+def read_file(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """``content`` of one file, whatever its name."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(jvm.org.apache.hadoop.fs.Path(root), f"./{path}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return spark.createDataFrame([], "content binary")
+    stream = fs.open(at)
+    try:
+        return spark.createDataFrame([(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)),)], "content binary")
+    finally:
+        stream.close()
+
+
 def parse_log(log: str) -> list[tuple[str, str, str, str, str, list[str]]]:
     """Commits of ``git log --name-only`` whose headers begin with a record separator and have unit separators."""
     out = []

@@ -139,13 +139,18 @@ def test_repository_end_to_end(spark, tmp_path):
     (root / "src/bad.py").write_bytes(b"\xff\xfe\x00")
     (root / "build/c.py").write_text("x = 1\n")
     (root / "README.md").write_text("# Title\ntext\n")
+    (root / ".github").mkdir()
+    (root / ".github/x.yml").write_text("a: 1\n")
+    (root / "src/__init__.py").write_text("VALUE = 1\n")
+    (root / "src/empty.py").write_text("")
     git = lambda *a: subprocess.run(["git", "-c", "user.name=A", "-c", "user.email=a@x", "-C", str(root), *a], check=True, capture_output=True)
     git("init", "-q")
     git("add", "src/a.py")
     git("commit", "-qm", "one | two")
     assert repo.repo_root(root / "src") == root.resolve()
     files = repo.discover(spark, str(root), ["build/", "*.tmp"])
-    assert sorted(r.path for r in files.select("path").collect()) == ["README.md", "src/a.py", "src/bad.py", "src/broken.py"]
+    assert sorted(r.path for r in files.select("path").collect()) == [".github/x.yml", "README.md", "src/__init__.py", "src/a.py", "src/bad.py", "src/broken.py", "src/empty.py"]
+    assert [tuple(r) for r in files.filter("path = 'src/empty.py'").select("line_count", "language").collect()] == [(0, "python")]
     rows = facts.extract(files)
     assert sorted(r.path for r in rows.filter("fact = 'diagnostic'").collect()) == ["src/bad.py", "src/broken.py"]
     assert {(r.source, r.unresolved_target, r.kind) for r in facts.edges_of(rows).collect()} == {("src.a", "b.go", "Imports"), ("src.a::main", "go", "Calls")}
