@@ -52,15 +52,28 @@ def risk(score: Column) -> Column:
     return F.when(score >= 90, "Low").when(score >= 60, "Medium").otherwise("High")
 
 
-def contained(blocks: DataFrame, functions: DataFrame, group: str) -> DataFrame:
-    """Blocks (start, end) that lie inside some function interval (lo, hi) of the same group; existential, so a semi-join."""
-    f = functions.select(F.col(group).alias("g"), "lo", "hi")
-    return blocks.join(f, (F.col(group) == F.col("g")) & (F.col("start") >= F.col("lo")) & (F.col("end") <= F.col("hi")), "left_semi")
+def contained(blocks: DataFrame, functions: DataFrame, group: str, width: int = 1024) -> DataFrame:
+    """Blocks (start, end) that lie inside some function interval (lo, hi) of the same group; each block row at most once.
 
-
-def safety_profile(blocks: DataFrame, functions: DataFrame, ffi: DataFrame, group: str) -> DataFrame:
+    A block lies inside one if the greatest ``hi`` of all intervals that begin no later than it is not before its end: a running
+    maximum instead of a join, so no pairs are made. It is taken within stretches of ``width`` and over the stretches
+    before, so that a large group is dealt over many tasks. Rows with a null among these columns match nothing.
+    """
+    cell = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long").alias("__cell")
+    f = functions.dropna(subset=[group, "lo", "hi"]).select(F.col(group).alias("__g"), cell("lo"), F.col("lo").alias("__at"), F.lit(0).alias("__block"), F.col("hi").alias("__hi"))
+    b = blocks.dropna(subset=[group, "start", "end"])
+    b = b.select(F.col(group).alias("__g"), cell("start"), F.col("start").alias("__at"), F.lit(1).alias("__block"), F.lit(None).cast(functions.schema["hi"].dataType).alias("__hi"), F.struct(*blocks.columns).alias("__row"))
+    rows = f.unionByName(b, allowMissingColumns=True)
+    before = Window.partitionBy("__g").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("__g", "__cell").agg(F.max("__hi").alias("__most")).select("__g", "__cell", F.max("__most").over(before).alias("__earlier"))
+    so_far = Window.partitionBy("__g", "__cell").orderBy("__at", "__block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("__here", F.max("__hi").over(so_far)).filter("__block = 1").join(cells, ["__g", "__cell"])
+    return placed.filter(F.greatest("__here", "__earlier") >= F.col("__row")["end"]).select("__row.*")
+
+
+def safety_profile(blocks: DataFrame, functions: DataFrame, ffi: DataFrame, group: str, width: int = 1024) -> DataFrame:
     """Counts, score and risk of each group. A block inside an unsafe function is exposed, another is wrapped."""
-    inside = contained(blocks, functions, group).groupBy(group).agg(F.count(F.lit(1)).alias("exposed"))
+    inside = contained(blocks, functions, group, width).groupBy(group).agg(F.count(F.lit(1)).alias("exposed"))
     counts = [df.groupBy(group).agg(F.count(F.lit(1)).alias(n)) for df, n in ((blocks, "blocks"), (functions, "unsafe_functions"), (ffi, "ffi"))]
     out = counts[0].join(counts[1], group, "full").join(counts[2], group, "full").join(inside, group, "full").na.fill(0)
     out = out.withColumn("wrapped", F.col("blocks") - F.col("exposed"))

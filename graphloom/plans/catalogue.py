@@ -16,6 +16,7 @@ CUSTOMER_NAME = "Customer#000000001"
 NATION_FILE = "src/NATION_3.py"
 WORDS = "the erth"
 WORD = "erth"
+HOUR = 3_600_000_000  # in microseconds
 
 
 def _start(g: StarGraph, symbol_id: int) -> DataFrame:
@@ -134,12 +135,12 @@ def _safety_parts(g: StarGraph) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def safety_profile(g: StarGraph) -> DataFrame:
-    return coverage.safety_profile(*_safety_parts(g), "user_id").select("user_id", "blocks", "unsafe_functions", "ffi", "exposed", "wrapped", "score", "risk", "safe_wrapper_percent")
+    return coverage.safety_profile(*_safety_parts(g), "user_id", HOUR).select("user_id", "blocks", "unsafe_functions", "ffi", "exposed", "wrapped", "score", "risk", "safe_wrapper_percent")
 
 
 def unsafe_containment(g: StarGraph) -> DataFrame:
     blocks, functions, _ = _safety_parts(g)
-    return coverage.contained(blocks, functions, "user_id").select("user_id", F.col("start").alias("at_micros"))
+    return coverage.contained(blocks, functions, "user_id", HOUR).select("user_id", F.col("start").alias("at_micros"))
 
 
 def channel_pairs(g: StarGraph) -> DataFrame:

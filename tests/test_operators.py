@@ -178,3 +178,18 @@ def test_stream_of_snapshots(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert ids(spark.read.parquet(str(tmp_path / "out")), "batch", "path", "status") == [(0, "a", "new"), (0, "b", "new"), (1, "a", "changed"), (1, "c", "new")]
+
+
+def test_contained_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    some = lambda: rng.choice([None, 1, 1, 1, 2])
+    blocks = [(some(), s, s + rng.randrange(6), rng.randrange(3)) for s in (rng.randrange(-20, 200) for _ in range(300))] + [(1, None, 3, 0), (1, 5, None, 0)]
+    functions = [(some(), lo, lo + rng.randrange(40)) for lo in (rng.randrange(-20, 200) for _ in range(12))] + [(1, None, 500), (1, 0, None)]
+    want = sorted(b for b in blocks if None not in b and any(None not in f and f[0] == b[0] and f[1] <= b[1] and f[2] >= b[2] for f in functions))
+    b = spark.createDataFrame(blocks, "g long, start long, end long, tag long")
+    f = spark.createDataFrame(functions, "g long, lo long, hi long")
+    for width in (7, 1024):
+        assert sorted(tuple(r) for r in coverage.contained(b, f, "g", width).select("g", "start", "end", "tag").collect()) == want and want
+    assert coverage.contained(b, f.limit(0), "g").count() == 0 and coverage.contained(b.limit(0), f, "g").count() == 0
