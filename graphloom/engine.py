@@ -72,7 +72,17 @@ class Engine:
         return graph.neighbourhood(self.g, relations.start_symbols(self.g, name))
 
     def cochange(self, item) -> DataFrame:
-        return history.cochange(self.g.commit_files).filter(F.col("a") == item).orderBy(F.desc("n_together"), "b")
+        """What changes together with a file, or with a symbol (of several of a simple name, that of the least id), the most often first."""
+        items = self.g.commit_files
+        if isinstance(item, str) and not self._is_path(item):
+            items = self.g.commit_symbols
+            first = relations.start_symbols(self.g, item).orderBy("id").first()
+            item = first.qualified_name if first else item
+        return history.cochange(items).filter(F.col("a") == item).orderBy(F.desc("n_together"), "b")
+
+    def _is_path(self, item: str) -> bool:
+        """A file that is indexed, or a name that looks like one."""
+        return "/" in item or "\\" in item or item.endswith((".py", ".rs", ".md", ".toml", ".json")) or not self.g.files.filter(F.col("path") == item).isEmpty()
 
     def git(self, item) -> DataFrame:
         return history.git_metadata(self.g.commit_files.filter(F.col("item") == item), self.g.commits)

@@ -88,6 +88,10 @@ def test_engine(indexed, spark, tmp_path):
     assert have(e.pack("b::go").filter("section in (1, 2, 5)"), "section", "item") == [(1, "go: Text about go."), (2, "b::test_go"), (5, "main: Start.")]
     assert have(e.pack("b::go", 1), "section") == [(0,)]
     assert {(r.direction, r.depth) for r in e.impact("b::go").collect()} >= {("up", 1)}
+    together = {r.b: r.n_together for r in e.cochange("go").collect()}
+    assert together["b"] == 2 and together["a::main"] == 1 and "b::go" not in together
+    assert {r.b for r in e.cochange("b.py").collect()} == {"Cargo.toml", "README.md", "a.py", "broken.py", "empty.py", "src/lib.rs"}
+    assert e.git("b.py").count() == 1
     report = tmp_path / "x.info"
     report.write_text("TN:unit\nSF:/build/b.py\nDA:1,1\nDA:2,0\nDA:4,1\nend_of_record\nTN:unit\nSF:unknown.py\nDA:1,1\nend_of_record\n")
     import_coverage(spark, str(report), store)
