@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, exact_dedup, html_extract, minhash, packing, quality, sharding, token_counts, toxicity, warc
-from graphloom.llm.common import ensure_checkpoint_dir, ship
+from graphloom.llm.common import cut, ensure_checkpoint_dir, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,15 +46,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written as WARC archives to the shared folder, and what the salvage reader reads back from there."""
+    """Pages written as WARC archives to the shared folder, and what the salvage reader reads back from there: every page, or an error."""
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/warc-{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
     pages = table(spark, sf_dir, "pages")
     warc.write_warc(pages, path, mode="overwrite")
     kind = pages.schema["page_id"].dataType
-    # The result is read from the archives when it is used; they stay in the session's shared folder until then.
-    got = warc.read_warc(spark, path, payloads=False)
-    return got.filter("kind <> 'gap'").select(
+    got = cut(warc.read_warc(spark, path, payloads=False).select("kind", "record_id", "payload_bytes", "payload_digest", "refers_to"))
+    read = {r.gap: r["count"] for r in got.groupBy((F.col("kind") == "gap").alias("gap")).count().collect()}
+    n = pages.count()
+    if read.get(True, 0) or read.get(False, 0) != n:
+        raise RuntimeError(f"{read.get(False, 0)} records and {read.get(True, 0)} gaps were read of {n} pages")
+    return got.select(
         F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to")
     )
 

@@ -5,9 +5,10 @@ WARC record as its line separator, writes the files to any store that Spark can
 elsewhere under a smaller id becomes a revisit record without payload. Pages whose digest certainly occurs once never
 leave their task; only the others meet by digest, as narrow rows first.
 
-Reading takes whole files of bounded size. Records are checked (version line, headers, length, end mark, block digest).
-Where a check fails, the reader searches on for the next valid gzip member or version line, goes on there, and reports the
-bytes that it passed over as a quarantined gap.
+Reading takes files of any size and kind from any store: Spark streams a file's bytes to one task, which keeps them in a
+local temporary file and goes over that, with one record in memory at a time. Records are checked (version line, headers,
+length, end mark, block digest). Where a check fails, the reader searches on for the next valid gzip member or version line,
+goes on there, and reports the bytes that it passed over as a quarantined gap.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import mmap
 import re
+import tempfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +36,10 @@ VERSION = b"WARC/1.1\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Files above this size aren't loaded but reported as one gap; the writer's files stay far below it.
-MAX_FILE_BYTES = 256 << 20
+#: Files and gzip members above this size are looked at on disk, smaller ones in memory.
+MEMORY_BYTES = 16 << 20
+#: Of a file on disk, so many bytes at most stay mapped behind the reader.
+MAPPED_BYTES = 64 << 20
 
 
 # --- writing -------------------------------------------------------------------------------------------------------
@@ -152,7 +158,7 @@ _MEMBER = b"\x1f\x8b\x08"
 _MOST_HEADERS = 1 << 16
 
 
-def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
+def _parse(data: bytes | mmap.mmap, at: int) -> tuple[dict[str, str], bytes, int] | str:
     """The record that begins at ``at``: headers, block and end; or what is wrong with it."""
     m = _VERSION.match(data, at)
     if not m:
@@ -186,103 +192,229 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     return headers, block, end + 4
 
 
-def salvage_plain(data: bytes) -> Salvage:
-    """All valid records of an uncompressed archive, and the gaps between them."""
-    out, at = Salvage(), 0
+def _scan_plain(data: bytes | mmap.mmap, at: int = 0) -> Iterator[Record | Gap]:
     while at < len(data):
         got = _parse(data, at)
         if not isinstance(got, str):
             headers, block, end = got
-            out.records.append(Record(at, end, headers, block))
+            yield Record(at, end, headers, block)
             at = end
             continue
         # A version line inside a damaged record's payload is tried too; it counts only if a whole valid record follows.
         m = _VERSION.search(data, at + 1)
         until = m.start() if m else len(data)
-        out.gap(at, until, got)
+        yield Gap(at, until, got)
         at = until
-    return out
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    unzip = zlib.decompressobj(31)
+def _member(data: bytes | mmap.mmap, at: int) -> tuple[bytes | mmap.mmap, int] | None:
+    """The content of the gzip member that begins at ``at``, and where it ends."""
+    unzip, plain, pos = zlib.decompressobj(31), _Spool(), at
     try:
-        plain = unzip.decompress(memoryview(data)[at:])
+        while not unzip.eof and pos < len(data):
+            piece = data[pos : pos + (1 << 16)]
+            plain.write(unzip.decompress(piece))
+            pos += len(piece)
     except zlib.error:
         return None
-    return (plain, len(data) - len(unzip.unused_data)) if unzip.eof else None
+    return (plain.view(), pos - len(unzip.unused_data)) if unzip.eof else None
 
 
-def salvage(data: bytes) -> Salvage:
-    """All valid records of an archive, plain or of gzip members (each with a record or more), and the quarantined gaps."""
-    if _MEMBER not in data[:1024] and _VERSION.search(data, 0, 1024):
-        return salvage_plain(data)
-    if _MEMBER not in data:
-        return salvage_plain(data)
-    out, at = Salvage(), 0
+def _scan(data: bytes | mmap.mmap, at: int = 0) -> Iterator[Record | Gap]:
+    """Valid records and gaps of an archive in order, beginning at ``at``; neighbouring gaps aren't joined."""
+    first = data.find(_MEMBER, at)
+    if first < 0 or (first >= at + 1024 and _VERSION.search(data, at, at + 1024)):
+        yield from _scan_plain(data, at)
+        return
     while at < len(data):
-        got = _member(data, at) if data.startswith(_MEMBER, at) else None
+        got = _member(data, at) if data[at : at + 3] == _MEMBER else None
         if got is not None:
             plain, end = got
-            inner = salvage_plain(plain)
-            out.records += [Record(at, end, r.headers, r.block) for r in inner.records]
-            if inner.gaps:
-                out.gap(at, end, f"inside the member: {inner.gaps[0].reason}")
+            inside = None
+            for r in _scan_plain(plain):
+                if isinstance(r, Gap):
+                    inside = inside or r.reason
+                else:
+                    yield Record(at, end, r.headers, r.block)
+            if inside:
+                yield Gap(at, end, f"inside the member: {inside}")
             at = end
             continue
         if (plain_got := _parse(data, at)) and not isinstance(plain_got, str):  # a plain record between members
             headers, block, end = plain_got
-            out.records.append(Record(at, end, headers, block))
+            yield Record(at, end, headers, block)
             at = end
             continue
-        line = _VERSION.search(data, at + 1)
-        marks = (data.find(_MEMBER, at + 1), line.start() if line else -1)
-        until = min((x for x in marks if x > 0), default=len(data))
-        out.gap(at, until, "no valid member")
+        mark = data.find(_MEMBER, at + 1)
+        until = mark if mark > 0 else len(data)
+        line = _VERSION.search(data, at + 1, until)
+        until = line.start() if line else until
+        yield Gap(at, until, "no valid member")
         at = until
+
+
+def _collect(found: Iterator[Record | Gap]) -> Salvage:
+    out = Salvage()
+    for r in found:
+        if isinstance(r, Gap):
+            out.gap(r.start, r.end, r.reason)
+        else:
+            out.records.append(r)
     return out
 
 
+def salvage_plain(data: bytes) -> Salvage:
+    """All valid records of an uncompressed archive, and the gaps between them."""
+    return _collect(_scan_plain(data))
+
+
+def salvage(data: bytes) -> Salvage:
+    """All valid records of an archive, plain or of gzip members (each with a record or more), and the quarantined gaps."""
+    return _collect(_scan(data))
+
+
+class _Spool:
+    """Bytes that are written once and then looked at: in memory, or from ``MEMORY_BYTES`` on in a temporary file."""
+
+    def __init__(self):
+        self.file, self.size = tempfile.SpooledTemporaryFile(max_size=MEMORY_BYTES), 0
+
+    def write(self, data: bytes) -> None:
+        self.size += len(data)
+        self.file.write(data)
+
+    def view(self, size: int | None = None) -> bytes | mmap.mmap:
+        """The first ``size`` bytes."""
+        size = self.size if size is None else size
+        self.file.seek(0)
+        if self.size <= MEMORY_BYTES:
+            return self.file.read(size)
+        self.file.flush()
+        return mmap.mmap(self.file.fileno(), size, access=mmap.ACCESS_READ)
+
+
 SCHEMA = "path string, kind string, start long, end long, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, reason string"
 
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = True, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Records and gaps of all archives in ``path``.
+_BOM = b"\xef\xbb\xbf"
+_PASS = "org.apache.hadoop.io.compress.PassthroughCodec"
+#: Spark's jars have Hadoop's option under a name of their own.
+_PASS_OPTIONS = ("io.compress.passthrough.extension", "org.apache.hadoop.shaded.io.compress.passthrough.extension")
+
+
+def _lines(spark: SparkSession, path: str, names: list[str]) -> list[DataFrame]:
+    """The lines (between line feeds) of all files in ``path`` as they are on disk: file, its size, line.
+
+    A codec that changes nothing is set for each ending of the files' names. So compressed files aren't unpacked, and as no
+    codec can be entered midway, a file isn't split: its lines come in order in one task. Files without an ending may be
+    split; only their lines go through a shuffle, to one task a file.
+    """
+    columns = F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line")
+    bare = lambda n: n.rpartition("/")[2]
+    out = []
+    for ending in sorted({"." + bare(n).rpartition(".")[2] for n in names if "." in bare(n)}):
+        options = dict.fromkeys(_PASS_OPTIONS, ending) | {"io.compression.codecs": _PASS, "lineSep": "\n", "pathGlobFilter": "*" + re.sub(r"([\\*?\[\]{}])", r"\\\1", ending)}
+        out.append(spark.read.options(**options).text(path).select(*columns))
+    if plain := [n for n in names if "." not in bare(n)]:
+        rows = spark.read.option("lineSep", "\n").text(plain).select(*columns, F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+        out.append(rows.repartition("file").sortWithinPartitions("file", "at", "n").select("file", "size", "line"))
+    return out
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes | mmap.mmap, int]]:
+    """Each file of rows from ``_lines``: its number, a view of its bytes, and where in the view it begins."""
+    spool, file, size = None, 0, 0
+
+    def done() -> tuple[int, bytes | mmap.mmap, int]:
+        # Spark's reader drops a byte order mark, so one is put in front in any case. The last line may have no line feed.
+        for begin in (len(_BOM), 0):
+            if spool.size - begin - size in (0, 1):
+                return file, spool.view(begin + size), begin
+        raise RuntimeError(f"read {spool.size - len(_BOM)} bytes of a file of {size}")
+
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            if spool is None or ids[a] != file:
+                if spool is not None:
+                    yield done()
+                spool, file, size = _Spool(), int(ids[a]), batch.column(1)[a].as_py()
+                spool.write(_BOM)
+            spool.write(b"\n".join([*batch.column(2).slice(a, b - a).to_pylist(), b""]))
+    if spool is not None:
+        yield done()
+
+
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Records and gaps of all archives in ``path``, of any size.
 
     ``kind`` is the record's type, or ``gap`` for quarantined bytes (then ``start``, ``end`` and ``reason`` tell which and
     why). Of a revisit, digest and length are those of the payload that it stands for, from its headers; a response whose
-    payload contradicts its payload digest is a gap. An empty file has no rows; a file above ``max_file_bytes`` is one gap.
-    ``payloads=False`` leaves the payload column null.
+    payload contradicts its payload digest is a gap. An empty file has no rows. ``payloads=False`` leaves the payload column
+    null.
     """
-    files = spark.read.format("binaryFile").load(path)
+    listed = spark.read.format("binaryFile").load(path).select("path", F.xxhash64("_metadata.file_path").alias("file")).collect()
+    names = {r.file: r.path for r in listed}
+    if len(names) < len(listed):
+        raise RuntimeError("two archives have the same hash of their paths")
+    if not names:
+        return spark.createDataFrame([], SCHEMA)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.int64() if k == "long" else pa.binary() if k == "binary" else pa.string()) for n, k in (x.split() for x in SCHEMA.split(", "))])
-        for batch in batches:
-            for k in range(batch.num_rows):
-                name = batch.column(0)[k].as_py()
-                found = salvage(batch.column(1)[k].as_py())
-                rows = [(name, "gap", g.start, g.end, None, None, None, None, None, None, g.reason) for g in found.gaps]
-                for r in found.records:
-                    rows.append(_row(name, r, payloads))
-                for i in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2000], strict=True), schema.types, strict=True)], schema=schema)
-
-    # The size is tested before the content is read.
-    good = files.filter(F.col("length") <= max_file_bytes).select("path", "content").mapInArrow(read, SCHEMA)
-    large = files.filter(F.col("length") > max_file_bytes)
-    empty = [F.lit(None).cast(k).alias(n) for n, k in (x.split() for x in SCHEMA.split(", ")[4:10])]
-    return good.unionByName(large.select("path", F.lit("gap").alias("kind"), F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), *empty, F.lit("file too large").alias("reason")))
-
-
-def _row(name: str, r: Record, payloads: bool) -> tuple:
+        rows, held = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+        for file, data, begin in _files(batches):
+            gap, freed = None, 0
+            for r in _scan(data, begin):
+                if isinstance(r, Gap):
+                    if gap is not None and gap.end == r.start:
+                        gap.end = r.end
+                        continue
+                    new = gap, None
+                    gap = r
+                else:
+                    new = gap, r
+                    gap = None
+                for x in new:
+                    if x is not None:
+                        rows.append(_row(names[file], x, payloads, begin))
+                        held += len(rows[-1][9] or b"")
+                if len(rows) >= 2000 or held >= MEMORY_BYTES:
+                    yield batch()
+                    rows, held = [], 0
+                if isinstance(data, mmap.mmap) and r.end - freed > MAPPED_BYTES and hasattr(mmap, "MADV_DONTNEED"):
+                    freed = r.end // mmap.PAGESIZE * mmap.PAGESIZE
+                    data.madvise(mmap.MADV_DONTNEED, 0, freed)
+            if gap is not None:
+                rows.append(_row(names[file], gap, payloads, begin))
+        if rows:
+            yield batch()
+
+    parts = [lines.mapInArrow(read, SCHEMA) for lines in _lines(spark, path, list(names.values()))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _row(name: str, r: Record | Gap, payloads: bool, begin: int = 0) -> tuple:
+    start, end = r.start - begin, r.end - begin
+    if isinstance(r, Gap):
+        return (name, "gap", start, end, None, None, None, None, None, None, r.reason)
     h = r.headers
     http, body = r.http()
     revisit = h.get("warc-type") == "revisit"
     claimed = h.get("warc-payload-digest", "").partition(":")[2].upper()
     digest = claimed if revisit else sha1_of(body)
     if claimed and claimed != digest:
-        return (name, "gap", r.start, r.end, None, None, None, None, None, None, "payload digest differs")
+        return (name, "gap", start, end, None, None, None, None, None, None, "payload digest differs")
     size = http.get("content-length", "") if revisit else str(len(body))
     bare = lambda x: x.strip("<>").removeprefix("urn:x-page:") if x is not None else None
-    return (name, h.get("warc-type", ""), r.start, r.end, bare(h.get("warc-record-id")), h.get("warc-target-uri"), bare(h.get("warc-refers-to")), digest, int(size) if size.isdigit() else None, body if payloads and not revisit else None, None)
+    return (name, h.get("warc-type", ""), start, end, bare(h.get("warc-record-id")), h.get("warc-target-uri"), bare(h.get("warc-refers-to")), digest, int(size) if size.isdigit() else None, body if payloads and not revisit else None, None)
