@@ -155,6 +155,8 @@ class Salvage:
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_NEXT = re.compile(rb"\nWARC/1\.[01]\r\n")
+#: Most headers end within so many bytes; only longer ones are looked for up to the next version line.
 _MOST_HEADERS = 1 << 16
 
 
@@ -164,6 +166,9 @@ def _parse(data: bytes | mmap.mmap, at: int) -> tuple[dict[str, str], bytes, int
     if not m:
         return "no version line"
     stop = data.find(END, m.end() - 2, at + _MOST_HEADERS)
+    if stop < 0:
+        following = _NEXT.search(data, m.end())
+        stop = data.find(END, m.end() - 2, following.start() + 1 if following else len(data))
     if stop < 0:
         return "headers without end"
     headers: dict[str, str] = {}

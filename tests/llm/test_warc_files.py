@@ -50,6 +50,20 @@ def test_on_disk_as_in_memory(monkeypatch, make):
     assert got == want and got.gaps
 
 
+def test_url_of_100_kb(spark, tmp_path):
+    rows = [(1, "http://x/" + "u" * 100_000, "text"), (2, "http://y/WARC/1.1", "text"), (3, "http://z", "other")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in queries.op4_warc(spark, str(tmp_path)).collect()}
+    assert got == {1: ("response", None, 4), 2: ("revisit", 1, 4), 3: ("response", None, 5)}
+
+
+def test_headers_without_end_stop_at_the_next_record():
+    one, other = records(2)
+    broken = b"WARC/1.1\r\nWARC-Target-URI: " + b"u" * 100_000 + b"\r\n"
+    found = warc.salvage(broken + one + other)
+    assert [(g.start, g.end) for g in found.gaps] == [(0, len(broken))] and len(found.records) == 2
+
+
 def test_query_fails_on_lost_pages(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(k, f"http://x/{k}", "text") for k in range(5)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert queries.op4_warc(spark, str(tmp_path)).count() == 5
