@@ -24,22 +24,24 @@ class Rows:
         return np.bincount(self.columns, g[self.owner], width) if self.n else np.zeros(width)
 
 
-def fit(rows: Rows, y: np.ndarray, width: int, l2: float, steps: int = 120, pairs: tuple[Rows, Rows] | None = None, pair_weight: float = 0.0, rate: float = 0.3) -> tuple[np.ndarray, float]:
+def fit(rows: Rows, y: np.ndarray, width: int, l2: float, steps: int = 120, pairs: tuple[Rows, Rows] | None = None, pair_weight: float = 0.0, counts: np.ndarray | None = None, rate: float = 0.3) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression by Adam on the whole sample.
 
     ``pairs``: rows that must score alike; the mean squared difference of their linear scores, times ``pair_weight``, is
-    added to the loss. Classes are weighted equally.
+    added to the loss; each counts as many times as ``counts`` says. Classes are weighted equally.
     """
     w, b = np.zeros(width), 0.0
     if not rows.n:
         return w, b
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    if pairs and pairs[0].n:
+        share = np.full(pairs[0].n, 1 / pairs[0].n) if counts is None else counts / counts.sum()
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, steps + 1):
         g = (sigmoid(rows.dot(w) + b) - y) * weight
         grad, grad_b = rows.back(g, width) + l2 * w, g.sum()
         if pairs and pairs[0].n:
-            d = (pairs[0].dot(w) - pairs[1].dot(w)) * (2 * pair_weight / pairs[0].n)
+            d = (pairs[0].dot(w) - pairs[1].dot(w)) * share * (2 * pair_weight)
             grad += pairs[0].back(d, width) - pairs[1].back(d, width)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * grad_b, 0.99 * vb + 0.01 * grad_b * grad_b

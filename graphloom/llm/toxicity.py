@@ -7,7 +7,8 @@ swapped for others, and neutral sentences get a term inserted; the fit penalises
 that a neutral mention of a group carries no weight even where the sample links it with toxic texts.
 
 The model is fitted on the driver on at most ``sample_rows`` labelled rows, chosen by a hash of the id; texts stay on the
-executors, which send hashed features only. The weights (at most ``2 ** BITS`` numbers) are broadcast, and every whole text is
+executors, which send hashed features only: of pairs the features that differ, each different pair once with its count, as
+the penalty needs no more. The weights (at most ``2 ** BITS`` numbers) are broadcast, and every whole text is
 scored by one pass.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +81,14 @@ def counterfactuals(text: str, terms: tuple[str, ...], seed: int, copies: int =
     return out
 
 
+def difference(a: set[str], b: set[str]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Features of a pair that only one side has: the others don't change its difference of scores."""
+    of = lambda words: {f for w in words for f in features_of(w)}
+    left, right = of(a - b), of(b - a)
+    common = (left & right) | (of(a & b) & (left | right))
+    return tuple(sorted(left - common)), tuple(sorted(right - common))
+
+
 class Model:
     """Weights of words, by a bounded cache over the hashed features."""
 
@@ -100,8 +110,8 @@ class Model:
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, total + self.intercept))))
 
 
-def fit_rows(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.ndarray]], pair_weight: float = PAIR_WEIGHT) -> Model:
-    """A model of sample rows (features, label) and counterfactual pairs."""
+def fit_rows(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.ndarray]], pair_weight: float = PAIR_WEIGHT, counts: np.ndarray | None = None) -> Model:
+    """A model of sample rows (features, label) and counterfactual pairs, which ``counts`` may weight."""
     width = 1 << BITS
     y = np.array([label for _, label in rows], float)
     seen = np.zeros((2, width))
@@ -116,14 +126,14 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, n
     keep = lambda f: (c := columns[f])[c >= 0]
     sample = Rows([keep(f) for f, _ in rows])
     both = Rows([keep(a) for a, _ in pairs]), Rows([keep(b) for _, b in pairs])
-    w, b = fit(sample, y, int(telling.sum()), l2=3e-6, steps=250, pairs=both, pair_weight=pair_weight)
+    w, b = fit(sample, y, int(telling.sum()), l2=3e-6, steps=250, pairs=both, pair_weight=pair_weight, counts=counts)
     weights = np.zeros(width)
     weights[telling] = w
     return Model(weights, float(b))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, terms: tuple[str, ...]):
-    """Features, labels and counterfactual pairs of a bounded sample; the texts themselves stay on the executors."""
+    """Features and labels of a bounded sample, all counterfactual pairs of its texts, and their counts; the texts stay on the executors."""
     named = labels.select(F.col(id_col).alias("__lid"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h")).dropna()
     # The least hashes, in halves by class, so that rare toxic rows are all there. Only ids and labels are sorted.
     half = sample_rows // 2
@@ -133,32 +143,36 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = [], [], [], []
+            out: tuple[list, list] = [], []
+            found: Counter = Counter()
             for text, y, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pairs = counterfactuals(text or "", terms, h & 0xFFFF)[:64]
                 out[0].append(text_features(words_of(text or "")).tolist())
                 out[1].append(y)
-                out[2].append([text_features(a).tolist() for a, _ in pairs])
-                out[3].append([text_features(b).tolist() for _, b in pairs])
-            nested = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.int32()), pa.array(out[2], nested), pa.array(out[3], nested)], names=["f", "y", "a", "b"])
+                found.update(difference(a, b) for a, b in counterfactuals(text or "", terms, h & 0xFFFF))
+            nested, rest = pa.list_(pa.list_(pa.int32())), [[]] * (len(out[0]) - 1)
+            # The pairs of the batch stand in its first row.
+            more = [[side, *rest] if out[0] else [] for side in ([a for a, _ in found], [b for _, b in found], list(found.values()))]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.int32()), pa.array(more[0], nested), pa.array(more[1], nested), pa.array(more[2], pa.list_(pa.int64()))], names=["f", "y", "a", "b", "n"])
 
-    table = rows.mapInArrow(run, "f array<int>, y int, a array<array<int>>, b array<array<int>>").toArrow()
+    table = rows.mapInArrow(run, "f array<int>, y int, a array<array<int>>, b array<array<int>>, n array<long>").toArrow()
     array_of = lambda x: np.asarray(x, np.int64)
-    feats, sample, pairs = table.column("f").combine_chunks(), [], []
+    feats, sample, found = table.column("f").combine_chunks(), [], Counter()
     if table.num_rows:
         values, ends = feats.values.to_numpy(zero_copy_only=False), feats.offsets.to_numpy()
         sample = [(values[ends[i] : ends[i + 1]].astype(np.int64), y) for i, y in enumerate(table.column("y").to_pylist())]
-    for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
-        pairs += [(array_of(x), array_of(y)) for x, y in zip(a, b, strict=True)]
+    for a, b, n in zip(*(table.column(c).to_pylist() for c in "abn"), strict=True):
+        for x, y, k in zip(a, b, n, strict=True):
+            found[tuple(x), tuple(y)] += k
     # Rows come in any order; the fit must not depend on it.
     order = sorted(range(len(sample)), key=lambda i: (sample[i][1], len(sample[i][0]), sample[i][0].tobytes()))
-    return [sample[i] for i in order], sorted(pairs, key=lambda p: (p[0].tobytes(), p[1].tobytes()))
+    pairs = sorted(found)
+    return [sample[i] for i in order], [(array_of(a), array_of(b)) for a, b in pairs], np.array([found[p] for p in pairs], float)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, terms: tuple[str, ...] = tuple(IDENTITY_TERMS)) -> Model:
     """A model of at most ``sample_rows`` labelled rows. Rows without id, label or text, and labels without document, give nothing."""
-    return fit_rows(*training_sample(docs, labels, id_col, text_col, label_col, sample_rows, terms))
+    sample, pairs, counts = training_sample(docs, labels, id_col, text_col, label_col, sample_rows, terms)
+    return fit_rows(sample, pairs, counts=counts)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
