@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,20 @@ def sieve_join(rows: DataFrame, survivors: DataFrame, *keys: str, anti: bool = F
     return rows.join(F.broadcast(buckets), "__bucket", "left_anti" if anti else "left_semi").drop("__bucket")
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about ``limit`` bytes of text in ``column`` (or one longer row), without a copy.
+
+    What a worker turns into Python objects at once is thus bounded by bytes, not by a number of rows.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.cast(pc.binary_length(batch.column(column)), pa.int64()), 0).to_numpy(zero_copy_only=False)
+        ends, first = np.cumsum(sizes + 64), 0  # an object takes some bytes besides
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + limit, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def as_bytes(column: pa.Array) -> pa.Array:
     """The column's UTF-8 bytes, without a copy."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
