@@ -2,26 +2,31 @@
 
 Item texts are normalised to words, and every window of consecutive words becomes a pattern. Documents are normalised the
 same way by byte tables (no per-word Python), scanned once, and the hits are mapped back to character spans of the original.
-The automaton is built in each worker process from the items' texts. These are shipped in blocks of at most
+The automaton goes over words, numbered by the benchmark's vocabulary. Its patterns are seeds: every sixth run of five words
+of an item, one of which lies in each window of ten; so an item costs a few nodes a word, not ten windows of sixty bytes. Where a
+seed is met, the windows around it are looked up in the table of all windows, which makes the result exact.
+
+The automaton is built once in each worker process from the items' texts. These are shipped in blocks of at most
 ``max_block_bytes``; a larger benchmark takes more blocks, each with an automaton of its own, and the hits are merged.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from bisect import bisect_right
+import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes
+from graphloom.llm.common import as_bytes, by_bytes
 
 WINDOW = 10
-MAX_BLOCK_BYTES = 8 << 20
+#: Some 700,000 windows, which take about 300 MB in a worker.
+MAX_BLOCK_BYTES = 4 << 20
 
 #: Bytes of words: digits, letters (lower-cased) and everything that isn't ASCII; all else separates.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -37,19 +42,52 @@ def windows_of(text: bytes, size: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
 
 
+#: Characters of a word's number: the first from U+0080 on, so that matches begin with a word; the others below. No node then has
+#: more than 128 children, which the automaton goes through one by one.
+_DIGITS = 3
+_UNKNOWN = "\0" * _DIGITS  # stands for all words that no item has
+
+
+def _number(k: int) -> str:
+    """The k-th word's characters; there are two million, more than a block can hold."""
+    return chr(128 + (k >> 14)) + chr(k >> 7 & 127) + chr(k & 127)
+
+
 class Matcher:
-    """The automaton of some items. Patterns are framed by spaces, so they begin and end with whole words."""
+    """The automaton of some items, over words, with the table of their windows."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        owners: dict[bytes, list[str]] = {}
+        self.window, self.seed = window, (window + 1) // 2
+        self.numbers: dict[bytes, str] = {}
+        self.windows: dict[str, tuple[str, ...]] = {}  # items of each window of full size
+        self.short: list[tuple[int, list[str]]] = []  # (words, items) of each item that is shorter than a window
+        values: dict[str, int] = {}  # 1: a seed; from 2 on, twice the number of the short item and one more, besides
         for item, text in items:
-            for pattern in set(windows_of(text, window)):
-                owners.setdefault(pattern, []).append(item)
-        self.automaton = ahocorasick.Automaton()
-        for pattern, ids in owners.items():
-            self.automaton.add_word(f" {pattern.decode('latin-1')} ", (pattern.count(b" ") + 1, tuple(ids)))
-        self.empty = not owners
-        if owners:
+            words = words_of(text)
+            for w in words:
+                if w not in self.numbers:
+                    self.numbers[w] = _number(len(self.numbers))
+            line, n = "".join(map(self.numbers.__getitem__, words)), len(words)
+            if 0 < n < window:
+                if values.setdefault(line, 0) < 2:
+                    self.short.append((n, []))
+                    values[line] += 2 * len(self.short)
+                self.short[values[line] // 2 - 1][1].append(item)
+                continue
+            owner = (item,)
+            for i in range(0, _DIGITS * (n - window + 1), _DIGITS):
+                known = self.windows.setdefault(line[i : i + _DIGITS * window], owner)
+                if item not in known:
+                    self.windows[line[i : i + _DIGITS * window]] = (*known, item)
+            # A window holds a run of seed words that begins at a multiple of the step.
+            for i in range(0, n - self.seed + 1 if n >= window else 0, window - self.seed + 1):
+                seed = line[_DIGITS * i : _DIGITS * (i + self.seed)]
+                values[seed] = values.get(seed, 0) | 1
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for pattern, value in values.items():
+            self.automaton.add_word(pattern, value)
+        self.empty = not values
+        if values:
             self.automaton.make_automaton()
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
@@ -57,19 +95,23 @@ class Matcher:
         words = words_of(text)
         if self.empty or not words:
             return len(words), [], set()
-        ranges: list[list[int]] = []
+        line, size = "".join(map(self.numbers.get, words, repeat(_UNKNOWN))), self.window
+        ranges: list[tuple[int, int]] = []
         items: set[str] = set()
-        starts: list[int] = []
-        # One character a byte, so that positions are positions of bytes.
-        for end, (size, ids) in self.automaton.iter(f" {b' '.join(words).decode('latin-1')} "):
-            if not starts:
-                at = 0
-                for w in words:
-                    starts.append(at)
-                    at += len(w) + 1
-            last = bisect_right(starts, end - 2)  # words before the closing space; the text has one space in front
-            items.update(ids)
-            ranges.append([last - size, last])
+        tried = 0  # windows that begin before have been looked up
+        for end, value in self.automaton.iter(line):
+            end //= _DIGITS
+            if value > 1:
+                n, ids = self.short[value // 2 - 1]
+                items.update(ids)
+                ranges.append((end - n + 1, end + 1))
+            if value & 1:
+                last = end - self.seed + 1  # where the seed begins; windows that hold it begin there at the latest
+                for at in range(max(tried, end - size + 1), min(last, len(words) - size) + 1):
+                    if ids := self.windows.get(line[_DIGITS * at : _DIGITS * (at + size)]):
+                        items.update(ids)
+                        ranges.append((at, at + size))
+                tried = last + 1
         merged: list[tuple[int, int]] = []
         for a, b in sorted(ranges):
             if merged and a <= merged[-1][1]:
@@ -79,6 +121,17 @@ class Matcher:
         return len(words), merged, items
 
 
+_BUILT: dict[tuple[str, int], Matcher] = {}
+
+
+def matcher_of(key: str, items: list[tuple[str, bytes]], window: int) -> Matcher:
+    """The automaton of a block, built once a worker process; only the last one is held."""
+    if (key, window) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key, window] = Matcher(items, window)
+    return _BUILT[key, window]
+
+
 def char_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Word ranges as [from, to) in characters of the original text."""
     found = [(m.start(), m.end()) for m in _WORD.finditer(text)]
@@ -93,22 +146,33 @@ def char_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, in
     return out
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, max_block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of at most ``max_block_bytes`` of text (or one longer item); the driver holds one at a time."""
+def segments(text: bytes, window: int, max_bytes: int) -> Iterator[bytes]:
+    """A text in parts of about ``max_bytes``, or of one window, which overlap so that each window lies in one of them."""
+    if len(text) <= max_bytes:
+        yield text
+        return
+    words = words_of(text)
+    first, size = 0, 0
+    for k, word in enumerate(words):
+        size += len(word) + 1
+        if k + 1 == len(words) or size >= max_bytes and k + 1 - first >= window:
+            yield b" ".join(words[first : k + 1])
+            first = k + 2 - window
+            size = sum(len(w) + 1 for w in words[max(0, first) : k + 1])
+
+
+def item_blocks(items: DataFrame, id_col: str, text_col: str, max_block_bytes: int, window: int = WINDOW) -> Iterator[tuple[str, list[tuple[str, bytes]]]]:
+    """The items in named blocks of about ``max_block_bytes`` of text; the driver holds one at a time."""
     block, size = [], 0
     rows = items.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).dropna()
     for item, text in rows.toLocalIterator():
-        raw = text.encode("utf-8", "surrogatepass")
-        if block and size + len(raw) > max_block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((item, raw))
-        size += len(raw)
-    yield block
-
-
-def _digest(items: list[str] | set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+        for raw in segments(text.encode("utf-8", "surrogatepass"), window, max_block_bytes):
+            if block and size + len(raw) > max_block_bytes:
+                yield uuid.uuid4().hex, block
+                block, size = [], 0
+            block.append((item, raw))
+            size += len(raw)
+    yield uuid.uuid4().hex, block
 
 
 HITS = (
@@ -119,9 +183,9 @@ HITS = (
 
 def _scanner(handle, window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(handle.value, window)
+        matcher = matcher_of(*handle.value, window)
         pair = lambda a, b: pa.list_(pa.struct([(a, pa.int32()), (b, pa.int32())]))
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             rows = [], [], [], [], []
             for text in as_bytes(batch.column(2)).to_pylist():
                 n, ranges, items = matcher.scan(text or b"")
@@ -161,7 +225,7 @@ def decontaminate(
     schema = f"__id {source.schema['__id'].dataType.simpleString()}, __hash long, {HITS}"
     parts = [
         source.mapInArrow(_scanner(spark.sparkContext.broadcast(block), window), schema)
-        for block in item_blocks(items, item_id_col, item_text_col, max_block_bytes)
+        for block in item_blocks(items, item_id_col, item_text_col, max_block_bytes, window)
     ]
     if len(parts) == 1:
         return parts[0].drop("__hash").withColumnRenamed("__id", id_col)
@@ -190,12 +254,12 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` without any hit, with all columns: one pass for each block of items, without a join."""
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
-    for block in item_blocks(items, item_id_col, item_text_col, max_block_bytes):
+    for block in item_blocks(items, item_id_col, item_text_col, max_block_bytes, window):
         handle = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(handle.value, window)
-            for batch in batches:
+            matcher = matcher_of(*handle.value, window)
+            for batch in by_bytes(batches, at):
                 clean = [not matcher.scan(t or b"")[1] for t in as_bytes(batch.column(at)).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
