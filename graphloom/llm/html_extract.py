@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import by_bytes
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What is between these tags isn't text of the page.
 UNSEEN = frozenset("script style template noscript head title svg math iframe object canvas textarea select audio video map".split())
@@ -51,7 +54,11 @@ TAGS = {t: k for k, ts in enumerate(("html body", "div", "section", "article mai
 _TAG_OTHER = max(TAGS.values()) + 1  # inline elements and unknown ones
 _BAD_TAG = {"nav": 0, "menu": 0, "aside": 2, "footer": 3, "header": 4, "form": 6, "dialog": 7}
 
-_LEX = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s>]*)[^>]*>|<[!?/][^>]*>", re.S)
+_NAME = re.compile(r"[^\s/>]+")
+_STOP = re.compile(r"[>=]")
+_VALUE = re.compile(r"[^\s>]*")
+#: Elements that are open at once at most; those further in count as parts of the innermost one, each block still a block.
+MAX_DEPTH = 64
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -78,71 +85,169 @@ def groups_of(attributes: str) -> int:
     return bits
 
 
+class _Page:
+    """A page, and what is known not to come any more in it, so that no search for its end is made twice."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where ``what`` begins from ``at`` on, or -1."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Where the ">" of a tag stands whose attributes begin at ``at``, or -1. A quote opens a value only behind "="."""
+        page, n = self.page, len(self.page)
+        while m := _STOP.search(page, at):
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            while at < n and page[at].isspace():
+                at += 1
+            if page[at : at + 1] in ("'", '"') and at < n and (end := self.find(page[at], at + 1)) >= 0:
+                at = end + 1
+            else:
+                at = _VALUE.match(page, at).end()
+        return -1
+
+    def after(self, tag: str, at: int) -> int:
+        """Behind the end tag of an element whose content isn't text, or -1; an unclosed head ends where the body begins."""
+        if f"</{tag}" in self.missing:
+            return -1
+        found = _end_of(tag).search(self.page, at)
+        if not found:
+            self.missing.add(f"</{tag}")
+        return found.end() if found else -1
+
+    def next_tag(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """Begin, end, name, attributes of the next tag from ``at`` on, and whether it closes; other markup has no name."""
+        page, start = self.page, at
+        while (at := page.find("<", start)) >= 0:
+            first = page[at + 1 : at + 2]
+            if page.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), "", "", False
+            closes = first == "/"
+            letter = page[at + 2 : at + 3] if closes else first
+            if ">" in self.missing:
+                return None
+            if letter.isascii() and letter.isalpha():
+                name = _NAME.match(page, at + 1 + closes)
+                end = self.find(">", name.end()) if closes else self.tag_end(name.end())
+                if end >= 0:
+                    return at, end + 1, name[0].lower(), page[name.end() : end], closes
+                if not closes:
+                    self.missing.add(">")
+            elif first in ("!", "?", "/") and first and (end := self.find(">", at + 2)) >= 0:
+                return at, end + 1, "", "", False
+            start = at + 1
+        return None
+
+
+@lru_cache(64)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>" + (r"|(?=<body[\s>])|(?=<(?:article|main|div|p|h1)[\s>])" if tag == "head" else ""), re.I)
+
+
+_CONFINES = frozenset("table td th button article section div main aside nav ul ol dl body".split())
+
+
 def parse(page: str) -> Node:
-    """The page as a tree. Unclosed and misnested tags are mended; what is not text of the page is left out."""
+    """The page as a tree. Unclosed and misnested tags are mended; what is not text of the page is left out.
+
+    The time is linear in the page's length: at most ``MAX_DEPTH`` elements are open, and no end is looked for again once it is
+    known to be missing.
+    """
     root = Node("html", None)
-    top, at, hidden = root, 0, 0
-    n = len(page)
+    top, at, depth = root, 0, 0
+    beyond: list[str] = []  # open elements beyond the depth
+    inside: Counter = Counter()  # how many of each tag are in it
+    n, source = len(page), _Page(page)
 
     def words(a: int, b: int) -> None:
         run = page[a:b]
         if not run.isspace():
             Node("#text", top, 0, html.unescape(run) if "&" in run else run)
         elif top.kids and top.kids[-1].tag == "#text":
-            top.kids[-1].text += " "
+            if not top.kids[-1].text[-1:].isspace():
+                top.kids[-1].text += " "
         else:
             Node("#space", top, 0, " ")
 
     while at < n:
-        m = _LEX.search(page, at)
-        if not m:
+        found = source.next_tag(at)
+        if not found:
             words(at, n)
             break
-        if m.start() > at:
-            words(at, m.start())
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
-            if tag in ("html", "body"):
-                continue
-            if tag in UNSEEN:
-                if not (m[2] or "").rstrip().endswith("/") or tag in RAW:
-                    # To its end tag; an unclosed head ends where the body begins.
-                    end = re.compile(rf"</{tag}\s*>" + (r"|(?=<body[\s>])|(?=<(?:article|main|div|p|h1)[\s>])" if tag == "head" else ""), re.I).search(page, at)
-                    if end:
-                        at = end.end()
-                    elif tag in RAW:
-                        at = n
-                continue
-            if tag == "br":
-                Node("#space", top, 0, " ")
-                continue
-            if tag in VOID:
-                if tag == "hr":
+        begin, end, tag, attributes, closes = found
+        if begin > at:
+            words(at, begin)
+        at = end
+        if not tag:
+            continue
+        if closes:
+            if inside[tag]:
+                while True:
+                    last = beyond.pop()
+                    inside[last] -= 1
+                    if last == tag:
+                        break
+                if tag not in INLINE:
                     Node("hr", top)
                 continue
-            # Implied ends, looked for up to the element that confines them.
-            x = top
-            while x.parent is not None:
-                if x.tag in _ENDS and tag in _ENDS[x.tag]:
-                    top = x.parent
-                    if x.tag == "p":
-                        break
-                elif x.tag in ("table", "td", "th", "button", "article", "section", "div", "main", "aside", "nav", "ul", "ol", "dl", "body") and x.tag not in _SCOPE.get(tag, ()) and not (x.tag in ("td", "th") and tag in ("td", "th", "tr")):
-                    break
-                elif x.tag in _SCOPE.get(tag, ()):
-                    break
-                x = x.parent
-            top = Node(tag, top, groups_of(m[2]) if "=" in m[2] else 0)
-            if m[2].rstrip().endswith("/") and tag not in TAGS:
-                top = top.parent
-        elif m[3]:
-            tag = m[3].lower()
-            x = top
+            x, up = top, 0
             while x.parent is not None and x.tag != tag:
-                x = x.parent
+                x, up = x.parent, up + 1
             if x.parent is not None:
-                top = x.parent
+                top, depth = x.parent, depth - up - 1
+                beyond.clear()
+                inside.clear()
+            continue
+        if tag in ("html", "body"):
+            continue
+        if tag in UNSEEN:
+            if not attributes.rstrip().endswith("/") or tag in RAW:
+                behind = source.after(tag, at)
+                if behind >= 0:
+                    at = behind
+                elif tag in RAW:
+                    at = n
+            continue
+        if tag == "br":
+            Node("#space", top, 0, " ")
+            continue
+        if tag in VOID:
+            if tag == "hr":
+                Node("hr", top)
+            continue
+        # Implied ends, looked for up to the element that confines them.
+        x, up = top, 0
+        while x.parent is not None:
+            if x.tag in _ENDS and tag in _ENDS[x.tag]:
+                top, depth, up = x.parent, depth - up - 1, -1
+                beyond.clear()
+                inside.clear()
+                if x.tag == "p":
+                    break
+            elif x.tag in _CONFINES and x.tag not in _SCOPE.get(tag, ()) and not (x.tag in ("td", "th") and tag in ("td", "th", "tr")):
+                break
+            elif x.tag in _SCOPE.get(tag, ()):
+                break
+            x, up = x.parent, up + 1
+        if depth >= MAX_DEPTH:
+            if tag not in INLINE:
+                Node("hr", top)
+            beyond.append(tag)
+            inside[tag] += 1
+            continue
+        top, depth = Node(tag, top, groups_of(attributes) if "=" in attributes else 0), depth + 1
+        if attributes.rstrip().endswith("/") and tag not in TAGS:
+            top, depth = top.parent, depth - 1
     return root
 
 
@@ -472,7 +577,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = handle.value
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             texts: list[str] = []
             group: list[str] = []
             size = 0
