@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, cut, sieve_join
+from graphloom.llm.common import as_bytes, by_bytes, cut, sieve_join
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, m: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, (a, b) = Shingler(shingle), coefficients(2 * m * k)
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             sizes, digests, keys = [], [], []
             for text in as_bytes(batch.column(1)).to_pylist():
                 s = shingles(text or b"")
@@ -151,7 +151,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
                 known[node] = text, shingles(text or b"")
             return known[node][1] if known[node][0] == text else shingles(text or b"")
 
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             got = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)).to_pylist(), as_bytes(batch.column(3)).to_pylist()]
             keep = [similar(of(a, ta), of(b, tb), threshold) for a, b, ta, tb in zip(*got, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -275,7 +275,9 @@ def near_duplicates(
         labels = components(links.unionByName(more))
     by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component_id"))
     by_class = cut(by_class)
-    out = sig.select("id", "n", "digest").join(by_class, F.col("digest") == F.col("d"), "left")
+    # Sets without a shingle have no digest: beside the join, where they would meet in one partition. By merge, as in _blocks.
+    full = sig.filter("digest is not null").join(by_class.hint("merge"), F.col("digest") == F.col("d"), "left").select("id", "n", "component_id")
+    out = full.unionByName(sig.filter("digest is null").select("id", "n", F.lit(None).cast(sig.schema["id"].dataType).alias("component_id")))
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 

@@ -12,6 +12,7 @@ whole is cut at multiples of ``grain`` tokens to fill the room that is left. The
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import by_bytes, cut
 
 CAPACITY = 2048
 GRAIN = 32
@@ -42,6 +43,20 @@ _LETTERS, _NUMBERS, _SPACE = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff",
 _PARTS = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
 
 
+#: The settings of the vocabularies to which the pattern applies.
+BY_PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -80,7 +95,7 @@ class WordEncoder:
     The vocabulary's pre-tokeniser splits a text into parts (letters, one number, marks) and drops white space, so a text's
     ids are its parts' ids in order. Of a simple text the parts are found here, and each part not met before goes through the
     library's BPE model. Other texts are split at white space, and those of their words that aren't simple either go through the
-    whole tokenizer.
+    whole tokenizer. Of a vocabulary with another normaliser or pre-tokeniser all texts go through the whole tokenizer.
     """
 
     def __init__(self, path: str, words: int = CACHE_WORDS):
@@ -91,6 +106,8 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_parts = all(settings[k] == v for k, v in BY_PARTS.items()) and all(t["content"].startswith("<|") for t in settings["added_tokens"])
         self.words, self.now = words, _Parts(self.model.tokenize, self.letters, {})
 
     def _plain(self, text: str) -> bytes:
@@ -109,6 +126,8 @@ class WordEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. The older generation of the cache goes when the newer is full."""
+        if not self.by_parts:
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.now) > self.words:
             self.now.old = {}
             self.now = _Parts(self.model.tokenize, self.letters, self.now)
@@ -140,7 +159,7 @@ def _tokenise(path: str, end_id: int, capacity: int, grain: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = encoder(path), array("I", [end_id]).tobytes()
         part, numbers, full = TaskContext.get().partitionId(), {}, 0
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             out: tuple[list, ...] = tuple([] for _ in range(8))
             for ids in _each(encode, batch.column(1).to_pylist()):
                 ids += last

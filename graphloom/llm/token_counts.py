@@ -16,6 +16,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import by_bytes
+
 BATCH_BYTES = 1 << 20
 PIECE_CHARS = 1 << 14
 #: A space or line feed between characters that aren't white space.
@@ -66,7 +68,7 @@ def count_tokens(texts: list[str], path: str, batch_bytes: int = BATCH_BYTES, pi
         for piece in safe_pieces(text, piece_chars) if len(text) > piece_chars else (text,):
             pieces.append(piece)
             owners.append(k)
-            size += len(piece)
+            size += len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
             if size >= batch_bytes:
                 flush()
                 size = 0
@@ -85,7 +87,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             n = pa.array(count_tokens(texts, path, batch_bytes), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n], names=["__id", "n_bytes", "n_tokens"])

@@ -88,8 +88,8 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     copies = narrow.groupBy("__digest").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
     copies = cut(copies.filter("__n > 1").select("__digest", "__first"))
     alone = sieve_join(rows, copies, "__digest", anti=True)
-    # Those that may have copies: looked up exactly, a plain equi-join that the adaptive planner can split.
-    looked = sieve_join(rows, copies, "__digest").join(copies, "__digest", "left")
+    # Those that may have copies: looked up exactly. By merge, as only then are large partitions split.
+    looked = sieve_join(rows, copies, "__digest").join(copies.hint("merge"), "__digest", "left")
     revisit = (F.col("__id") != F.col("__first")) & (F.octet_length("__html") >= min_payload)
     make = lambda kind, first=None: _record(kind, F.col("__id"), F.col("__url"), F.col("__digest"), F.col("__html"), first)
     joined = looked.select(F.when(F.coalesce(revisit, F.lit(False)), make("revisit", F.col("__first"))).otherwise(make("response")).alias("value"))
