@@ -78,7 +78,7 @@ class Engine:
             items = self.g.commit_symbols
             first = relations.start_symbols(self.g, item).orderBy("id").first()
             item = first.qualified_name if first else item
-        return history.cochange(items).filter(F.col("a") == item).orderBy(F.desc("n_together"), "b")
+        return history.cochange_of(items, item).orderBy(F.desc("n_together"), "b")
 
     def _is_path(self, item: str) -> bool:
         """A file that is indexed, or a name that looks like one."""

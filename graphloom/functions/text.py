@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,13 +30,9 @@ def content_hash(data: Column) -> Column:
     return F.sha2(data, 256)
 
 
-def escape_like(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\%_])", r"\\$1")
-
-
-def colon_qualified(path: Column, name: Column) -> Column:
-    """``a/b.py`` and ``f`` as ``a::b::f``."""
-    return F.concat_ws("::", F.regexp_replace(F.regexp_replace(path, r"\.[^./]+$", ""), "/", "::"), name)
+def escape_like(text: str) -> str:
+    """A text as a pattern for ``LIKE`` that matches it alone."""
+    return re.sub(r"([\\%_])", r"\\\1", text)
 
 
 def source_slice(text: Column, first: Column, last: Column) -> Column:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -57,6 +55,17 @@ def pack(items: DataFrame, budget: int | None) -> DataFrame:
     return kept.groupBy("target").applyInArrow(run, kept.schema)
 
 
+def rendered(packed: DataFrame) -> DataFrame:
+    """``target, text``: each pack as Markdown, its sections in order. A pack is as long as its budget at most, or was asked for whole."""
+    names = F.array(*(F.lit(s) for s in SECTIONS))
+    items = packed.groupBy("target", "section").agg(F.sort_array(F.collect_list(F.struct("position", "item"))).alias("items"))
+    part = F.concat(F.lit("## "), F.element_at(names, F.col("section") + 1), F.lit("\n"), F.array_join(F.transform("items", lambda x: F.concat(F.lit("- "), x["item"])), "\n"), F.lit("\n"))
+    body = items.select("target", "section", part.alias("part")).groupBy("target").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section", "part"))), lambda x: x["part"]), "\n").alias("body"))
+    head = F.concat(F.lit("# Context: "), F.col("target").cast("string"), F.lit("\n"))
+    estimate = F.ceil(F.char_length(F.concat(head, "body")) / F.lit(4.0)).cast("string")
+    return body.select("target", F.concat(head, F.lit("- Estimated Tokens: "), estimate, F.lit("\n\n"), F.col("body")).alias("text"))
+
+
 def tokens(text: str) -> int:
     return math.ceil(len(text) / 4)
 
@@ -66,12 +75,3 @@ def markdown(target: str, sections: dict[str, list[str]]) -> str:
     body = "\n".join(line for name, items in sections.items() if items for line in (f"## {name}", *(f"- {x}" for x in items), ""))
     head = f"# Context: {target}\n"
     return f"{head}- Estimated Tokens: {tokens(head + body)}\n\n{body}"
-
-
-def as_json(target: str, sections: dict[str, list[str]]) -> str:
-    return json.dumps({"target": target, **sections}, ensure_ascii=False)
-
-
-def parts(text: str) -> Iterator[str]:
-    """Paragraphs of a doc, for packs that take docs piece by piece."""
-    yield from (p for p in text.split("\n\n") if p.strip())

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.schema import CONTEXT_KINDS, IMPACT_KINDS
+from graphloom.schema import COMBINATORS, CONTEXT_KINDS, IMPACT_KINDS
 
-#: Functions that only combine others; they aren't steps of a pipeline. Fixed values.
-COMBINATORS = ("map", "filter", "reduce", "pipe", "compose", "flow", "bind", "then", "flatMap", "apply")
 
 
 def hops(edges: DataFrame, kinds: tuple[str, ...], forward: bool) -> DataFrame:

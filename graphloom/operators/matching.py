@@ -43,15 +43,44 @@ def channel_pairs(sends: DataFrame, receives: DataFrame) -> DataFrame:
     return s.join(r, "channel").filter("sender <> receiver").select("sender", "receiver", "channel")
 
 
+def channel_counts(sends: DataFrame, receives: DataFrame) -> DataFrame:
+    """Of each channel the number of pairs that ``channel_pairs`` has and the sums of their ends, without making them.
+
+    Pairs are all senders with all receivers but those of one scope; scopes are numbers.
+    """
+    ends = sends.select("scope", "channel", F.lit(1).alias("s"), F.lit(0).alias("r")).unionByName(receives.select("scope", "channel", F.lit(0).alias("s"), F.lit(1).alias("r")))
+    ends = ends.filter("scope is not null and channel is not null").groupBy("channel", "scope").agg(F.max("s").alias("s"), F.max("r").alias("r"))
+    both, scope = F.col("s") * F.col("r"), F.col("scope")
+    sums = ends.groupBy("channel").agg(
+        F.sum("s").alias("n_s"), F.sum("r").alias("n_r"), F.sum(both).alias("n_both"),
+        F.sum(F.col("s") * scope).alias("sum_s"), F.sum(F.col("r") * scope).alias("sum_r"), F.sum(both * scope).alias("sum_both"),
+    )
+    out = sums.select("channel", F.expr("n_s * n_r - n_both").alias("n_pairs"), F.expr("sum_s * n_r - sum_both").alias("sum_senders"), F.expr("sum_r * n_s - sum_both").alias("sum_receivers"))
+    return out.filter("n_pairs > 0")
+
+
 def set_metrics(rows: DataFrame, group: list[str], retrieved: str = "retrieved", expected: str = "expected") -> DataFrame:
     """Precision, recall and F1 on distinct sets; two empty sets agree fully, an empty retrieval of something is 0."""
-    both = F.size(F.array_intersect(retrieved, expected)).cast("double")
-    n, m = F.size(F.array_distinct(retrieved)), F.size(F.array_distinct(expected))
-    p = F.when((n == 0) & (m == 0), 1.0).when(n == 0, 0.0).otherwise(both / n)
-    r = F.when(m == 0, 1.0).otherwise(both / m)
+    return _metrics(rows, group, F.size(F.array_intersect(retrieved, expected)), F.size(F.array_distinct(retrieved)), F.size(F.array_distinct(expected)))
+
+
+def metrics_of_rows(rows: DataFrame, group: list[str], item: str = "item", retrieved: str = "retrieved", expected: str = "expected") -> DataFrame:
+    """The same of sets that stand as rows: group, item, and whether it is retrieved and expected.
+
+    No set is gathered: repeated items are one by aggregation, and of a group only three counts are kept.
+    """
+    flag = lambda c: F.max(F.coalesce(F.col(c), F.lit(False)).cast("int"))
+    each = rows.groupBy(*group, item).agg(flag(retrieved).alias("__r"), flag(expected).alias("__x"))
+    sums = each.groupBy(*group).agg(F.sum(F.col("__r") * F.col("__x")).alias("__both"), F.sum("__r").alias("__n"), F.sum("__x").alias("__m"))
+    return _metrics(sums, group, F.col("__both"), F.col("__n"), F.col("__m"))
+
+
+def _metrics(rows: DataFrame, group: list[str], both: Column, n: Column, m: Column) -> DataFrame:
+    share = both.cast("double")
+    p = F.when((n == 0) & (m == 0), 1.0).when(n == 0, 0.0).otherwise(share / n)
+    r = F.when(m == 0, 1.0).otherwise(share / m)
     f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
-    ok = F.size(F.array_except(expected, retrieved)) == 0
-    return rows.select(*group, F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"), ok.alias("success"))
+    return rows.select(*group, F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"), (both == m).alias("success"))
 
 
 def similarity_target(name: Column) -> Column:

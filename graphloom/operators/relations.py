@@ -6,9 +6,11 @@ symbol's own name and the last ``::`` or ``.`` segment of an unresolved target.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
+
 
 def named_edges(g, *kinds: str, edges: DataFrame | None = None) -> DataFrame:
     """Edges of some kinds with source and target names, kinds and paths. The two symbol joins go by id.
@@ -33,11 +35,13 @@ def edges_at(g, kinds: tuple[str, ...], symbols: DataFrame, column: str) -> Data
 
 def edges_to_name(g, name: str, kinds: tuple[str, ...]) -> DataFrame:
     """Edges whose resolved or unresolved target a name stands for, found before any names are joined."""
-    resolved = edges_at(g, kinds, g.symbols.filter(symbol_has(name)), "target_symbol_id")
+    hit = g.symbols.filter(symbol_has(name)).select(F.col("id").alias("hit_id"))
     text = F.col("unresolved_target") == name
     if "::" not in name:  # suffix tests on lower case, as the pattern match ignores ASCII case
         text = text | F.lower("unresolved_target").endswith("::" + name.lower()) | F.lower("unresolved_target").endswith("." + name.lower())
-    return resolved.unionByName(g.edges.filter(F.col("kind").isin(*kinds) & F.col("target_symbol_id").isNull() & text))
+    edges = g.edges.filter(F.col("kind").isin(*kinds) & (F.col("target_symbol_id").isNotNull() | text))
+    found = edges.join(hit, F.col("target_symbol_id") == F.col("hit_id"), "left")  # one pass over the edges for either kind of target
+    return found.filter(F.col("target_symbol_id").isNull() | F.col("hit_id").isNotNull()).drop("hit_id")
 
 
 def symbol_has(name: str) -> Column:
@@ -88,9 +92,13 @@ def imported_by(g, path: str) -> DataFrame:
 
 def symbol_by_qualified_name(g) -> DataFrame:
     """At most one symbol a repository and qualified name: files that aren't xml first, then the least id."""
-    rows = g.symbols.join(g.files.select(F.col("id").alias("file"), "repository_id", "language"), F.col("file_id") == F.col("file"))
-    first = Window.partitionBy("repository_id", "qualified_name").orderBy(F.when(F.col("language") == "xml", 1).otherwise(0), "id")
-    return rows.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("repository_id", "qualified_name", "id", "kind")
+    first = F.min(F.struct(F.coalesce(F.col("language") == "xml", F.lit(False)).alias("xml"), "id", "kind")).alias("b")
+    return _placed(g).groupBy("repository_id", "qualified_name").agg(first).select("repository_id", "qualified_name", "b.id", "b.kind")
+
+
+def _placed(g) -> DataFrame:
+    """Symbols with their file's repository, language and path."""
+    return g.symbols.join(g.files.select(F.col("id").alias("file"), "repository_id", "language", "path"), F.col("file_id") == F.col("file")).drop("file")
 
 
 def symbols_by_name(g, name: str) -> DataFrame:
@@ -98,9 +106,11 @@ def symbols_by_name(g, name: str) -> DataFrame:
 
 
 def start_symbols(g, name: str) -> DataFrame:
-    """Symbols that a name stands for: the qualified one if there is one, else all of that simple name."""
-    exact = g.symbols.filter(F.col("qualified_name") == name).orderBy("id").limit(1) if "::" in name or "." in name else g.symbols.limit(0)
-    exact = exact.select("id", "qualified_name", "kind")
+    """Symbols that a name stands for: the qualified one if there is one (of a file that isn't xml first), else all of that simple name."""
+    exact = g.symbols.limit(0).select("id", "qualified_name", "kind")
+    if "::" in name or "." in name:
+        xml = F.coalesce(F.col("language") == "xml", F.lit(False))
+        exact = _placed(g).filter(F.col("qualified_name") == name).orderBy(xml, "id").limit(1).select("id", "qualified_name", "kind")
     simple = symbols_by_name(g, name).select("id", "qualified_name", "kind")
     return exact.unionByName(simple.join(exact.select(F.lit(1).alias("hit")).limit(1), F.lit(True), "left_anti"))
 
@@ -108,7 +118,8 @@ def start_symbols(g, name: str) -> DataFrame:
 def fuzzy_find(g, name: str) -> DataFrame:
     """Start symbols, or else those whose name or qualified name contains the text, without regard to case."""
     exact = start_symbols(g, name)
-    like = g.symbols.filter(F.col("name").ilike(f"%{name}%") | F.col("qualified_name").ilike(f"%{name}%")).select("id", "qualified_name", "kind")
+    pattern = f"%{T.escape_like(name)}%"
+    like = g.symbols.filter(F.col("name").ilike(pattern) | F.col("qualified_name").ilike(pattern)).select("id", "qualified_name", "kind")
     return exact.unionByName(like.join(exact.select(F.lit(1).alias("hit")).limit(1), F.lit(True), "left_anti"))
 
 
@@ -146,3 +157,26 @@ def routes_with_dependencies(routes: DataFrame, g) -> DataFrame:
     """Routes with the number of what their handlers are configured by, in order of path and method."""
     deps = named_edges(g, "ConfiguredBy").select("source_qname", target_label().alias("dep")).distinct()
     return routes.join(deps, routes.qualified_name == deps.source_qname, "left").groupBy("path", "method", "qualified_name").agg(F.count("dep").alias("n_deps")).orderBy("path", "method")
+
+
+def repository_by_root(g, root: str) -> DataFrame:
+    return g.repositories.filter(F.col("root_path") == root)
+
+
+def file_by_path(g, path: str) -> DataFrame:
+    """The files of a path, one a repository at most."""
+    return g.files.filter(F.col("path") == path)
+
+
+def symbols_of_file(g, path: str) -> DataFrame:
+    own = file_by_path(g, path).select(F.col("id").alias("file_id"))
+    return g.symbols.join(own, "file_id", "left_semi").select("id", "name", "qualified_name", "kind", "start_line").orderBy("start_line", "id")
+
+
+def symbol_by_id(g, symbol_id: int) -> DataFrame:
+    return g.symbols.filter(F.col("id") == symbol_id)
+
+
+def tests_of_file(g, path: str) -> DataFrame:
+    own = file_by_path(g, path).select(F.col("id").alias("file_id"))
+    return g.tests.join(own, "file_id", "left_semi").select("id", "name", "qualified_name", "kind").orderBy("qualified_name")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,11 +96,52 @@ def doc_symbol_links(g) -> DataFrame:
     return docs.join(g.symbols.select(F.col("id").alias("symbol_id"), normalise(F.col("name")).alias("key")), "key").select("doc_id", "symbol_id").distinct()
 
 
-def doc_body_links(g, symbols: DataFrame) -> DataFrame:
-    """Docs whose body contains a symbol's qualified name, with ``::`` or with dots; ``symbols`` must be a small selection."""
-    names = symbols.select(F.col("id").alias("symbol_id"), "qualified_name", F.regexp_replace("qualified_name", "::", ".").alias("dots"))
-    docs = g.docs.select(F.col("id").alias("doc_id"), "body")
-    return docs.join(names, docs.body.contains(F.col("qualified_name")) | docs.body.contains(F.col("dots"))).select("doc_id", "symbol_id")
+#: Characters of names in one automaton, which takes some 80 bytes for each.
+BLOCK_CHARS = 1 << 21
+
+
+def names_in_texts(texts: DataFrame, id_col: str, text_col: str, names: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``id, name``: each distinct name that a text contains anywhere, by Aho-Corasick automata over blocks of the names.
+
+    Each block of names takes one pass over the texts; no text meets the names one by one. Null texts and empty names match nothing.
+    """
+    spark = texts.sparkSession
+    source = texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"id {source.schema['id'].dataType.simpleString()}, name string"
+    out = spark.createDataFrame([], schema)
+    block: list[str] = []
+
+    def found(part: list[str]) -> DataFrame:
+        handle = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for name in handle.value:
+                automaton.add_word(name, name)
+            automaton.make_automaton()
+            for batch in batches:
+                hits = [sorted({name for _, name in automaton.iter(t or "")}) for t in batch.column(1).to_pylist()]
+                at = pa.array([k for k, h in enumerate(hits) for _ in h], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([n for h in hits for n in h], pa.string())], names=["id", "name"])
+
+        return source.mapInArrow(run, schema)
+
+    size = 0
+    for row in names.select(F.col(names.columns[0]).cast("string").alias("name")).filter("name <> ''").distinct().toLocalIterator():
+        block.append(row.name)
+        size += len(row.name)
+        if size >= block_chars:
+            out, block, size = out.unionByName(found(block)), [], 0
+    return out.unionByName(found(block)) if block else out
+
+
+def doc_body_links(g, symbols: DataFrame | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Docs whose body contains a symbol's qualified name, with ``::`` or with dots; of all symbols if none are given."""
+    symbols = g.symbols if symbols is None else symbols
+    dots = F.replace(F.col("qualified_name"), F.lit("::"), F.lit("."))
+    names = symbols.select(F.col("id").alias("symbol_id"), F.explode(F.array_distinct(F.array(F.col("qualified_name"), dots))).alias("name"))
+    hits = names_in_texts(g.docs, "id", "body", names.select("name"), block_chars)
+    return hits.join(names, "name").select(F.col("id").alias("doc_id"), "symbol_id").distinct()
 
 
 def generated_base(name: Column) -> Column:

@@ -13,13 +13,6 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def index(docs: DataFrame, id_col: str, *columns: str) -> DataFrame:
-    """``doc, term, tf, dl`` over the columns pooled."""
-    text = F.concat_ws(" ", *columns)
-    rows = docs.select(F.col(id_col).alias("doc"), terms(text).alias("ts")).withColumn("dl", F.size("ts"))
-    return rows.select("doc", "dl", F.explode("ts").alias("term")).groupBy("doc", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def bm25(docs: DataFrame, id_col: str, query: str, *columns: str) -> DataFrame:
     """``doc, score`` of docs that hold all words of the query, the best (smallest) first.
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import coverage, graph, history, incremental, matching, relations, resolve, search
+from graphloom.engine import Engine
+from graphloom.operators import context, coverage, graph, history, incremental, matching, relations, resolve, search
 from graphloom.sources.testdata import CUSTOMER, NATION, PART, StarGraph
 
 PART_NAME = "small ring"
@@ -19,6 +20,13 @@ WORD = "erth"
 HOUR = 3_600_000_000  # in microseconds
 
 
+class View:
+    """Tables under the names that the operators expect."""
+
+    def __init__(self, **tables: DataFrame):
+        self.__dict__.update(tables)
+
+
 def _start(g: StarGraph, symbol_id: int) -> DataFrame:
     return g.symbols.filter(F.col("id") == symbol_id).select("id")
 
@@ -41,19 +49,22 @@ def upsert_symbols(g: StarGraph) -> DataFrame:
 
 
 def delete_files(g: StarGraph) -> DataFrame:
-    kept = incremental.delete_files(g.edges.filter("kind = 'Imports'"), g.symbols, g.files.filter("id < 3").select("id"))
-    return kept.select("source_symbol_id", "target_symbol_id", "unresolved_target")
+    """All edges after three files have gone."""
+    kept = incremental.delete_files(g.edges, g.symbols, g.files.filter("id < 3").select("id"))
+    return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("n_edges"), F.count("target_symbol_id").alias("n_resolved"), F.sum("source_symbol_id").alias("sum_sources"), F.sum("target_symbol_id").alias("sum_targets"), F.sum(F.char_length("unresolved_target")).alias("n_chars"))
 
 
 def replace_coverage(g: StarGraph) -> DataFrame:
-    old = g.coverage.filter("file_id < 5").select("file_id", "suite", "line", F.lit("old").alias("version"))
-    new = g.coverage.filter("file_id < 5 and suite = 'F' and line % 2 = 0").select("file_id", "suite", "line", F.lit("new").alias("version"))
+    """All lines, of which the suite F has a new report with every other line."""
+    old = g.coverage.select("file_id", "suite", "line", F.lit("old").alias("version"))
+    new = g.coverage.filter("suite = 'F' and line % 2 = 0").select("file_id", "suite", "line", F.lit("new").alias("version"))
     return incremental.replace_reports(old, new, ["suite"]).groupBy("file_id", "suite", "version").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def edge_exists(g: StarGraph) -> DataFrame:
-    e = g.edges.filter("kind = 'Imports'").select("source_symbol_id", (F.col("target_symbol_id") + (F.col("source_symbol_id") % 2)).alias("target_symbol_id"), "unresolved_target", "kind")
-    return relations.edge_exists(g, e).select("source_symbol_id", "target_symbol_id")
+    """All edges, those of odd sources with another target."""
+    e = g.edges.select("source_symbol_id", (F.col("target_symbol_id") + (F.col("source_symbol_id") % 2)).alias("target_symbol_id"), "unresolved_target", "kind")
+    return relations.edge_exists(g, e).groupBy("kind").agg(F.count(F.lit(1)).alias("n_edges"), F.count("target_symbol_id").alias("n_resolved"), F.sum("source_symbol_id").alias("sum_sources"))
 
 
 def resolve_edges(g: StarGraph) -> DataFrame:
@@ -73,7 +84,12 @@ def doc_symbol_links(g: StarGraph) -> DataFrame:
 
 
 def doc_body_links(g: StarGraph) -> DataFrame:
-    return resolve.doc_body_links(g, g.symbols.filter("kind = 'Module'"))
+    """Pages as docs, and all places that any page links to as names: which pages hold which, as a link or not."""
+    pages = g.table("pages").select(F.col("page_id").alias("id"), F.col("html").alias("body"))
+    names = pages.select(F.explode(T.links(F.col("body"))).alias("qualified_name")).filter("qualified_name <> ''").groupBy("qualified_name").agg(F.min(F.lit(0)).alias("id"))
+    view = View(docs=pages, symbols=names.select(F.xxhash64("qualified_name").alias("id"), "qualified_name"))
+    links = resolve.doc_body_links(view)
+    return links.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_names"))
 
 
 def tests_for_symbols(g: StarGraph) -> DataFrame:
@@ -98,11 +114,19 @@ def reached_edges(g: StarGraph) -> DataFrame:
 
 
 def context_pack_prefix(g: StarGraph) -> DataFrame:
-    """Docs of each file in order of id while their estimated tokens fit 8000: the first that doesn't ends the section."""
-    from pyspark.sql import Window
+    """Packs of 50 neighbouring docs each: English ones while their estimated tokens fit 8000, then the others in what is left."""
+    return context.pack(_pack_items(g), 8000).select("target", "section", F.col("position").alias("doc_id"), "tokens")
+
 
-    rows = g.docs.select("file_id", F.col("id").alias("doc_id"), search.estimate_tokens(F.col("body")).alias("tokens"))
-    return rows.withColumn("total", F.sum("tokens").over(Window.partitionBy("file_id").orderBy("doc_id"))).filter("total <= 8000")
+def _pack_items(g: StarGraph) -> DataFrame:
+    tokens = F.greatest(search.estimate_tokens(F.coalesce("body", F.lit(""))), F.lit(1)).cast("long")
+    section = F.when(F.col("path").like("%/en/%"), 1).otherwise(2)
+    return g.docs.select(F.expr("id div 50").alias("target"), section.alias("section"), F.col("id").alias("position"), F.col("path").alias("item"), tokens.alias("tokens"))
+
+
+def context_pack_text(g: StarGraph) -> DataFrame:
+    """The same packs as Markdown."""
+    return context.rendered(context.pack(_pack_items(g), 8000))
 
 
 def pipeline_steps(g: StarGraph) -> DataFrame:
@@ -145,8 +169,7 @@ def unsafe_containment(g: StarGraph) -> DataFrame:
 
 def channel_pairs(g: StarGraph) -> DataFrame:
     e = g.events.select(F.col("user_id").alias("scope"), "event_type", F.get_json_object("props", "$.k").cast("long").alias("channel"))
-    pairs = matching.channel_pairs(e.filter("event_type = 'view'").drop("event_type"), e.filter("event_type = 'click'").drop("event_type"))
-    return pairs.groupBy("channel").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("sender").alias("sum_senders"), F.sum("receiver").alias("sum_receivers"))
+    return matching.channel_counts(e.filter("event_type = 'view'").drop("event_type"), e.filter("event_type = 'click'").drop("event_type"))
 
 
 def topology(g: StarGraph) -> DataFrame:
@@ -161,8 +184,8 @@ def longest_prefix_package(g: StarGraph) -> DataFrame:
 
 
 def suffix_path_match(g: StarGraph) -> DataFrame:
-    docs = g.docs.filter("id % 3 = 0")
-    reported = docs.select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("build/"), "path")).otherwise(F.substring_index("path", "/", -2)).alias("path"))
+    """All docs' paths as a report has them: some under another folder, some without their first one."""
+    reported = g.docs.select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("build/"), "path")).otherwise(F.substring_index("path", "/", -2)).alias("path"))
     return matching.suffix_match(reported.distinct(), g.docs.select("path"))
 
 
@@ -196,13 +219,13 @@ def grep_baseline(g: StarGraph) -> DataFrame:
 
 
 def _benchmark_sets(g: StarGraph) -> DataFrame:
-    """Documents that begin like a benchmark item's first word, against documents of good quality, by language."""
+    """Long documents against documents of good quality, by language."""
     rows = g.table("documents").join(g.table("labels"), "doc_id")
-    return rows.groupBy("lang").agg(F.collect_list(F.when(F.col("n_chars") > 900, F.col("doc_id"))).alias("retrieved"), F.collect_list(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("expected"))
+    return rows.select("lang", F.col("doc_id").alias("item"), (F.col("n_chars") > 900).alias("retrieved"), (F.col("quality") == 1).alias("expected"))
 
 
 def set_metrics(g: StarGraph) -> DataFrame:
-    return matching.set_metrics(_benchmark_sets(g), ["lang"])
+    return matching.metrics_of_rows(_benchmark_sets(g), ["lang"])
 
 
 def bench_summary(g: StarGraph) -> DataFrame:
@@ -235,7 +258,7 @@ def workspace_deps(g: StarGraph) -> DataFrame:
 
 def android_refs(g: StarGraph) -> DataFrame:
     """Distinct sources of edges of any kind into one symbol."""
-    return relations.named_edges(g, "Imports", "ConfiguredBy").filter("target_qname = 'NATION_4'").select("source_qname", "source_path").distinct()
+    return Engine(g).resource_references("NATION_4")
 
 
 def names_of_tests(g: StarGraph) -> DataFrame:
@@ -243,6 +266,45 @@ def names_of_tests(g: StarGraph) -> DataFrame:
     return rows.select("name", matching.similarity_target(F.col("name")).alias("target"))
 
 
+def git_metadata(g: StarGraph) -> DataFrame:
+    rows = history.git_metadata(g.commit_files, g.commits)
+    return rows.select("item", "churn", "commit_id", "authored_date", F.array_join("authors", "|").alias("authors"))
+
+
+def generated_links(g: StarGraph) -> DataFrame:
+    """Five parts each: a base class with a mark, and four names made of it."""
+    base = F.concat(F.lit("C"), F.expr("p_partkey div 5").cast("string"))
+    n = F.col("p_partkey") % 5
+    name = F.when(n == 0, base).when(n == 1, F.concat(base, F.lit("Serializer"))).when(n == 2, F.concat(base, F.lit("_Impl"))).when(n == 3, F.concat(base, F.lit("JsonAdapter"))).otherwise(F.concat(F.lit("Dagger"), base))
+    mark = F.element_at(F.array(*(F.lit(x) for x in ("Serializable", "Dao", "JsonClass", "Component"))), (F.col("p_size") % 4 + 1).cast("int"))
+    part = g.table("part")
+    return resolve.generated_links(part.select(F.col("p_partkey").alias("id"), name.alias("name")), part.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("symbol_id"), mark.alias("mark")))
+
+
+def external_targets(g: StarGraph) -> DataFrame:
+    """Edges that stay open and begin with a dependency of their package."""
+    owners = g.symbols.select(F.col("id").alias("source_symbol_id"), F.col("file_id").alias("package_id"))
+    found = resolve.resolve_external(resolve.resolve_edges(g), owners, g.dependencies)
+    return found.groupBy("kind", "external_file").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+def test_deps(g: StarGraph) -> DataFrame:
+    """What a test is linked with by its calls."""
+    links = resolve.direct_call_tests(g).select("source_symbol_id", "target_symbol_id", F.lit(None).cast("string").alias("unresolved_target"), F.lit("TestedBy").alias("kind"), F.lit(1.0).alias("confidence"))
+    return Engine(View(files=g.files, symbols=g.symbols, edges=links)).test_deps("Customer#000000004")
+
+
+def provenance(g: StarGraph) -> DataFrame:
+    found = relations.symbols_by_name(g, PART_NAME).join(g.generated_symbols.withColumnRenamed("symbol_id", "id"), "id", "left")
+    return found.select("id", "qualified_name", "provenance")
+
+
+def coverage_of_symbols(g: StarGraph) -> DataFrame:
+    """Lines of each symbol by suite."""
+    intervals = g.symbols.select("file_id", F.col("qualified_name").alias("symbol"), "start_line", "end_line")
+    return coverage.symbol_coverage(g.coverage, intervals)
+
+
 QUERIES: dict[str, Callable[[StarGraph], DataFrame]] = {
     "callers": lambda g: relations.sources_of(g, PART_NAME, "Calls"),
     "callers_all": relations.caller_counts,
@@ -277,12 +339,17 @@ QUERIES: dict[str, Callable[[StarGraph], DataFrame]] = {
     "tests_for_symbols": tests_for_symbols,
     "doc_symbol_links": doc_symbol_links,
     "doc_body_links": doc_body_links,
+    "generated_links": generated_links,
+    "external_targets": external_targets,
+    "test_deps": test_deps,
     "test_name_targets": names_of_tests,
     "file_churn": lambda g: history.churn(g.commit_files),
     "symbol_churn": lambda g: history.churn(g.commit_symbols),
     "author_frequency": lambda g: history.author_frequency(g.commit_symbols, g.commits),
     "last_commit": lambda g: history.last_commit(g.commit_files, g.commits),
-    "file_cochange": lambda g: history.cochange(g.commit_files, 2),
+    "file_cochange": lambda g: history.cochange(g.commit_files),
+    "cochange_of_file": lambda g: history.cochange_of(g.commit_files, 7),
+    "git_metadata": git_metadata,
     "symbol_cochange": lambda g: history.cochange(g.commit_symbols),
     "bfs_forward": lambda g: graph.traverse(g.edges, _start(g, CUSTOMER + 1)),
     "bfs_backward": lambda g: graph.traverse(g.edges, _start(g, NATION + 3), forward=False),
@@ -292,6 +359,7 @@ QUERIES: dict[str, Callable[[StarGraph], DataFrame]] = {
     "impact_docs": impact_docs,
     "context_neighbors": lambda g: graph.neighbourhood(g, _start(g, PART + 7)),
     "context_pack_prefix": context_pack_prefix,
+    "context_pack_text": context_pack_text,
     "call_order": call_order,
     "pipeline_steps": pipeline_steps,
     "coverage_by_symbol": coverage_by_symbol,
@@ -318,6 +386,26 @@ QUERIES: dict[str, Callable[[StarGraph], DataFrame]] = {
     "routes_with_deps": routes_with_deps,
     "workspace_deps": workspace_deps,
     "android_refs": android_refs,
+    "repository_by_root": lambda g: relations.repository_by_root(g, "EUROPE"),
+    "file_by_path": lambda g: relations.file_by_path(g, NATION_FILE),
+    "symbols_of_file": lambda g: relations.symbols_of_file(g, NATION_FILE),
+    "symbol_by_id": lambda g: relations.symbol_by_id(g, PART + 7).select("id", "name", "qualified_name", "kind", "start_line", "end_line"),
+    "tests_of_file": lambda g: relations.tests_of_file(g, NATION_FILE),
+    "all_symbols": lambda g: Engine(g).symbols().select("id", "file_id", "name", "qualified_name", "kind", "start_line", "end_line"),
+    "provenance": provenance,
+    "model_fields": lambda g: Engine(g).model("Supplier#000000003"),
+    "model_dependencies_of": lambda g: Engine(g).model_dependencies(PART_NAME),
+    "workspace": lambda g: Engine(g).workspace(),
+    "package_dependencies": lambda g: Engine(g).deps("NATION_3"),
+    "concurrency": lambda g: Engine(g).concurrency("user::7"),
+    "safety_of_file": lambda g: Engine(g).safety(NATION_FILE).select("path", "blocks", "unsafe_functions", "ffi", "exposed", "score", "risk"),
+    "coverage_of_file": lambda g: Engine(g).coverage(NATION_FILE),
+    "coverage_of_symbols": coverage_of_symbols,
+    "uncovered_of_file": lambda g: Engine(g).uncovered(NATION_FILE),
+    "android_components": lambda g: Engine(g).android_components(),
+    "android_resources": lambda g: Engine(g).android_resources(),
+    "route_list": lambda g: Engine(g).routes(),
+    "name_pattern_find": lambda g: Engine(g).find("n_1"),
 }
 
 

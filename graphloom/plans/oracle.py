@@ -128,7 +128,7 @@ BODIES: dict[str, str] = {
     "start_symbols": "SELECT id, qualified_name, kind FROM symbols WHERE qualified_name = 'NATION_2::Customer#000000000' OR (name = 'NATION_2::Customer#000000000' AND NOT EXISTS (SELECT 1 FROM symbols WHERE qualified_name = 'NATION_2::Customer#000000000'))",
     "fuzzy_find": "SELECT id, qualified_name, kind FROM symbols WHERE name ILIKE '%SMALL R%' OR qualified_name ILIKE '%SMALL R%'",
     "symbol_subtree": "SELECT id, qualified_name FROM symbols WHERE qualified_name = 'NATION_5' OR starts_with(qualified_name, 'NATION_5::')",
-    "edge_exists": "SELECT source_symbol_id, target_symbol_id FROM (SELECT source_symbol_id, target_symbol_id + source_symbol_id % 2 AS target_symbol_id FROM edges WHERE kind = 'Imports') w WHERE EXISTS (SELECT 1 FROM edges e WHERE e.kind = 'Imports' AND e.source_symbol_id = w.source_symbol_id AND e.target_symbol_id = w.target_symbol_id)",
+    "edge_exists": 'SELECT kind, count(*) AS n_edges, count(t) AS n_resolved, sum(s)::BIGINT AS sum_sources FROM (SELECT source_symbol_id AS s, target_symbol_id + source_symbol_id % 2 AS t, unresolved_target AS u, kind FROM edges) w WHERE EXISTS (SELECT 1 FROM edges e WHERE e.kind = w.kind AND e.source_symbol_id = w.s AND e.target_symbol_id = w.t AND e.unresolved_target IS NULL AND w.u IS NULL) OR (t IS NULL AND u IS NOT NULL) GROUP BY kind',
     "files_listing": "SELECT id, path, repository_id FROM files",
     "language_counts": "SELECT CASE WHEN path LIKE '%.py' THEN 'python' END AS language, count(*) AS n_files FROM files GROUP BY ALL",
     "row_counts": "SELECT 'repositories' AS table_name, count(*) AS n_rows FROM region " + " ".join(f"UNION ALL SELECT '{t}', count(*) FROM {t}" for t in ("files", "symbols", "edges", "docs", "tests", "commits")),
@@ -136,21 +136,21 @@ BODIES: dict[str, str] = {
     "incremental_diff": _DIFF,
     "index_run_summary": f"SELECT status, count(*) AS n_files FROM ({_DIFF}) GROUP BY ALL",
     "upsert_symbols": "SELECT min(p_partkey) AS id, p_brand, p_name, max(p_partkey) AS last_write, arg_max(p_size, p_partkey) AS p_size FROM part GROUP BY p_brand, p_name",
-    "delete_files": "SELECT DISTINCT source_symbol_id, CASE WHEN t.file_id < 3 THEN NULL ELSE target_symbol_id END AS target_symbol_id, CASE WHEN t.file_id < 3 THEN t.qualified_name ELSE unresolved_target END AS unresolved_target FROM edges e JOIN symbols s ON e.source_symbol_id = s.id LEFT JOIN symbols t ON e.target_symbol_id = t.id WHERE e.kind = 'Imports' AND s.file_id >= 3",
-    "replace_coverage": "SELECT file_id, suite, 'old' AS version, count(*) AS n_lines FROM cov WHERE file_id < 5 AND suite <> 'F' GROUP BY ALL UNION ALL SELECT file_id, suite, 'new', count(*) FROM cov WHERE file_id < 5 AND suite = 'F' AND line % 2 = 0 GROUP BY ALL",
+    "delete_files": 'SELECT kind, count(*) AS n_edges, count(t) AS n_resolved, sum(s)::BIGINT AS sum_sources, sum(t)::BIGINT AS sum_targets, sum(length(u))::BIGINT AS n_chars FROM (SELECT DISTINCT source_symbol_id AS s, CASE WHEN t.file_id < 3 THEN NULL ELSE target_symbol_id END AS t, CASE WHEN t.file_id < 3 THEN t.qualified_name ELSE unresolved_target END AS u, e.kind FROM edges e JOIN symbols s ON e.source_symbol_id = s.id LEFT JOIN symbols t ON e.target_symbol_id = t.id WHERE s.file_id >= 3) GROUP BY kind',
+    "replace_coverage": "SELECT file_id, suite, 'old' AS version, count(*) AS n_lines FROM cov WHERE suite <> 'F' GROUP BY ALL UNION ALL SELECT file_id, suite, 'new', count(*) FROM cov WHERE suite = 'F' AND line % 2 = 0 GROUP BY ALL",
     "resolve_edges": "SELECT kind, stage, count(*) AS n_edges, count(DISTINCT rid) AS n_targets, coalesce(sum(rid), 0)::BIGINT AS sum_targets FROM resolved GROUP BY ALL",
     "unique_match_gate": "SELECT repository_id, name, count(*) AS n_symbols, CASE WHEN count(*) = 1 THEN min(s.id) ELSE -1 END AS symbol_id FROM symbols s JOIN files f ON s.file_id = f.id GROUP BY ALL",
     "write_back": "SELECT kind, late, count(*) AS n_edges FROM (SELECT s, t, kind, min(late) AS late FROM (SELECT source_symbol_id AS s, target_symbol_id AS t, kind, 0 AS late FROM edges WHERE target_symbol_id IS NOT NULL UNION ALL SELECT source_symbol_id, rid, kind, 1 FROM resolved WHERE rid IS NOT NULL) GROUP BY s, t, kind) GROUP BY ALL",
     "direct_call_tests": _DIRECT,
     "tests_for_symbols": f"SELECT target_symbol_id, count(*) AS n_tests FROM ({_DIRECT}) GROUP BY ALL",
     "doc_symbol_links": "SELECT doc_id, count(*) AS n_symbols, min(sid) AS first_symbol FROM (SELECT DISTINCT d.id AS doc_id, s.id AS sid FROM docs d JOIN symbols s ON regexp_replace(regexp_replace(lower(d.title), '[ -]', '_', 'g'), '[^a-z0-9_]', '', 'g') = regexp_replace(regexp_replace(lower(s.name), '[ -]', '_', 'g'), '[^a-z0-9_]', '', 'g')) GROUP BY doc_id",
-    "doc_body_links": "SELECT d.id AS doc_id, s.id AS symbol_id FROM docs d JOIN symbols s ON contains(d.body, s.qualified_name) WHERE s.kind = 'Module'",
+    "doc_body_links": 'SELECT page_id AS doc_id, count(*) AS n_names FROM pages p JOIN (SELECT DISTINCT t FROM (SELECT unnest(regexp_extract_all(html, \'href="([^"]*)"\', 1)) AS t FROM pages) WHERE t <> \'\') ON contains(p.html, t) OR contains(p.html, replace(t, \'::\', \'.\')) GROUP BY page_id',
     "test_name_targets": "SELECT name, nullif(CASE WHEN starts_with(name, 'test_') THEN substr(name, 6) WHEN starts_with(name, 'test') THEN substr(name, 5) WHEN starts_with(name, 'Test') THEN substr(name, 5) END, '') AS target FROM (SELECT ['test_', 'Test', 'x'][c_custkey % 3 + 1] || c_name AS name FROM customer)",
     "file_churn": "SELECT item, count(DISTINCT commit_id) AS churn FROM cf GROUP BY item",
     "symbol_churn": "SELECT item, count(DISTINCT commit_id) AS churn FROM cs GROUP BY item",
     "author_frequency": "SELECT item, author, n_commits, round(n_commits::DOUBLE / sum(n_commits) OVER (PARTITION BY item) * 100.0, 6) AS share FROM (SELECT item, author_name || ' <' || author_email || '>' AS author, count(*) AS n_commits FROM cs JOIN commits c ON cs.commit_id = c.id GROUP BY ALL)",
     "last_commit": "SELECT item, commit_id, author_name, authored_date FROM (SELECT item, commit_id, author_name, authored_date, row_number() OVER (PARTITION BY item ORDER BY authored_date DESC, commit_id DESC) AS rn FROM cf JOIN commits c ON cf.commit_id = c.id) WHERE rn = 1",
-    "file_cochange": "SELECT a, b, n_together, round(n_together::DOUBLE / churn * 100.0, 6) AS rate FROM (SELECT x.item AS a, y.item AS b, count(*) AS n_together FROM cf x JOIN cf y ON x.commit_id = y.commit_id AND x.item <> y.item GROUP BY ALL HAVING count(*) >= 2) JOIN (SELECT item AS a, count(*) AS churn FROM cf GROUP BY item) USING (a)",
+    "file_cochange": "SELECT a, b, n_together, round(n_together::DOUBLE / churn * 100.0, 6) AS rate FROM (SELECT x.item AS a, y.item AS b, count(*) AS n_together FROM cf x JOIN cf y ON x.commit_id = y.commit_id AND x.item <> y.item GROUP BY ALL) JOIN (SELECT item AS a, count(*) AS churn FROM cf GROUP BY item) USING (a)",
     "symbol_cochange": "SELECT a, b, n_together, round(n_together::DOUBLE / churn * 100.0, 6) AS rate FROM (SELECT x.item AS a, y.item AS b, count(*) AS n_together FROM cs x JOIN cs y ON x.commit_id = y.commit_id AND x.item <> y.item GROUP BY ALL) JOIN (SELECT item AS a, count(*) AS churn FROM cs GROUP BY item) USING (a)",
     "bfs_forward": _bfs(3000001, True),
     "bfs_backward": _bfs(1000003, False),
@@ -159,7 +159,7 @@ BODIES: dict[str, str] = {
     "impact_tests": f"SELECT source_symbol_id AS test_id, target_symbol_id AS linked_id FROM ({_DIRECT}) WHERE target_symbol_id IN (SELECT id FROM ({_UP}))",
     "impact_docs": f"SELECT DISTINCT id AS doc_id, symbol_id FROM docs WHERE symbol_id IN (SELECT id FROM ({_UP}) UNION SELECT id FROM ({_DOWN}))",
     "context_neighbors": f"SELECT id, min(depth) AS depth FROM ({_bfs(_START, True, 1, CONTEXT)} UNION ALL {_bfs(_START, False, 1, CONTEXT)}) GROUP BY id",
-    "context_pack_prefix": "SELECT * FROM (SELECT file_id, id AS doc_id, ceil(length(body) / 4.0)::BIGINT AS tokens, (sum(ceil(length(body) / 4.0)) OVER (PARTITION BY file_id ORDER BY id))::BIGINT AS total FROM docs) WHERE total <= 8000",
+    "context_pack_prefix": 'SELECT target, section, id AS doc_id, tokens FROM kept',
     "call_order": "SELECT rn - 1 AS ordinal, count(*) AS n_calls, sum(l_partkey)::BIGINT AS sum_parts FROM (SELECT l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem) GROUP BY rn",
     "pipeline_steps": "SELECT conv_id, step, name, CASE WHEN last IS NULL THEN 'before' WHEN step = last THEN 'target' WHEN step > last THEN 'after' ELSE 'before' END AS mark FROM (SELECT *, max(CASE WHEN name = 'user' THEN step END) OVER (PARTITION BY conv_id) AS last FROM (SELECT conv_id, role AS name, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS DISTINCT FROM role))",
     "coverage_by_symbol": "SELECT file_id, lo || '-' || hi AS symbol, suite, count(*) AS lines_valid, count(*) FILTER (hits > 0) AS lines_covered FROM (SELECT *, line - line % 100 AS lo, line - line % 100 + 99 AS hi FROM cov UNION ALL SELECT *, line - line % 1000, line - line % 1000 + 999 FROM cov) GROUP BY ALL",
@@ -170,7 +170,7 @@ BODIES: dict[str, str] = {
     "channel_pairs": "SELECT channel, count(*) AS n_pairs, sum(s)::BIGINT AS sum_senders, sum(r)::BIGINT AS sum_receivers FROM (SELECT DISTINCT user_id AS s, (props->>'$.k')::BIGINT AS channel FROM events WHERE event_type = 'view') JOIN (SELECT DISTINCT user_id AS r, (props->>'$.k')::BIGINT AS channel FROM events WHERE event_type = 'click') USING (channel) WHERE s <> r GROUP BY channel",
     "topology": "SELECT edge_kind, coalesce(target_qname, unresolved_target, 'unknown') AS target, count(*) AS n_sources FROM named WHERE edge_kind IN ('ConfiguredBy', 'ModifiedWith') GROUP BY ALL",
     "longest_prefix_package": "SELECT path, arg_max(package, length(dir)) AS package FROM d LEFT JOIN pk ON starts_with(path, dir || '/') GROUP BY path",
-    "suffix_path_match": "SELECT reported, min(k.path) AS known FROM (SELECT DISTINCT CASE WHEN id % 2 = 0 THEN 'build/' || path ELSE split_part(path, '/', 2) || '/' || split_part(path, '/', 3) END AS reported FROM docs WHERE id % 3 = 0) JOIN docs k ON k.path = reported OR ends_with(k.path, '/' || reported) OR ends_with(reported, '/' || k.path) GROUP BY reported",
+    "suffix_path_match": "SELECT reported, min(k.path) AS known FROM (SELECT DISTINCT CASE WHEN id % 2 = 0 THEN 'build/' || path ELSE split_part(path, '/', 2) || '/' || split_part(path, '/', 3) END AS reported FROM docs) JOIN docs k ON k.path = reported OR ends_with(k.path, '/' || reported) OR ends_with(reported, '/' || k.path) GROUP BY reported",
     "markdown_sections": "SELECT conv_id, section, min(turn) AS start_line, max(turn) AS end_line, sum(length(text))::BIGINT AS n_chars FROM (SELECT *, (sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS section FROM conversations) GROUP BY conv_id, section",
     "bm25_docs": _bm25("SELECT id AS doc, concat_ws(' ', title, body) AS txt FROM docs", ["the", "erth"]),
     "bm25_symbols": _bm25("SELECT id AS doc, name || ' ' || qualified_name AS txt FROM symbols", ["small", "ring"]),
@@ -185,9 +185,40 @@ BODIES: dict[str, str] = {
     "model_deps": "SELECT target_qname, count(*) AS n_models FROM (SELECT DISTINCT source_qname, target_qname FROM named WHERE edge_kind = 'ReferencesType' AND target_qname IS NOT NULL) GROUP BY ALL",
     "routes_with_deps": "SELECT '/' || lower(name) AS path, CASE WHEN id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, qualified_name, (SELECT count(DISTINCT coalesce(target_qname, unresolved_target)) FROM named n WHERE n.edge_kind = 'ConfiguredBy' AND n.source_qname = t.qualified_name) AS n_deps FROM tests t",
     "workspace_deps": "SELECT package, requirement, count(*) AS n_deps FROM (SELECT p_brand AS package, CASE WHEN m % 2 = 0 THEN 'v' || m WHEN p_partkey % 2 = 0 THEN w ELSE p_size::VARCHAR END AS requirement FROM part JOIN (SELECT p_name, min(p_type) AS w, max(p_size) AS m FROM part GROUP BY p_name) USING (p_name)) GROUP BY ALL",
-    "android_refs": "SELECT DISTINCT source_qname, source_path FROM named WHERE edge_kind IN ('Imports', 'ConfiguredBy') AND target_qname = 'NATION_4'",
+    "android_refs": "SELECT DISTINCT source_qname, source_path FROM named WHERE target_qname = 'NATION_4'",
+    "cochange_of_file": 'SELECT 7 AS a, item AS b, count(*) AS n_together, round(count(*)::DOUBLE / (SELECT count(*) FROM cf WHERE item = 7) * 100.0, 6) AS rate FROM cf WHERE commit_id IN (SELECT commit_id FROM cf WHERE item = 7) AND item <> 7 GROUP BY item',
+    "git_metadata": "SELECT item, churn, commit_id, authored_date, authors FROM (SELECT item, count(*) AS churn, arg_max(commit_id, {'d': authored_date, 'c': commit_id}) AS commit_id, max(authored_date) AS authored_date FROM cf JOIN commits c ON cf.commit_id = c.id GROUP BY item) JOIN (SELECT item, string_agg(author, '|' ORDER BY n DESC, author) AS authors FROM (SELECT item, author_name || ' <' || author_email || '>' AS author, count(*) AS n FROM cf JOIN commits c ON cf.commit_id = c.id GROUP BY ALL) GROUP BY item) USING (item)",
+    "context_pack_text": "SELECT target, '# Context: ' || target || chr(10) || '- Estimated Tokens: ' || ceil(length('# Context: ' || target || chr(10) || body) / 4.0)::BIGINT || chr(10) || chr(10) || body AS text FROM (SELECT target, string_agg(part, chr(10) ORDER BY section) AS body FROM (SELECT target, section, '## ' || CASE section WHEN 1 THEN 'target_docs' ELSE 'target_tests' END || chr(10) || string_agg('- ' || path, chr(10) ORDER BY id) || chr(10) AS part FROM kept GROUP BY target, section) GROUP BY target)",
+    "generated_links": "SELECT g.p_partkey AS generated_id, b.p_partkey AS base_id, CASE WHEN g.p_partkey % 5 IN (1, 3) THEN 'ConfiguredBy' ELSE 'Implements' END AS kind FROM part g JOIN part b ON b.p_partkey = g.p_partkey - g.p_partkey % 5 WHERE g.p_partkey % 5 = b.p_size % 4 + 1",
+    "external_targets": "SELECT kind, 'external:' || seg AS external_file, count(*) AS n_edges FROM (SELECT r.kind, CASE WHEN contains(unresolved_target, '::') THEN split_part(unresolved_target, '::', 1) ELSE split_part(unresolved_target, '.', 1) END AS seg, file_id FROM (SELECT *, coalesce(ia, ib, ic) AS rid FROM tried) r JOIN symbols s ON r.source_symbol_id = s.id WHERE rid IS NULL) JOIN deps ON package_id = file_id AND name = seg GROUP BY ALL",
+    "test_deps": "SELECT DISTINCT t.qualified_name AS target, t.kind AS target_kind, f.path AS target_path, 1.0::DOUBLE AS confidence FROM (SELECT DISTINCT source_symbol_id, target_symbol_id FROM edges WHERE kind = 'Calls' AND target_symbol_id IS NOT NULL\n  AND source_symbol_id IN (SELECT id FROM tests) AND target_symbol_id NOT IN (SELECT id FROM tests)) e JOIN symbols s ON e.source_symbol_id = s.id JOIN symbols t ON e.target_symbol_id = t.id JOIN files f ON t.file_id = f.id WHERE s.name = 'Customer#000000004' ",
+    "repository_by_root": "SELECT r_regionkey::BIGINT AS id, r_name AS root_path, 'git' AS vcs_type FROM region WHERE r_name = 'EUROPE'",
+    "file_by_path": "SELECT id::BIGINT AS id, repository_id::BIGINT AS repository_id, path, language FROM files WHERE path = 'src/NATION_3.py'",
+    "symbols_of_file": "SELECT id, name, qualified_name, kind, start_line FROM (SELECT s.*, CASE kind WHEN 'Module' THEN 0 WHEN 'Class' THEN id - 2000000 WHEN 'Function' THEN id - 3000000 ELSE id - 4000000 END AS start_line FROM symbols s) WHERE file_id = 3",
+    "symbol_by_id": "SELECT id, name, qualified_name, kind, start_line, start_line + 9 AS end_line FROM (SELECT s.*, CASE kind WHEN 'Module' THEN 0 WHEN 'Class' THEN id - 2000000 WHEN 'Function' THEN id - 3000000 ELSE id - 4000000 END AS start_line FROM symbols s) WHERE id = 4000007",
+    "tests_of_file": "SELECT id, name, qualified_name, 'Function' AS kind FROM symbols WHERE file_id = 3 AND id IN (SELECT id FROM tests)",
+    "all_symbols": "SELECT id, file_id, name, qualified_name, kind, start_line, start_line + 9 AS end_line FROM (SELECT s.*, CASE kind WHEN 'Module' THEN 0 WHEN 'Class' THEN id - 2000000 WHEN 'Function' THEN id - 3000000 ELSE id - 4000000 END AS start_line FROM symbols s)",
+    "provenance": "SELECT s.id, qualified_name, CASE WHEN p_size % 7 = 0 THEN 'Implements' END AS provenance FROM symbols s LEFT JOIN part ON s.id = 4000000 + p_partkey WHERE name = 'small ring'",
+    "model_fields": "SELECT DISTINCT qualified_name, 'part_' || l_partkey AS name, p_type AS type_annotation, CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR END AS default_value, p_size % 2 <> 0 AS is_required FROM symbols s JOIN lineitem ON s.id = 2000000 + l_suppkey JOIN part ON l_partkey = p_partkey WHERE s.name = 'Supplier#000000003'",
+    "model_dependencies_of": "SELECT DISTINCT source_qname, target_qname FROM named WHERE edge_kind = 'ReferencesType' AND target_qname IS NOT NULL AND source_name = 'small ring'",
+    "workspace": "SELECT n_name AS name, 'src/' || n_name || '/Cargo.toml' AS manifest_path, n_regionkey::VARCHAR AS version FROM nation",
+    "package_dependencies": 'SELECT name, version_requirement, is_workspace_dependency FROM deps WHERE package_id = 3',
+    "concurrency": "SELECT 'user::7' AS scope, CASE event_type WHEN 'purchase' THEN 'spawn' WHEN 'view' THEN 'tx' ELSE 'rx' END AS what, CASE event_type WHEN 'purchase' THEN 'purchase' ELSE 'mpsc' END AS kind, CASE WHEN event_type <> 'purchase' THEN props->>'$.k' END AS identity, event_id AS line FROM events WHERE user_id = 7 AND event_type IN ('purchase', 'view', 'click')",
+    "safety_of_file": "SELECT path, blocks, unsafe_functions, ffi, exposed, score, CASE WHEN score >= 90 THEN 'Low' WHEN score >= 60 THEN 'Medium' ELSE 'High' END AS risk FROM (SELECT *, greatest(0, least(100, 100 - 15 * ffi - 10 * unsafe_functions - 5 * exposed - 2 * (blocks - exposed)))::BIGINT AS score FROM (SELECT 'src/NATION_3.py' AS path, count(*) FILTER (event_type = 'error') AS blocks, count(*) FILTER (event_type = 'purchase') AS unsafe_functions, count(*) FILTER (event_type = 'signup') AS ffi, count(*) FILTER (event_type = 'error' AND EXISTS (SELECT 1 FROM fn WHERE fn.user_id % 25 = 3 AND us BETWEEN lo AND hi)) AS exposed FROM e WHERE user_id % 25 = 3))",
+    "coverage_of_file": 'SELECT * FROM (SELECT file_id, coverable, uncovered, coverable - uncovered AS covered, round((coverable - uncovered)::DOUBLE / coverable * 100.0, 6) AS percent FROM (SELECT file_id, count(*) AS coverable, count(*) FILTER (n_not = n_suites) AS uncovered FROM (SELECT file_id, line, count(*) FILTER (hits = 0) AS n_not FROM cov GROUP BY ALL) JOIN (SELECT file_id, count(DISTINCT suite) AS n_suites FROM cov GROUP BY file_id) USING (file_id) GROUP BY file_id)) WHERE file_id = 3',
+    "coverage_of_symbols": "SELECT s.file_id, s.qualified_name AS symbol, suite, count(*) AS lines_valid, count(*) FILTER (hits > 0) AS lines_covered FROM cov JOIN (SELECT s.*, CASE kind WHEN 'Module' THEN 0 WHEN 'Class' THEN id - 2000000 WHEN 'Function' THEN id - 3000000 ELSE id - 4000000 END AS start_line FROM symbols s) s ON cov.file_id = s.file_id AND line BETWEEN start_line AND start_line + 9 GROUP BY ALL",
+    "uncovered_of_file": 'SELECT suite, min(line) AS first_line, max(line) AS last_line FROM (SELECT *, line - row_number() OVER (PARTITION BY suite ORDER BY line) AS g FROM cov WHERE hits = 0 AND file_id = 3) GROUP BY suite, g',
+    "android_components": 'SELECT c_nationkey::BIGINT AS file_id, c_mktsegment AS kind, c_name AS name FROM customer',
+    "android_resources": "SELECT p_partkey % 25 AS file_id, p_type AS type, p_name || ' ' || p_partkey AS name, 'R.' || p_type || '.' || p_partkey AS qualified_name FROM part",
+    "route_list": "SELECT '/' || lower(name) AS path, CASE WHEN id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, qualified_name, (SELECT count(DISTINCT coalesce(target_qname, unresolved_target)) FROM named n WHERE n.edge_kind = 'ConfiguredBy' AND n.source_qname = t.qualified_name) AS n_deps FROM tests t",
+    "name_pattern_find": "SELECT id, qualified_name, kind FROM symbols WHERE contains(lower(name), 'n_1') OR contains(lower(qualified_name), 'n_1')",
 }
-_MORE = {"resolve_edges": _RESOLVE, "write_back": _RESOLVE, "safety_profile": _EVENTS, "unsafe_containment": _EVENTS, "set_metrics": f"{_SETS}, {_METRICS}", "bench_summary": f"{_SETS}, {_METRICS}", "longest_prefix_package": _DIR}
+_DEPS = "deps AS (SELECT p_partkey % 25 AS package_id, p_brand AS name, max(p_type) AS version_requirement, bool_or(p_size > 40) AS is_workspace_dependency FROM part GROUP BY ALL)"
+_KEPT = """items AS (SELECT id // 50 AS target, CASE WHEN path LIKE '%/en/%' THEN 1 ELSE 2 END AS section, id, path, greatest(ceil(length(coalesce(body, '')) / 4.0), 1)::BIGINT AS tokens FROM docs),
+  first AS (SELECT * FROM (SELECT *, (sum(tokens) OVER (PARTITION BY target ORDER BY id))::BIGINT AS total FROM items WHERE section = 1) WHERE total <= 8000),
+  second AS (SELECT * FROM (SELECT *, (sum(tokens) OVER (PARTITION BY target ORDER BY id))::BIGINT + coalesce((SELECT max(total) FROM first f WHERE f.target = i.target), 0) AS total FROM items i WHERE section = 2) WHERE total <= 8000),
+  kept AS (SELECT * FROM first UNION ALL SELECT * FROM second)"""
+_MORE = {"context_pack_prefix": _KEPT, "context_pack_text": _KEPT, "package_dependencies": _DEPS, "external_targets": f"{_RESOLVE}, {_DEPS}", "safety_of_file": _EVENTS, "resolve_edges": _RESOLVE, "write_back": _RESOLVE, "safety_profile": _EVENTS, "unsafe_containment": _EVENTS, "set_metrics": f"{_SETS}, {_METRICS}", "bench_summary": f"{_SETS}, {_METRICS}", "longest_prefix_package": _DIR}
 
 
 def oracle_sql() -> dict[str, str]:

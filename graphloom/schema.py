@@ -5,6 +5,7 @@ Ids are longs, flags booleans, lists arrays. Audit columns are left out: no quer
 
 from __future__ import annotations
 
+#: Names of tables and columns. Fixed values.
 _DDL = {
     "repositories": ("id long, root_path string, vcs_type string", ["root_path"]),
     "index_runs": ("id long, repository_id long, started_at string, finished_at string, status string, files_scanned long, files_changed long, files_deleted long, error_message string", ["id"]),
@@ -35,6 +36,8 @@ KEYS = {k: v[1] for k, v in _DDL.items()}
 
 SYMBOL_KINDS = ("Module", "Class", "Struct", "Enum", "Trait", "Interface", "Function", "Method", "TypeAlias", "Unknown")
 EDGE_KINDS = ("Calls", "Imports", "ReferencesType", "ModifiedWith", "ConfiguredBy", "TestedBy", "Spawns", "SendsTo", "Extends", "Implements", "DocumentedBy", "Contains")
+#: Functions that only combine others: they aren't steps of a pipeline, and their arguments are its calls. Fixed values.
+COMBINATORS = ("map", "filter", "reduce", "pipe", "compose", "flow", "bind", "then", "flatMap", "apply")
 #: Edges along which a change has an impact; those of the context neighbourhood are the first four.
 IMPACT_KINDS = ("Calls", "Imports", "ReferencesType", "ModifiedWith", "Spawns", "SendsTo")
 CONTEXT_KINDS = IMPACT_KINDS[:4]

@@ -5,13 +5,12 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
+from graphloom.schema import COMBINATORS
 from graphloom.sources.facts import Fact, module_of
 
 VERBS = ("get", "post", "put", "delete", "patch", "options", "head")
-#: Types that are no references of interest. Fixed values.
-PLAIN_TYPES = frozenset("int str float bool bytes list dict set tuple None Any Optional Union List Dict Set Tuple Callable Iterable Iterator object type Self Literal".split())
-#: Functions whose arguments are calls of the pipeline that they build. Fixed values.
-COMBINATORS = frozenset("map filter reduce pipe compose flow bind then flatMap apply".split())
+#: Types that are no references of interest, in lower case, with or without ``typing.``. Fixed values.
+PLAIN_TYPES = frozenset("int str float bool list dict set tuple any none object bytes callable iterable iterator generator optional union type generic typevar".split())
 
 
 def dotted(node: ast.AST) -> str | None:
@@ -59,7 +58,7 @@ class _Walk(ast.NodeVisitor):
                 return
         for x in ast.walk(node) if node is not None else ():
             name = dotted(x) if isinstance(x, ast.Name | ast.Attribute) else None
-            if name and name.rsplit(".", 1)[-1] not in PLAIN_TYPES and not (isinstance(x, ast.Name) and name == "typing"):
+            if name and name.lower().removeprefix("typing.") not in PLAIN_TYPES and not (isinstance(x, ast.Name) and name == "typing"):
                 self.add("type", name.rsplit(".", 1)[-1], x, target=name)
 
     def visit_Module(self, node: ast.Module) -> None:

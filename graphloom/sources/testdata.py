@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NATION, SUPPLIER, CUSTOMER, PART = 1_000_000, 2_000_000, 3_000_000, 4_000_000
@@ -113,3 +113,69 @@ class StarGraph:
     @cached_property
     def events(self) -> DataFrame:
         return self.table("events")
+
+    @cached_property
+    def routes(self) -> DataFrame:
+        return self.tests.select("id", "file_id", F.col("id").alias("symbol_id"), F.col("name").alias("handler_name"), "qualified_name", F.when(F.col("id") % 2 == 0, "GET").otherwise("POST").alias("method"), F.concat(F.lit("/"), F.lower("name")).alias("path"))
+
+    @cached_property
+    def models(self) -> DataFrame:
+        return self.symbols.filter("kind in ('Class', 'Method')").select("id", "file_id", F.col("id").alias("symbol_id"), "name", "qualified_name", "start_line", "end_line")
+
+    @cached_property
+    def model_fields(self) -> DataFrame:
+        """Parts that a supplier has delivered, as fields of its model."""
+        part = self.table("part").select("p_partkey", "p_type", "p_size")
+        rows = self.table("lineitem").select("l_suppkey", "l_partkey").distinct().join(part, F.col("l_partkey") == F.col("p_partkey"))
+        even = F.col("p_size") % 2 == 0
+        return rows.select((F.lit(SUPPLIER) + F.col("l_suppkey")).alias("model_id"), F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("name"), F.col("p_type").alias("type_annotation"), F.when(even, F.col("p_size").cast("string")).alias("default_value"), (~even).alias("is_required"))
+
+    @cached_property
+    def packages(self) -> DataFrame:
+        return self.table("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("src/"), "n_name", F.lit("/Cargo.toml")).alias("manifest_path"), F.col("n_regionkey").cast("string").alias("version"))
+
+    @cached_property
+    def dependencies(self) -> DataFrame:
+        """Brands of the parts that lie in a package's file."""
+        return self.table("part").groupBy((F.col("p_partkey") % 25).alias("package_id"), F.col("p_brand").alias("name")).agg(F.max("p_type").alias("version_requirement"), F.max(F.col("p_size") > 40).alias("is_workspace_dependency"))
+
+    def _user(self) -> list:
+        return [(F.col("user_id") % 25).cast("long").alias("file_id"), F.concat(F.lit("user::"), F.col("user_id").cast("string")).alias("symbol_qualified_name")]
+
+    @cached_property
+    def spawns(self) -> DataFrame:
+        return self.events.filter("event_type = 'purchase'").select(*self._user(), F.col("event_type").alias("kind"), F.col("event_id").alias("line"))
+
+    @cached_property
+    def channels(self) -> DataFrame:
+        rows = self.events.filter("event_type in ('view', 'click')")
+        return rows.select(self._user()[1].alias("scope"), F.lit("mpsc").alias("kind"), F.get_json_object("props", "$.k").alias("identity"), F.when(F.col("event_type") == "view", "tx").otherwise("rx").alias("role"), F.col("event_id").alias("line"))
+
+    def _unsafe(self, event_type: str, seconds: Column) -> DataFrame:
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        return self.events.filter((F.col("event_type") == event_type) & F.col("value").isNotNull()).select(*self._user(), at.alias("start_line"), (at + (seconds * 1_000_000).cast("long")).alias("end_line"), at.alias("line"))
+
+    @cached_property
+    def unsafe_blocks(self) -> DataFrame:
+        return self._unsafe("error", F.lit(0.0))
+
+    @cached_property
+    def unsafe_functions(self) -> DataFrame:
+        return self._unsafe("purchase", F.col("value") * 60)
+
+    @cached_property
+    def ffi_bindings(self) -> DataFrame:
+        return self._unsafe("signup", F.lit(0.0))
+
+    @cached_property
+    def android_components(self) -> DataFrame:
+        return self.table("customer").select(F.col("c_nationkey").cast("long").alias("file_id"), F.col("c_mktsegment").alias("kind"), F.col("c_name").alias("name"))
+
+    @cached_property
+    def android_resources(self) -> DataFrame:
+        key = F.col("p_partkey").cast("string")
+        return self.table("part").select((F.col("p_partkey") % 25).alias("file_id"), F.col("p_type").alias("type"), F.concat("p_name", F.lit(" "), key).alias("name"), F.concat(F.lit("R."), "p_type", F.lit("."), key).alias("qualified_name"))
+
+    @cached_property
+    def generated_symbols(self) -> DataFrame:
+        return self.table("part").filter("p_size % 7 = 0").select((F.lit(PART) + F.col("p_partkey")).alias("symbol_id"), F.lit("Implements").alias("provenance"))
