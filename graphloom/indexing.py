@@ -45,10 +45,10 @@ def _distinct_ids(df: DataFrame, table: str, *parts: str) -> None:
         raise ValueError(f"two rows of {table} have the id {clash[0]['id']}")
 
 
-def index(spark: SparkSession, root: str, store: FactStore, ignored: list[str] | None = None, force: bool = False, history: bool = False, limit: int = 0) -> DataFrame:
+def index(spark: SparkSession, root: str, store: FactStore, ignored: list[str] | None = None, force: bool = False, history: bool = False, limit: int = 0, features: tuple[str, ...] = ()) -> DataFrame:
     """Index the files under ``root`` into ``store``; returns the number of files by status (new, changed, unchanged, deleted).
 
-    ``force`` parses all files again. ``history`` reads ``git log`` of a local clone (its last ``limit`` commits, 0: all). An
+    ``force`` parses all files again (as it must when the active ``features`` of conditional code change). ``history`` reads ``git log`` of a local clone (its last ``limit`` commits, 0: all). An
     empty folder gives empty tables; a file that can't be parsed gives a diagnostic and no symbols.
     """
     run, began, root = store.begin(), _now(), root.rstrip("/")
@@ -58,7 +58,7 @@ def index(spark: SparkSession, root: str, store: FactStore, ignored: list[str] |
     listed = run.stage("listing", found.drop("content"))
     known = run.old("files").filter(~F.col("path").startswith("external:")).select("path", "content_hash")
     changes = run.stage("changes", incremental.diff(listed.select("path", "content_hash"), known.limit(0) if force else known))
-    said = _facts(run, found, changes)
+    said = _facts(run, found, changes, features)
     _files_and_edges(run, root, listed, said)
     _details(run, root, said)
     if history:
@@ -76,11 +76,11 @@ def _now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def _facts(run: Run, found: DataFrame, changes: DataFrame) -> DataFrame:
+def _facts(run: Run, found: DataFrame, changes: DataFrame, features: tuple[str, ...] = ()) -> DataFrame:
     """Old facts of unchanged files and new ones of the others. Changed paths are the small side of the join with contents."""
     todo = changes.filter("status in ('new', 'changed')").select("path")
     kept = run.old("facts").join(changes.filter("status = 'unchanged'").select("path"), "path", "left_semi")
-    fresh = sources.extract(found.join(todo, "path", "left_semi"))
+    fresh = sources.extract(found.join(todo, "path", "left_semi"), features=features)
     return run.write("facts", kept.unionByName(fresh).sortWithinPartitions("fact", "path"))
 
 
@@ -103,13 +103,28 @@ def _packages(root: str, said: DataFrame) -> DataFrame:
 
 
 def _dependencies(packages: DataFrame, said: DataFrame) -> DataFrame:
-    """Dependencies by the package of their own manifest; those of a workspace or a lone list go to every package in it."""
-    rows = said.filter("fact = 'dependency'").select("path", F.col("name").alias("dependency"), "kind", "target", "detail")
-    own = packages.filter("kind not in ('locked', 'member')").select("path", F.col("id").alias("package_id"))
-    return rows.join(own, "path").groupBy("package_id", F.col("dependency").alias("name")).agg(
-        F.max("target").alias("version_requirement"), F.max(F.coalesce(F.col("detail")["workspace"] == "true", F.lit(False))).alias("is_workspace_dependency"),
-        F.max(F.coalesce(F.split(F.col("detail")["features"], ","), F.array().cast("array<string>"))).alias("features"), F.min(F.col("kind") == "dev").alias("is_dev"),
-    )
+    """Dependencies by the package of their own manifest.
+
+    A member that inherits one has the workspace's requirement and the features of both; a version in a lock file goes before
+    either. A project that takes names from a shared list has those in its own folder's references, with the list's versions.
+    """
+    features = F.filter(F.coalesce(F.split(F.col("detail")["features"], ","), F.array().cast("array<string>")), lambda x: x != "")
+    rows = said.filter("fact = 'dependency'").select("path", "name", "kind", "target", features.alias("features"), F.coalesce(F.col("detail")["workspace"] == "true", F.lit(False)).alias("inherits"))
+    rows = rows.withColumn("folder", F.regexp_replace("path", r"/?[^/]*$", ""))
+    real = packages.filter("kind not in ('locked', 'member')").select("path", F.col("dir").alias("folder"), F.col("kind").alias("sort"), F.col("id").alias("package_id"))
+    listed = rows.filter("kind = 'paket'").groupBy("name").agg(F.max("target").alias("listed"))
+    taken = rows.filter("kind = 'paket-reference'").join(real.filter("sort = 'fsharp'").select("folder", "package_id"), "folder").join(listed, "name", "left").withColumn("target", F.col("listed"))
+    own = rows.filter("kind not in ('workspace', 'paket', 'paket-reference')").join(real.select("path", "package_id"), "path")
+    columns = ["package_id", "name", "kind", "target", "features", "inherits"]
+    own = own.select(*columns).unionByName(taken.select(*columns)).groupBy("package_id", "name").agg(
+        F.max("target").alias("requirement"), F.max("inherits").alias("inherits"), F.array_distinct(F.flatten(F.collect_set("features"))).alias("features"), F.min(F.col("kind") == "dev").alias("is_dev"))
+    shared = rows.filter("kind = 'workspace'").groupBy("name").agg(F.max("target").alias("requirement"), F.array_distinct(F.flatten(F.collect_set("features"))).alias("more"))
+    locked = packages.filter("kind = 'locked'").groupBy("name").agg(F.max("version").alias("version"))
+    found = matching.inherited_dependencies(own.select(F.col("package_id").alias("package"), "name", "requirement", "inherits"), shared, locked)
+    found = found.select(F.col("package").alias("package_id"), "name", F.col("requirement").alias("version_requirement"))
+    both = F.when(F.col("inherits"), F.array_union("features", F.coalesce("more", F.array().cast("array<string>")))).otherwise(F.col("features"))
+    out = own.drop("requirement").join(found, ["package_id", "name"]).join(shared.select("name", "more"), "name", "left")
+    return out.select("package_id", "name", "version_requirement", F.col("inherits").alias("is_workspace_dependency"), F.array_sort(both).alias("features"), "is_dev")
 
 
 def _files_and_edges(run: Run, root: str, listed: DataFrame, said: DataFrame) -> None:
@@ -178,12 +193,15 @@ def _details(run: Run, root: str, said: DataFrame) -> None:
     fields = rows.filter("fact = 'field'").groupBy(F.col("symbol_id").alias("model_id"), "name").agg(
         F.max(F.struct("start_line", F.col("kind").alias("type_annotation"), F.col("target").alias("default_value"), (F.col("detail")["required"] == "true").alias("is_required"))).alias("f"))
     run.write("model_fields", fields.select("model_id", "name", "f.*"))
+    checks = rows.filter("fact = 'validator'").groupBy(F.col("symbol_id").alias("model_id"), "name", "kind").agg(F.max("target").alias("fields"))
+    run.write("model_validators", checks.select("model_id", "name", "kind", F.filter(F.split(F.coalesce("fields", F.lit("")), ","), lambda x: x != "").alias("fields")))
     qname, line = F.col("qualified_name").alias("symbol_qualified_name"), F.col("start_line").alias("line")
     run.write("spawns", rows.filter("fact = 'spawn'").select("file_id", qname, F.col("kind"), line).distinct())
     channel = rows.filter("fact = 'channel'")
     ends = channel.select(F.col("qualified_name").alias("scope"), "kind", F.col("name").alias("identity"), F.lit("tx").alias("role"), line).unionByName(
         channel.select(F.col("qualified_name").alias("scope"), "kind", F.col("target").alias("identity"), F.lit("rx").alias("role"), line))
-    run.write("channels", ends.distinct())
+    used = rows.filter("fact = 'end'").select(F.col("qualified_name").alias("scope"), F.lit("use").alias("kind"), F.col("name").alias("identity"), F.col("kind").alias("role"), line)
+    run.write("channels", ends.unionByName(used).distinct())
     blocks, functions = rows.filter("fact = 'unsafe' and kind = 'block'"), rows.filter("fact = 'unsafe' and kind = 'function'")
     run.write("unsafe_functions", functions.select("file_id", F.concat_ws("::", "qualified_name", "name").alias("symbol_qualified_name"), "start_line", "end_line").distinct())
     inside = coverage.contained(
@@ -253,7 +271,7 @@ def import_coverage(spark: SparkSession, report: str, store: FactStore, suite: s
     files = run.old("files").filter(~F.col("path").startswith("external:"))
     known = matching.suffix_match(rows.select("path").distinct(), files.select("path"))
     ids = known.join(files.select(F.col("path").alias("known"), F.col("id").alias("file_id")), "known").select(F.col("reported").alias("path"), "file_id")
-    fresh = rows.join(ids, "path").groupBy("file_id", "report_path", F.col("suite").alias("test_suite"), "line").agg(F.max("hits").alias("hits"))
+    fresh = rows.join(ids, "path").groupBy("file_id", "report_path", F.col("suite").alias("test_suite"), "line").agg(F.max("hits").alias("hits"), F.max("branches_valid").alias("branches_valid"), F.max("branches_covered").alias("branches_covered"))
     fresh = run.stage("fresh", fresh)
     run.write("line_coverage", incremental.replace_reports(run.old("line_coverage"), fresh, ["report_path", "test_suite"]))
     run.finish()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 64
+BRANCHES = ("branches_valid", "branches_covered")
 
 
 def lines_in_intervals(lines: DataFrame, intervals: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -22,7 +23,8 @@ def lines_in_intervals(lines: DataFrame, intervals: DataFrame, bucket: int = BUC
 def symbol_coverage(lines: DataFrame, intervals: DataFrame) -> DataFrame:
     """Valid and covered lines of each symbol and suite; symbols without valid lines are left out."""
     rows = lines_in_intervals(lines, intervals)
-    return rows.groupBy("file_id", "symbol", "suite").agg(F.count(F.lit(1)).alias("lines_valid"), F.sum(F.when(F.col("hits") > 0, 1).otherwise(0)).alias("lines_covered"))
+    branches = [F.sum(c).alias(c) for c in BRANCHES if c in lines.columns]
+    return rows.groupBy("file_id", "symbol", "suite").agg(F.count(F.lit(1)).alias("lines_valid"), F.sum(F.when(F.col("hits") > 0, 1).otherwise(0)).alias("lines_covered"), *branches)
 
 
 def coverage_profile(lines: DataFrame) -> DataFrame:
@@ -37,6 +39,13 @@ def coverage_profile(lines: DataFrame) -> DataFrame:
     return out.withColumn("covered", F.col("coverable") - F.col("uncovered")).withColumn("percent", F.round(F.col("covered").cast("double") / F.col("coverable") * 100.0, 6))
 
 
+def branch_coverage(lines: DataFrame, *group: str) -> DataFrame:
+    """Branches of each group by its suite that covers the most of them; of equals the last by name. Lines without branches count none."""
+    sums = lines.groupBy(*group, "suite").agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in BRANCHES))
+    best = F.max_by(F.struct("suite", *BRANCHES), F.struct("branches_covered", "suite"))
+    return sums.groupBy(*group).agg(best.alias("b")).select(*group, "b.*")
+
+
 def uncovered_spans(lines: DataFrame) -> DataFrame:
     """Runs of consecutive uncovered lines of each file and suite."""
     rows = lines.filter("hits = 0").withColumn("island", F.col("line") - F.row_number().over(Window.partitionBy("file_id", "suite").orderBy("line")))

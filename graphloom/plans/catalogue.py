@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.engine import Engine
 from graphloom.operators import context, coverage, graph, history, incremental, matching, relations, resolve, search
+from graphloom.plans import generated
 from graphloom.sources.testdata import CUSTOMER, NATION, PART, StarGraph
 
 PART_NAME = "small ring"
@@ -408,6 +409,14 @@ QUERIES: dict[str, Callable[[StarGraph], DataFrame]] = {
     "name_pattern_find": lambda g: Engine(g).find("n_1"),
 }
 
+QUERIES |= {f"facts_{kind}": lambda g, kind=kind: generated.said(g, kind) for kind in generated.FILES}
+QUERIES |= {f"edges_{kind}": lambda g, kind=kind: generated.edges(g, kind) for kind in ("python", "rust", "kotlin", "swift", "fsharp", "mojo", "layout")}
+QUERIES |= {
+    "lcov_lines": generated.lcov,
+    "cobertura_lines": generated.cobertura,
+    "branch_coverage": lambda g: coverage.branch_coverage(generated.lcov(g), "path"),
+}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(StarGraph(spark, sf_dir))) for name, f in QUERIES.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from graphloom.plans import generated, generated_oracle
+
 FACTS = """
 files AS (SELECT n_nationkey AS id, n_regionkey AS repository_id, 'src/' || n_name || '.py' AS path, 'python' AS language FROM nation),
 symbols AS (
@@ -220,6 +222,14 @@ _KEPT = """items AS (SELECT id // 50 AS target, CASE WHEN path LIKE '%/en/%' THE
   kept AS (SELECT * FROM first UNION ALL SELECT * FROM second)"""
 _MORE = {"context_pack_prefix": _KEPT, "context_pack_text": _KEPT, "package_dependencies": _DEPS, "external_targets": f"{_RESOLVE}, {_DEPS}", "safety_of_file": _EVENTS, "resolve_edges": _RESOLVE, "write_back": _RESOLVE, "safety_profile": _EVENTS, "unsafe_containment": _EVENTS, "set_metrics": f"{_SETS}, {_METRICS}", "bench_summary": f"{_SETS}, {_METRICS}", "longest_prefix_package": _DIR}
 
+_BRANCHES = "(SELECT file_id, suite, line, hits, CASE WHEN line % 3 = 0 THEN 2 ELSE 0 END AS bv, CASE WHEN line % 3 = 0 AND hits > 0 THEN 1 ELSE 0 END AS bc FROM cov)"
+BODIES |= generated_oracle.bodies({kind: path for kind, (path, _) in generated.FILES.items()})
+BODIES |= {
+    "lcov_lines": f"SELECT 'src/s' || file_id || '.c-' || suite || '.info' AS report_path, suite, 'src/s' || file_id || '.c' AS path, line, hits::BIGINT AS hits, bv::BIGINT AS branches_valid, bc::BIGINT AS branches_covered FROM {_BRANCHES}",
+    "cobertura_lines": f"SELECT 'src/s' || file_id || '.c.xml' AS report_path, 'src/s' || file_id || '.c' AS path, line, hits::BIGINT AS hits, bv::BIGINT AS branches_valid, bc::BIGINT AS branches_covered FROM {_BRANCHES} WHERE suite = 'F'",
+    "branch_coverage": f"SELECT path, suite, branches_valid, branches_covered FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY branches_covered DESC, suite DESC) AS rn FROM (SELECT 'src/s' || file_id || '.c' AS path, suite, sum(bv)::BIGINT AS branches_valid, sum(bc)::BIGINT AS branches_covered FROM {_BRANCHES} GROUP BY ALL)) WHERE rn = 1",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     out = {}

@@ -20,9 +20,10 @@ _DDL = {
     "routes": ("id long, file_id long, symbol_id long, handler_name string, qualified_name string, method string, path string, response_model string", ["file_id", "qualified_name", "method", "path"]),
     "models": ("id long, file_id long, symbol_id long, name string, qualified_name string, start_line long, end_line long", ["file_id", "qualified_name"]),
     "model_fields": ("model_id long, name string, type_annotation string, default_value string, is_required boolean", ["model_id", "name"]),
+    "model_validators": ("model_id long, name string, kind string, fields array<string>", ["model_id", "name"]),
     "packages": ("id long, repository_id long, name string, manifest_path string, version string, is_workspace_member boolean", ["repository_id", "name", "manifest_path"]),
     "dependencies": ("package_id long, name string, version_requirement string, is_workspace_dependency boolean, features array<string>, is_dev boolean", ["package_id", "name"]),
-    "line_coverage": ("file_id long, report_path string, test_suite string, line long, hits long", ["file_id", "report_path", "test_suite", "line"]),
+    "line_coverage": ("file_id long, report_path string, test_suite string, line long, hits long, branches_valid long, branches_covered long", ["file_id", "report_path", "test_suite", "line"]),
     "spawns": ("file_id long, symbol_qualified_name string, kind string, line long", ["file_id", "line", "kind"]),
     "channels": ("scope string, kind string, identity string, role string, line long", ["scope", "identity", "role", "line"]),
     "unsafe_blocks": ("file_id long, symbol_qualified_name string, start_line long, end_line long, is_wrapped boolean", ["file_id", "start_line"]),

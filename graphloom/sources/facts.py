@@ -14,12 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.matching import similarity_target
+from graphloom.shipping import ship
+
 SCHEMA = "path string, fact string, name string, qualified_name string, kind string, target string, start_line long, end_line long, ordering long, detail map<string,string>"
 
 
 @dataclass
 class Fact:
-    """``fact``: symbol, import, call, type, base, decorator, test, doc, route, model, field, validator, spawn, channel, unsafe, ffi, package, dependency, resource, link or diagnostic."""
+    """``fact``: symbol, import, call, type, base, decorator, test, doc, route, model, field, validator, spawn, channel, end, send, unsafe, ffi, package, dependency, resource, link or diagnostic."""
 
     fact: str
     name: str
@@ -46,12 +49,13 @@ def last_part(name: str) -> str:
     return re.split(r"::|\.", name)[-1]
 
 
-def adapters() -> dict[str, Adapter]:
+def adapters(features: tuple[str, ...] = ()) -> dict[str, Adapter]:
+    """By language. ``features``: those that conditional code is compiled with."""
     from graphloom.sources import manifests, markup, python_code, scanners
 
     return {
         "python": python_code.extract, "jupyter": markup.notebook, "markdown": markup.markdown, "xml": manifests.android, "toml": manifests.cargo,
-        **{k: (lambda path, text, k=k: scanners.extract(k, path, text)) for k in ("rust", "kotlin", "swift", "fsharp", "mojo")},
+        **{k: (lambda path, text, k=k: scanners.extract(k, path, text, features)) for k in ("rust", "kotlin", "swift", "fsharp", "mojo")},
     }
 
 
@@ -68,6 +72,8 @@ def by_file_name(path: str) -> Adapter | None:
         return manifests.pom
     if name == "Package.swift":
         return manifests.swift_package
+    if name == "paket.references":
+        return lambda path, text: (Fact("dependency", x, path, "paket-reference") for x in manifests.paket_references(text))
     if name == "paket.dependencies":
         return lambda path, text: (Fact("dependency", k, path, "paket", v or None) for k, v in manifests.paket(text).items())
     if name.endswith(".sln"):
@@ -75,12 +81,12 @@ def by_file_name(path: str) -> Adapter | None:
     return manifests.fsproj if name.endswith(".fsproj") else None
 
 
-def extract(files: DataFrame, known: dict[str, Adapter] | None = None) -> DataFrame:
+def extract(files: DataFrame, known: dict[str, Adapter] | None = None, features: tuple[str, ...] = ()) -> DataFrame:
     """Facts of all files. ``files``: path, language, content (binary or string)."""
     schema = pa.schema([("path", pa.string()), ("fact", pa.string()), ("name", pa.string()), ("qualified_name", pa.string()), ("kind", pa.string()), ("target", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("ordering", pa.int64()), ("detail", pa.map_(pa.string(), pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_language = known or adapters()
+        by_language = known or adapters(features)
         for batch in batches:
             rows: list[tuple] = []
             for path, language, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -96,6 +102,7 @@ def extract(files: DataFrame, known: dict[str, Adapter] | None = None) -> DataFr
             columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
+    ship(files.sparkSession)
     return files.select("path", "language", F.col("content").cast("binary")).mapInArrow(run, SCHEMA)
 
 
@@ -105,7 +112,12 @@ def symbols_of(facts: DataFrame) -> DataFrame:
 
 def edges_of(facts: DataFrame) -> DataFrame:
     """Unresolved edges by kind, one a source, target, kind and place; confidence by how much of the target is known."""
-    kinds = {"call": "Calls", "import": "Imports", "type": "ReferencesType", "base": "Extends", "decorator": "ModifiedWith", "spawn": "Spawns", "link": "ConfiguredBy"}
+    kinds = {"call": "Calls", "import": "Imports", "type": "ReferencesType", "base": "Extends", "decorator": "ModifiedWith", "spawn": "Spawns", "send": "SendsTo", "link": "ConfiguredBy", "test": "TestedBy"}
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("fact"))
+    kind = F.when((F.col("fact") == "base") & (F.element_at("detail", "implements") == "true"), "Implements").otherwise(kind)
+    # A test is linked with what its name is made of.
+    named = facts.filter("fact = 'test' and kind <> 'Fixture'").withColumn("target", similarity_target(F.col("name"))).filter("target is not null")
+    named = named.withColumn("detail", F.create_map(F.lit("confidence"), F.lit("0.8")))
+    facts = facts.filter("fact <> 'test'").unionByName(named)
     confidence = F.coalesce(F.element_at("detail", "confidence").cast("double"), F.lit(1.0))
     return facts.filter(F.col("fact").isin(*kinds)).select("path", F.col("qualified_name").alias("source"), F.col("target").alias("unresolved_target"), kind.alias("kind"), confidence.alias("confidence"), "ordering").dropDuplicates(["path", "source", "unresolved_target", "kind", "ordering"])

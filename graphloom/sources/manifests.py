@@ -29,11 +29,12 @@ def cargo(path: str, text: str) -> Iterator[Fact]:
         yield Fact("package", p.get("name", ""), path, "locked", p.get("version"))
     for m in data.get("workspace", {}).get("members", []):
         yield Fact("package", m, path, "member")
-    tables = [("dependency", data.get("dependencies", {}), ""), ("dependency", data.get("dev-dependencies", {}), "dev"), ("dependency", data.get("workspace", {}).get("dependencies", {}), "workspace")]
-    for fact, table, kind in tables:
+    parts = {"dependencies": "", "dev-dependencies": "dev", "build-dependencies": "build"}
+    tables = [(t.get(key, {}), kind) for t in (data, *data.get("target", {}).values()) for key, kind in parts.items()]
+    for table, kind in [*tables, (data.get("workspace", {}).get("dependencies", {}), "workspace")]:
         for name, value in table.items():
             requirement, detail = _requirement(value)
-            yield Fact(fact, name, owner or path, kind, requirement, detail=detail)
+            yield Fact("dependency", name, owner or path, kind, requirement, detail=detail)
 
 
 def fsproj(path: str, text: str) -> Iterator[Fact]:
@@ -55,6 +56,11 @@ def paket(text: str) -> dict[str, str]:
     return {m[1]: (m[2] or "").strip() for m in re.finditer(r"^\s*nuget\s+(\S+)[ \t]*(.*)$", text, re.M)}
 
 
+def paket_references(text: str) -> list[str]:
+    """Names that a project takes from the list above it, one a line, without groups and settings."""
+    return [m[1] for m in re.finditer(r"^[ \t]*(?!group\b|//|#)([A-Za-z][\w.\-]*)", text, re.M)]
+
+
 def gradle(path: str, text: str) -> Iterator[Fact]:
     name = path.rsplit("/", 2)[-2] if "/" in path else path
     yield Fact("package", name, path, "gradle", (m := re.search(r"jvmTarget\s*=\s*['\"]([^'\"]+)", text)) and m[1], detail={"generated": ",".join(re.findall(r"srcDirs?\(?\s*['\"]([^'\"]*generated[^'\"]*)['\"]", text))})

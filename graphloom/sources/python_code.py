@@ -98,10 +98,20 @@ class _Walk(ast.NodeVisitor):
         self.document(node)
         if any(b.rsplit(".", 1)[-1] == "BaseModel" for b in bases):
             self.model(node)
+        if any(b.rsplit(".", 1)[-1] == "Module" for b in bases):
+            self.submodules(node)
         self.generic_visit(node)
         self.names.pop()
         self.classes.pop()
 
+    def submodules(self, node: ast.ClassDef) -> None:
+        """What the constructor of a module of a network assigns to ``self``, as symbols of the class."""
+        for init in (x for x in node.body if isinstance(x, ast.FunctionDef) and x.name == "__init__"):
+            for x in ast.walk(init):
+                for t in x.targets if isinstance(x, ast.Assign) else ():
+                    if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self":
+                        self.add("symbol", t.attr, x, qualified_name=f"{self.scope}.{t.attr}", kind="Unknown")
+
     def model(self, node: ast.ClassDef) -> None:
         self.add("model", node.name, node)
         for x in node.body:
@@ -136,6 +146,10 @@ class _Walk(ast.NodeVisitor):
         elif node.name.startswith("test_"):
             self.add("test", node.name, node, kind="Function", detail={"framework": "pytest", "parametrized": str(any(m.endswith("parametrize") for m in marks)).lower()})
         a = node.args
+        if node.name.startswith("test_"):  # what a test asks for by its parameters
+            for arg in (*a.posonlyargs, *a.args, *a.kwonlyargs):
+                if arg.arg not in ("self", "cls"):
+                    self.add("link", arg.arg, arg, target=arg.arg)
         for arg in (*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg):
             if arg is not None:
                 self.types(arg.annotation)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
@@ -39,6 +39,70 @@ def ignore_pattern(lines: list[str]) -> str | None:
     return "|".join(out) or None
 
 
+def glob_regex(glob: str) -> str:
+    """A glob of an ignore file as a regular expression of Java; ``*`` and ``?`` stop at ``/``, and ``**`` doesn't."""
+    out, k = [], 0
+    while k < len(glob):
+        c = glob[k]
+        if glob.startswith("**/", k) and (k == 0 or glob[k - 1] == "/"):
+            out.append("(?:.*/)?")
+            k += 3
+            continue
+        if glob.startswith("**", k):
+            out.append(".*")
+            k += 2
+            continue
+        if c == "[" and (end := glob.find("]", k + 2)) > 0:
+            inside = glob[k + 1 : end]
+            out.append("[" + ("^" if inside[0] in "!^" else "") + re.sub(r"([\\[&])", r"\\\1", inside.lstrip("!^") if inside[0] in "!^" else inside) + "]")
+            k = end + 1
+            continue
+        if c == "\\" and k + 1 < len(glob):
+            k, c = k + 1, glob[k + 1]
+            out.append(re.escape(c))
+        else:
+            out.append("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c))
+        k += 1
+    return "".join(out)
+
+
+def ignore_rules(folder: str, text: str) -> list[tuple[str, bool, bool]]:
+    """``(regular expression of a whole path, excluded or let in again, folders only)`` of an ignore file in a folder ("" is the root)."""
+    out = []
+    base = re.escape(f"{folder}/") if folder else ""
+    for line in text.splitlines():
+        line = re.sub(r"(?<!\\) +$", "", line)
+        if not line or line.startswith("#"):
+            continue
+        back, line = line.startswith("!"), line.removeprefix("!")
+        folders, glob = line.endswith("/"), line.rstrip("/")
+        anchored = "/" in glob
+        if glob := glob.removeprefix("/"):
+            out.append((f"^{base}{'' if anchored else '(?:.*/)?'}{glob_regex(glob)}$", not back, folders))
+    return out
+
+
+def is_ignored(path: Column, rules: list[tuple[str, bool, bool]]) -> Column:
+    """Whether a path, or a folder that it lies in, is excluded: the last rule that fits each of them counts."""
+    runs: list[tuple[list[str], bool, bool]] = []
+    for regex, excluded, folders in rules:  # neighbours of one effect in one expression
+        if runs and runs[-1][1:] == (excluded, folders):
+            runs[-1][0].append(regex)
+        else:
+            runs.append(([regex], excluded, folders))
+
+    def state(at: Column, folder: bool) -> Column:
+        out = F.lit(False)
+        for regexes, excluded, folders in runs:
+            if folder or not folders:
+                out = F.when(at.rlike("|".join(regexes)), F.lit(excluded)).otherwise(out)
+        return out
+
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return state(path, False) | ((F.size(parts) > 1) & F.exists(above, lambda d: state(d, True)))
+
+
 def skipped_by_reader(path: str, size: int) -> bool:
     """Spark's file readers leave out empty files, and names of files or folders that begin with ``_`` or ``.``."""
     return size == 0 or any(x.startswith(".") or (x.startswith("_") and "=" not in x) or x.endswith("._COPYING_") for x in path.split("/"))
@@ -98,15 +162,22 @@ def _left_out(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def discover(spark: SparkSession, root: str, ignored: list[str] | None = None) -> DataFrame:
+def discover(spark: SparkSession, root: str, ignored: list[str] | None = None, ignore_files: tuple[str, ...] = (".gitignore",)) -> DataFrame:
     """``path`` (relative), ``language, content_hash, line_count, content`` of all files but ignored ones and those in ``.git``.
 
     Hidden and empty files count. The folder can be on any store that Spark reads; most files are listed and read by Spark, the
-    others (see ``skipped_by_reader``) are listed by the driver.
+    others (see ``skipped_by_reader``) are listed by the driver. What the ``ignore_files`` of any folder exclude is left out, those
+    of inner folders going before those of outer ones, and of one folder the later names before the earlier.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split(":", 1)[-1].lstrip("/")) + "/", "")
-    files = files.select(rel.alias("path"), "content").unionByName(_left_out(spark, root)).filter(~F.col("path").rlike(r"^\.git/"))
+    hidden = _left_out(spark, root)
+    files = files.select(rel.alias("path"), "content").unionByName(hidden).filter(~F.col("path").rlike(r"^\.git/"))
+    lists = files.filter(F.substring_index("path", "/", -1).isin(*ignore_files)) if ignore_files else files.limit(0)
+    found = [("/".join(r.path.split("/")[:-1]), r.path.rsplit("/", 1)[-1], bytes(r.content or b"")) for r in lists.toLocalIterator()]
+    found.sort(key=lambda x: (x[0].count("/") + bool(x[0]), x[0], ignore_files.index(x[1])))
+    if rules := [rule for folder, _, content in found for rule in ignore_rules(folder, content.decode("utf-8", "replace"))]:
+        files = files.filter(~is_ignored(F.col("path"), rules))
     if pattern := ignore_pattern(ignored or []):
         files = files.filter(~F.col("path").rlike(pattern))
     text = F.col("content").cast("string")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.shipping import ship
+
 SCHEMA = "report_path string, suite string, path string, line long, hits long, branches_valid long, branches_covered long"
 
 
@@ -56,4 +58,5 @@ def read(files: DataFrame, suite: str | None = None) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == "string" else pa.int64()) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
+    ship(files.sparkSession)
     return files.select("path", F.col("content").cast("binary")).mapInArrow(run, SCHEMA)

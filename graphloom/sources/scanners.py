@@ -1,7 +1,8 @@
 """Facts of Rust, Kotlin, Swift, F# and Mojo source, by line scanners.
 
 No grammar of these languages is at hand, so this is an approximation: strings and comments are blanked, declarations are
-found by pattern, and their extent by braces (or by indentation for F# and Mojo). Macros and conditional code are read as written.
+found by pattern, and their extent by braces (or by indentation for F# and Mojo). Macros are read as written; Rust items of features
+that aren't active are left out.
 """
 
 from __future__ import annotations
@@ -34,6 +35,14 @@ LANGUAGES = {
 _STRING = re.compile(r'"""(?:.*?)"""|"(?:\\.|[^"\\\n])*"', re.S)
 _CALL = re.compile(r"(?<![\w@#])((?:[A-Za-z_]\w*(?:\.|::))*[A-Za-z_]\w*)(?:::<[^>]*>)?\s*\(")
 SPAWN = {"rust": r"\b((?:tokio::(?:task::)?|std::thread::|thread::)spawn)\s*\(", "swift": r"\b(Task\.detached|Task|addTask)\s*(?:\(|\{)", "kotlin": r"\b((?:\w+\.)?(?:launch|async))\s*(?:\(|\{)"}
+SPAWNED = re.compile(r"(?:\s*(?:[({]|async\b|move\b|\|[^|]*\||detached\b|await\b|try\b|\w+:(?!:)))*\s*([A-Za-z_][\w:.]*)\s*\(")
+SEND = {"rust": r"([\w.]+)\.(?:send|try_send|blocking_send)\s*\(", "kotlin": r"([\w.]+)\.(?:send|trySend|emit)\s*\(", "swift": r"([\w.]+)\.(?:yield|send)\s*\("}
+RECEIVE = {"rust": r"([\w.]+)\.(?:recv|try_recv|recv_timeout|blocking_recv)\s*\(", "kotlin": r"([\w.]+)\.(?:receive|tryReceive|collect)\s*[({]", "swift": r"\bfor\s+await\s+\w+\s+in\s+([\w.]+)"}
+#: Names of types that a language brings with it; they are no references of interest.
+PREDEFINED = frozenset("Self String Str Vec Option Result Box Rc Arc Some None Ok Err Int Int8 Int16 Int32 Int64 UInt UInt8 Float Float32 Float64 Double Bool Boolean Unit Any AnyObject Void Long Short Byte Char Character List Map Set Array Dictionary Optional Error Nothing Seq SIMD".split())
+_TYPES = re.compile(r"(?:(?<!:):(?!:)|->)\s*([^=;{]*)")
+_TYPE_NAME = re.compile(r"((?:\b\w+(?:::|\.))*\b[A-Z]\w*\b)(?!\s*\(|::|\.)")
+_GATE = re.compile(r'\s*#\[cfg\(\s*(not\()?\s*feature\s*=\s*"([^"]*)"\s*\)?\s*\)\]')
 CHANNEL = {"rust": r"let\s*\(\s*(?:mut\s+)?(\w+)\s*,\s*(?:mut\s+)?(\w+)\s*\)\s*(?::[^=]*)?=\s*([\w:]*(?:mpsc|oneshot|broadcast|watch)[\w:]*)::", "kotlin": r"\bval\s+(\w+)()\s*=\s*(Channel)\s*[<(]", "swift": r"\blet\s+(\w+)()\s*=\s*(AsyncStream|AsyncChannel)\b"}
 
 
@@ -84,17 +93,68 @@ def _module(language: str, path: str, text: str) -> str:
     return module_of(path, ".")
 
 
-def extract(language: str, path: str, text: str) -> Iterator[Fact]:
+def gated(lines: list[str], raw: list[str], features: tuple[str, ...]) -> list[str]:
+    """The lines without items whose feature isn't among the active ones, or is and mustn't be; other conditions are left."""
+    lines = list(lines)
+    for k, row in enumerate(raw):
+        m = _GATE.match(row)
+        if m and (m[2] in features) == bool(m[1]):
+            at = k + 1
+            while at < len(lines) - 1 and re.match(r"\s*(#\[|$)", raw[at]):
+                at += 1
+            for j in range(k, _end(lines, at, 0, False) + 1 if at < len(lines) else k + 1):
+                lines[j] = ""
+    return lines
+
+
+def _paired(channels: list[tuple[str, str]], sends: list[tuple[str, str]], receives: list[tuple[str, str]]) -> Iterator[tuple[str, str]]:
+    """Scopes of sender and receiver of a file's channels. Variables that no declaration names go by what they are called."""
+    of = lambda ends, var: {s for v, s in ends if v == var or v.startswith((f"{var}.", f"{var}_")) or v.endswith(f".{var}")}
+    like = lambda ends, *marks: {s for v, s in ends if any(m in v for m in marks)}
+    found = {(s, r) for tx, rx in channels for s in of(sends, tx) for r in of(receives, rx)}
+    declared = {tx for tx, _ in channels}
+    loose = [x for x in sends if x[0] not in declared]
+    found |= {(s, r) for s in like(loose, "tx", "sender") for r in like(receives, "rx", "receiver")}
+    yield from sorted((s, r) for s, r in found if s != r)
+
+
+#: Confidence of a call's target: known through an import, in the own class, in the own module, a simple name, anything else. Fixed values.
+LADDER = {"rust": (0.5, 1.0, 1.0, 0.7, 0.5), "mojo": (0.5, 1.0, 1.0, 0.7, 0.5), "fsharp": (0.5, 0.5, 1.0, 0.5, 0.5), "kotlin": (1.0, 1.0, 1.0, 0.5, 0.5), "swift": (1.0, 0.9, 0.7, 0.6, 0.5)}
+
+
+def _callee(language: str, name: str, own: str, methods: dict[str, set[str]], names: dict[str, str], imports: dict[str, str]) -> tuple[str, float]:
+    """A call's target as far as the file knows it, and how sure that is. ``own``: the calling scope; ``methods``: of each type."""
+    imported, of_class, of_module, simple, other = LADDER[language]
+    parts = re.split(r"::|\.", name)
+    home = own.rsplit(".", 1)[0] if own.rsplit(".", 1)[0] in methods else None
+    if len(parts) == 2 and parts[0] in ("self", "this", "Self"):
+        if home and parts[1] in methods[home]:
+            return f"{home}.{parts[1]}", of_class
+        return (f"{last_part(home)}.{parts[1]}", 0.8 if language != "swift" else other) if home else (name, other)
+    if language in ("kotlin", "swift") and parts[0] in imports:
+        return ".".join([imports[parts[0]], *parts[1:]]), imported
+    if len(parts) == 1:
+        if language in ("kotlin", "swift") and home and name in methods[home]:
+            return f"{home}.{name}", of_class
+        return (names[name], of_module) if name in names else (name, simple)
+    owner = next((c for c in methods if len(parts) == 2 and last_part(c) == parts[0] and parts[1] in methods[c]), None)
+    return (f"{owner}.{parts[1]}", of_class) if owner and language == "rust" else (name, other)
+
+
+def extract(language: str, path: str, text: str, features: tuple[str, ...] = ()) -> Iterator[Fact]:
     spec = LANGUAGES[language]
     plain = blank(text, spec.comment)
     module, within = _module(language, path, plain), "." if language == "fsharp" else "::"
     lines, raw = plain.split("\n"), text.split("\n")
+    if language == "rust":
+        lines = gated(lines, raw, features)
     yield Fact("symbol", last_part(module), module, "Module", None, 1, max(1, len(raw)))
     found: list[tuple[int, int, str, str]] = []
     for pattern, kind in spec.declarations:
         for k, line in enumerate(lines):
             for m in re.finditer(pattern, line):
-                found.append((k, _end(lines, k, m.end(), spec.indented), m[1], kind))
+                header = kind == "Unknown" and "(" in line[: m.start()] and re.match(r"[\w\s@]*\bclass\b", line)  # a property in a class's header
+                found.append((k, k if header else _end(lines, k, m.end(), spec.indented), m[1], kind))
     found.sort(key=lambda x: (x[0], -x[1]))
     open_: list[tuple[int, str, str]] = []  # last line, name, kind
     scopes: list[tuple[int, int, str, str]] = []
@@ -114,33 +174,59 @@ def extract(language: str, path: str, text: str) -> Iterator[Fact]:
             scopes.append((first, last, qualified, kind))
             yield Fact("symbol", name, qualified, kind, None, first + 1, last + 1)
             yield from _tests(language, raw, first, last, name, qualified, kind)
-        m = re.search(r"(?:class|struct|interface|protocol|enum|extension)\s+\w+[^:{]*:\s*([\w., <>()]+)", lines[first]) if language in ("kotlin", "swift") else re.search(r"impl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\s", lines[first]) if kind == "impl" else None
+            if language in ("kotlin", "swift"):
+                for mark in _marks(raw, first):
+                    yield Fact("decorator", mark, qualified, "", mark, first + 1, first + 1)
+        m = re.search(r"\b(?:class|struct|interface|object|protocol|enum|extension)\s+\w+(?:<[^>]*>)?[\s\w]*(?:\([^)]*\))?\s*:\s*([\w., <>()]+)", lines[first]) if language in ("kotlin", "swift") and kind not in ("Unknown", "Function", "Method") else re.search(r"impl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\s", lines[first]) if kind == "impl" else None
         for base in re.split(r",(?![^<(]*[>)])", m[1]) if m else ():
             if bare := re.sub(r"[<(].*", "", base).strip():
-                yield Fact("base", bare.rsplit("::", 1)[-1], qualified if kind != "impl" else f"{module}::{name}", "", bare, first + 1, first + 1)
+                # Kotlin calls a base class's constructor; in Swift the first of a class's bases is taken for its class.
+                extends = (base.rstrip().endswith(")") if language == "kotlin" else kind == "Class" and m[1].lstrip().startswith(bare)) and kind != "Interface"
+                yield Fact("base", bare.rsplit("::", 1)[-1], qualified if kind != "impl" else f"{module}::{name}", "", bare, first + 1, first + 1, None, {"implements": str(not extends).lower()})
 
     def scope(k: int) -> str:
         return next((q for a, b, q, kind in reversed(scopes) if a <= k <= b and kind in ("Function", "Method")), module)
 
+    def owner(k: int) -> str:
+        return next((q for a, b, q, _ in reversed(scopes) if a <= k <= b), module)
+
     declared = {(k, m.start(1)) for pattern, _ in spec.declarations for k, line in enumerate(lines) for m in re.finditer(pattern, line)}
+    headers = {a for a, _, _, kind in scopes if kind in ("Class", "Enum", "Interface")}
     order: dict[str, int] = {}
-    names = {q.replace(".", "::").rsplit("::", 1)[-1]: q for _, _, q, kind in scopes if kind in ("Function", "Method")}
+    names = {last_part(q): q for _, _, q, kind in scopes if kind == "Function"}
+    methods: dict[str, set[str]] = {}
+    for _, _, q, kind in scopes:
+        if kind == "Method":
+            methods.setdefault(q.rsplit(".", 1)[0], set()).add(last_part(q))
+    imports: dict[str, str] = {}
+    channels, sends, receives = [], [], []
     for k, line in enumerate(lines):
         for m in re.finditer(spec.imports, line):
             target = next(g for g in m.groups() if g).strip()
             yield Fact("import", re.split(r"::|\.", target)[-1], module, "", target, k + 1, k + 1)
+            imports[last_part(target)] = target
         for m in _CALL.finditer(line):
             last = re.split(r"::|\.", m[1])[-1]
-            if (k, m.start(1)) in declared or re.fullmatch(spec.not_calls, m[1]):
+            if (k, m.start(1)) in declared or re.fullmatch(spec.not_calls, m[1]) or language == "kotlin" and k in headers:
                 continue
             own = scope(k)
             order[own] = order.get(own, -1) + 1
-            known = m[1] == last and last in names
-            yield Fact("call", last, own, "", names[last] if known else m[1], k + 1, k + 1, order[own], {"confidence": "1.0" if known else "0.5" if m[1] != last else "0.7"})
+            target, sure = _callee(language, m[1], own, methods, names, imports)
+            yield Fact("call", last, own, "", target, k + 1, k + 1, order[own], {"confidence": str(sure)})
+        if not re.match(r"\s*(use|import|open|from|#|@)\b", line):
+            for name in dict.fromkeys(n for m in _TYPES.finditer(line) for n in _TYPE_NAME.findall(m[1])):
+                if last_part(name) not in PREDEFINED:
+                    yield Fact("type", last_part(name), owner(k), "", name, k + 1, k + 1)
         for m in re.finditer(SPAWN.get(language, r"(?!)"), line):
-            yield Fact("spawn", m[1], scope(k), m[1], None, k + 1, k + 1)
+            started = SPAWNED.match("\n".join([line[m.end() - 1 :], *lines[k + 1 : k + 3]]))
+            yield Fact("spawn", m[1], scope(k), m[1], started[1] if started else "unknown", k + 1, k + 1)
         for m in re.finditer(CHANNEL.get(language, r"(?!)"), line):
+            channels.append((m[1], m[2] or m[1]))
             yield Fact("channel", m[1], scope(k), m[3].rsplit("::", 1)[-1], m[2] or m[1], k + 1, k + 1)
+        for role, patterns, ends in (("tx", SEND, sends), ("rx", RECEIVE, receives)):
+            for m in re.finditer(patterns.get(language, r"(?!)"), line):
+                ends.append((m[1], scope(k)))
+                yield Fact("end", m[1], scope(k), role, None, k + 1, k + 1)
         if language == "rust":
             if m := re.search(r"\bunsafe\s+fn\s+(\w+)", line):
                 yield Fact("unsafe", m[1], f"{scope(k)}", "function", None, k + 1, _end(lines, k, m.end(), False) + 1)
@@ -148,9 +234,19 @@ def extract(language: str, path: str, text: str) -> Iterator[Fact]:
                 yield Fact("unsafe", "block", scope(k), "block", None, k + 1, _end(lines, k, m.start(), False) + 1)
             if m := re.search(r'\bextern\s+"', line):
                 yield Fact("ffi", (re.search(r'extern\s+"([^"]*)"', raw[k]) or ["", "C"])[1], scope(k), "extern", None, k + 1, k + 1)
+    for sender, receiver in _paired(channels, sends, receives):
+        yield Fact("send", last_part(receiver), sender, "SendsTo", receiver)
     yield from _routes(language, module, text, scope)
 
 
+def _marks(raw: list[str], first: int) -> list[str]:
+    """Names of the annotations above a declaration, and on its own line before it."""
+    k = first
+    while k > 0 and re.match(r"(\s*@[\w.]+(\([^)]*\))?)+\s*$", raw[k - 1]):
+        k -= 1
+    return [m for row in raw[k : first + 1] for m in re.findall(r"(?:^|\s)@((?!file:)\w+(?:\.\w+)*)", row)]
+
+
 def _tests(language: str, raw: list[str], first: int, last: int, name: str, qualified: str, kind: str) -> Iterator[Fact]:
     above = []
     k = first - 1

@@ -150,4 +150,4 @@ class StoredGraph:
 
     @property
     def coverage(self) -> DataFrame:
-        return self.table("line_coverage").groupBy("file_id", F.coalesce("test_suite", F.lit("")).alias("suite"), "line").agg(F.max("hits").alias("hits"))
+        return self.table("line_coverage").groupBy("file_id", F.coalesce("test_suite", F.lit("")).alias("suite"), "line").agg(F.max("hits").alias("hits"), F.max("branches_valid").alias("branches_valid"), F.max("branches_covered").alias("branches_covered"))

@@ -65,3 +65,53 @@ def test_packs_as_markdown(spark):
     packed = spark.createDataFrame([("t", 0, 0, "t", 1), ("t", 3, 2, "b", 1), ("t", 3, 1, "a", 1)], "target string, section int, position int, item string, tokens long")
     text = context.rendered(packed).first().text
     assert text == context.markdown("t", {"target": ["t"], "edges": ["a", "b"]})
+
+
+def test_ignore_files(spark, tmp_path):
+    import subprocess
+
+    from graphloom.sources import repo
+
+    tree = {
+        ".gitignore": "build/\n*.log\n!keep.log\n/top.txt\ndocs/**/draft.md\n# note\n\\#odd\ndata[0-9].csv\n", "a/.gitignore": "!b.log\nlocal\n",
+        "build/x.py": "1", "a/build/y.py": "1", "c.log": "1", "keep.log": "1", "a/b.log": "1", "a/c.log": "1", "top.txt": "1", "a/top.txt": "1", "docs/x/y/draft.md": "1", "docs/draft.md": "1",
+        "docs/final.md": "1", "#odd": "1", "data1.csv": "1", "dataA.csv": "1", "a/local/z.py": "1", "local/z.py": "1", "build2/x.py": "1", "a/build/keep.log": "1", "x/build": "1",
+    }
+    for name, text in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    want = subprocess.run(["git", "-C", str(tmp_path), "ls-files", "-o", "--exclude-standard"], capture_output=True, text=True, check=True).stdout.split("\n")
+    got = [r.path for r in repo.discover(spark, str(tmp_path)).select("path").collect()]
+    assert sorted(got) == sorted(x.strip('"') for x in want if x)
+
+
+def test_workspace_and_shared_lists(spark, tmp_path):
+    from graphloom.indexing import import_coverage, index
+    from graphloom.sources.store import FactStore, StoredGraph
+
+    tree = {
+        "Cargo.toml": '[workspace]\nmembers = ["a"]\n[workspace.dependencies]\nlog = { version = "0.4", features = ["std"] }\nserde = "1"\n',
+        "a/Cargo.toml": '[package]\nname = "a"\nversion = "0.1.0"\n[dependencies]\nlog = { workspace = true, features = ["kv"] }\nserde = { workspace = true }\nown = "2"\n',
+        "Cargo.lock": '[[package]]\nname = "serde"\nversion = "1.0.9"\n',
+        "paket.dependencies": "nuget FSharp.Core >= 8\nnuget Other 1.2\n", "p/paket.references": "FSharp.Core\n", "p/P.fsproj": "<Project></Project>",
+        "a/src/lib.rs": "pub fn send_all(tx: Sender) {\n    tx.send(1);\n}\n\nfn take(rx: Receiver) {\n    rx.recv();\n}\n\nfn start() {\n    let (tx, rx) = mpsc::channel();\n}\n",
+        "m.py": "class M(BaseModel):\n    a: int\n\n    @field_validator('a', 'b')\n    def check(cls, v):\n        return v\n",
+        "test_m.py": "def test_check(tool):\n    pass\n",
+    }
+    for name, text in tree.items():
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_text(text)
+    store = FactStore(spark, str(tmp_path / "s"))
+    index(spark, str(tmp_path / "r"), store)
+    g = StoredGraph(store)
+    names = {r.id: r.name for r in g.packages.collect()}
+    got = {(names[r.package_id], r.name): (r.version_requirement, r.is_workspace_dependency, r.features) for r in g.dependencies.collect()}
+    assert got == {("a", "log"): ("0.4", True, ["kv", "std"]), ("a", "serde"): ("1.0.9", True, []), ("a", "own"): ("2", False, []), ("P", "FSharp.Core"): (">= 8", False, [])}
+    symbols = {r.id: r.qualified_name for r in g.symbols.collect()}
+    edges = {(symbols[r.source_symbol_id], symbols.get(r.target_symbol_id, r.unresolved_target), r.kind) for r in g.edges.collect()}
+    assert ("a::src::lib::send_all", "a::src::lib::take", "SendsTo") in edges and ("test_m::test_check", "m::M.check", "TestedBy") in edges and ("test_m::test_check", "tool", "ConfiguredBy") in edges
+    assert [(r.name, r.kind, r.fields) for r in g.table("model_validators").collect()] == [("check", "field", ["a", "b"])]
+    (tmp_path / "lcov.info").write_text("TN:unit\nSF:m.py\nDA:1,1\nBRDA:1,0,0,1\nBRDA:1,0,1,-\nDA:2,0\nend_of_record\n")
+    import_coverage(spark, str(tmp_path / "lcov.info"), store)
+    assert [(r.line, r.hits, r.branches_valid, r.branches_covered) for r in StoredGraph(store).coverage.orderBy("line").collect()] == [(1, 1, 2, 1), (2, 0, 0, 0)]
