@@ -6,9 +6,7 @@ Nothing here collects rows: the largest thing that reaches the driver is a set o
 from __future__ import annotations
 
 import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.shipping import ship
+
+__all__ = ["as_bytes", "bucket_of", "by_bytes", "cut", "ensure_checkpoint_dir", "remove", "ship", "sieve_join", "text_or_empty"]
+
 #: Buckets of a sieve: at most this many small integers (some 16 MB) are ever broadcast by it.
 SIEVE_BITS = 20
 
@@ -79,15 +81,7 @@ def as_bytes(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session, so that their Python workers can import it wherever they run."""
-    sc = spark.sparkContext
-    if getattr(sc, "_graphloom_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="graphloom-package-")) / "graphloom.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for path in sorted(root.rglob("*.py")):
-            z.write(path, path.relative_to(root.parent))
-    sc.addPyFile(str(archive))  # from here on Spark's own file server hands it out
-    sc._graphloom_shipped = True
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours in the shared store, once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

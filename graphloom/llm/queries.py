@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, exact_dedup, html_extract, minhash, packing, quality, sharding, token_counts, toxicity, warc
-from graphloom.llm.common import cut, ensure_checkpoint_dir, ship
+from graphloom.llm.common import cut, ensure_checkpoint_dir, remove, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +48,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC archives to the shared folder, and what the salvage reader reads back from there: every page, or an error."""
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/warc-{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
     pages = table(spark, sf_dir, "pages")
-    warc.write_warc(pages, path, mode="overwrite")
+    warc.write_warc(pages, path)
     kind = pages.schema["page_id"].dataType
     got = cut(warc.read_warc(spark, path, payloads=False).select("kind", "record_id", "payload_bytes", "payload_digest", "refers_to"))
     read = {r.gap: r["count"] for r in got.groupBy((F.col("kind") == "gap").alias("gap")).count().collect()}
+    remove(spark, path)  # all of it has been read
     n = pages.count()
     if read.get(True, 0) or read.get(False, 0) != n:
         raise RuntimeError(f"{read.get(False, 0)} records and {read.get(True, 0)} gaps were read of {n} pages")
@@ -108,6 +109,7 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id, and all that have no equal. Null counts as empty text."""
     ship(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
@@ -124,6 +126,7 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left; null counts as empty text, which is one token."""
     ship(spark)
     return packing.pack(docs)
 
