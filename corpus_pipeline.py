@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.common import ensure_checkpoint_dir
+from graphloom.llm.common import ensure_checkpoint_dir, remove
 from graphloom.llm.queries import STAGES
 
 __all__ = ["ORACLE_SQL", "STAGES", "run"]
@@ -26,4 +26,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
