@@ -37,7 +37,7 @@ THRESHOLD = 0.8
 RECALL = 0.998  # of pairs just at the threshold, before groups add further ways to be linked
 ROWS = 3  # minhashes of a collection
 BLOCK_DOCS = 128
-CACHE_WORDS = 150_000
+CACHE_WORDS = 80_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -33,7 +33,7 @@ SAMPLE_ROWS = 12_000
 THRESHOLD = 0.7
 PAIR_WEIGHT = 10.0
 COPIES = 3
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 #: Identity terms; only their own score changes are penalised, and no score uses them otherwise. A parameter.
 IDENTITY_TERMS = (
