@@ -51,8 +51,25 @@ def index(spark: SparkSession, root: str, store: FactStore, ignored: list[str] |
     ``force`` parses all files again (as it must when the active ``features`` of conditional code change). ``history`` reads ``git log`` of a local clone (its last ``limit`` commits, 0: all). An
     empty folder gives empty tables; a file that can't be parsed gives a diagnostic and no symbols.
     """
-    run, began, root = store.begin(), _now(), root.rstrip("/")
-    repo_id = key(F.lit(root))
+    began, root = _now(), root.rstrip("/")
+    try:
+        return _index(spark, root, store, began, ignored, force, history, limit, features)
+    except Exception as e:
+        _failed(spark, root, store, began, f"{type(e).__name__}: {e}"[:2000])
+        raise
+
+
+def _failed(spark: SparkSession, root: str, store: FactStore, began: str, message: str) -> None:
+    """A row of a run that failed; all other tables stay as they were."""
+    run = store.begin()
+    entry = [(run.number, began, _now(), "failed", message)]
+    one = spark.createDataFrame(entry, "id long, started_at string, finished_at string, status string, error_message string").withColumn("repository_id", key(F.lit(root)))
+    run.write("index_runs", run.old("index_runs").unionByName(one, allowMissingColumns=True))
+    run.finish()
+
+
+def _index(spark: SparkSession, root: str, store: FactStore, began: str, ignored: list[str] | None, force: bool, history: bool, limit: int, features: tuple[str, ...]) -> DataFrame:
+    run, repo_id = store.begin(), key(F.lit(root))
     run.write("repositories", spark.range(1).select(repo_id.alias("id"), F.lit(root).alias("root_path"), F.lit("git").alias("vcs_type")))
     found = repo.discover(spark, root, ignored)
     listed = run.stage("listing", found.drop("content"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,13 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def terms(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits; of other letters the index keeps none."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    """Lower-case runs of letters and digits of any script; marks on letters are kept."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def is_query(text: str) -> bool:
+    """Whether the index takes a query: words, quotes and ``*`` only. Others, as names with dots, are looked for as substrings."""
+    return re.fullmatch(r'[\w\s"*]*', text) is not None
 
 
 def bm25(docs: DataFrame, id_col: str, query: str, *columns: str) -> DataFrame:
@@ -19,7 +26,7 @@ def bm25(docs: DataFrame, id_col: str, query: str, *columns: str) -> DataFrame:
     Only the query's terms are counted: each row's tokens are filtered before they are exploded, so the join that a stored
     index would need isn't there, and the shuffle holds a few rows a document at most.
     """
-    words = sorted({w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()})
+    words = sorted(set("".join(c if c.isalnum() else " " for c in query.lower()).split()))
     text = F.concat_ws(" ", *columns)
     rows = docs.select(F.col(id_col).alias("doc"), terms(text).alias("ts")).withColumn("dl", F.size("ts"))
     sizes = rows.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))  # one row
@@ -47,7 +54,9 @@ def like(docs: DataFrame, id_col: str, query: str, *columns: str) -> DataFrame:
 
 
 def search(docs: DataFrame, id_col: str, query: str, *columns: str) -> DataFrame:
-    """BM25, or the substring search where that finds nothing."""
+    """BM25, or the substring search where that finds nothing or the query isn't one for the index."""
+    if not is_query(query):
+        return like(docs, id_col, query, *columns).withColumn("score", F.lit(0.0))
     ranked = bm25(docs, id_col, query, *columns)
     other = like(docs, id_col, query, *columns).withColumn("score", F.lit(0.0))
     return ranked.unionByName(other.join(ranked.select(F.lit(1).alias("hit")).limit(1), F.lit(True), "left_anti"))

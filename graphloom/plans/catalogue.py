@@ -11,6 +11,7 @@ from graphloom.functions import text as T
 from graphloom.engine import Engine
 from graphloom.operators import context, coverage, graph, history, incremental, matching, relations, resolve, search
 from graphloom.plans import generated
+from graphloom.plans.generated import View
 from graphloom.sources.testdata import CUSTOMER, NATION, PART, StarGraph
 
 PART_NAME = "small ring"
@@ -21,13 +22,6 @@ WORD = "erth"
 HOUR = 3_600_000_000  # in microseconds
 
 
-class View:
-    """Tables under the names that the operators expect."""
-
-    def __init__(self, **tables: DataFrame):
-        self.__dict__.update(tables)
-
-
 def _start(g: StarGraph, symbol_id: int) -> DataFrame:
     return g.symbols.filter(F.col("id") == symbol_id).select("id")
 
@@ -411,6 +405,7 @@ QUERIES: dict[str, Callable[[StarGraph], DataFrame]] = {
 
 QUERIES |= {f"facts_{kind}": lambda g, kind=kind: generated.said(g, kind) for kind in generated.FILES}
 QUERIES |= {f"edges_{kind}": lambda g, kind=kind: generated.edges(g, kind) for kind in ("python", "rust", "kotlin", "swift", "fsharp", "mojo", "layout")}
+QUERIES |= {f"resolved_{kind}": lambda g, kind=kind: generated.resolved(g, kind) for kind in ("python", "rust", "kotlin", "swift", "fsharp", "mojo")}
 QUERIES |= {
     "lcov_lines": generated.lcov,
     "cobertura_lines": generated.cobertura,

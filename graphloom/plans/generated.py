@@ -11,8 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.operators import resolve
 from graphloom.sources import facts, reports
 
+
+class View:
+    """Tables under the names that the operators expect."""
+
+    def __init__(self, **tables: DataFrame):
+        self.__dict__.update(tables)
+
+
 #: Path and text of a file of each language.
 FILES = {
     "python": ("src/c{k}.py", '''import nation_{n}
@@ -277,3 +286,15 @@ def cobertura(g) -> DataFrame:
     file = F.concat(F.lit("src/s"), F.col("file_id").cast("string"), F.lit(".c"))
     text = F.concat(F.lit('<?xml version="1.0"?><coverage><packages><package><classes><class filename="'), file, F.lit('"><lines>'), "body", F.lit("</lines></class></classes></package></packages></coverage>"))
     return reports.read(rows.select(F.concat(file, F.lit(".xml")).alias("path"), text.alias("content"))).drop("suite")
+
+
+def resolved(g, kind: str) -> DataFrame:
+    """Their edges after resolution, counted by kind and by what found the target, and how many targets there are."""
+    found = facts.extract(written(g, kind))
+    file = F.xxhash64("path")
+    files = written(g, kind).select(file.alias("id"), F.lit(1).alias("repository_id"), "language", "path")
+    symbols = facts.symbols_of(found).select(F.xxhash64("path", "qualified_name").alias("id"), file.alias("file_id"), "name", "qualified_name", "kind")
+    source = F.xxhash64("path", "source").alias("source_symbol_id")
+    open_ = facts.edges_of(found).select(source, F.lit(None).cast("long").alias("target_symbol_id"), "unresolved_target", "kind", "confidence", "ordering")
+    out = resolve.resolve_edges(View(files=files, symbols=symbols, edges=open_))
+    return out.groupBy("kind", "stage").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("resolved_id").alias("n_targets"))

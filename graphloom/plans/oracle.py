@@ -91,7 +91,7 @@ _RESOLVE = """
 def _bm25(rows: str, words: list[str]) -> str:
     """``rows``: a select of doc and text."""
     quoted = ", ".join(f"'{w}'" for w in words)
-    return f"""tok AS (SELECT doc, list_filter(regexp_split_to_array(lower(txt), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM ({rows})),
+    return f"""tok AS (SELECT doc, list_filter(regexp_split_to_array(lower(txt), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ts FROM ({rows})),
       len AS (SELECT doc, len(ts) AS dl FROM tok), n AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS a FROM len),
       tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(ts) AS term FROM tok) WHERE term IN ({quoted}) GROUP BY ALL),
       df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
@@ -224,6 +224,8 @@ _MORE = {"context_pack_prefix": _KEPT, "context_pack_text": _KEPT, "package_depe
 
 _BRANCHES = "(SELECT file_id, suite, line, hits, CASE WHEN line % 3 = 0 THEN 2 ELSE 0 END AS bv, CASE WHEN line % 3 = 0 AND hits > 0 THEN 1 ELSE 0 END AS bc FROM cov)"
 BODIES |= generated_oracle.bodies({kind: path for kind, (path, _) in generated.FILES.items()})
+_RESOLVED = {f"resolved_{kind}": generated_oracle.resolved(kind, generated.FILES[kind][0], _RESOLVE.strip()) for kind in ("python", "rust", "kotlin", "swift", "fsharp", "mojo")}
+BODIES |= _RESOLVED  # with tables of their own
 BODIES |= {
     "lcov_lines": f"SELECT 'src/s' || file_id || '.c-' || suite || '.info' AS report_path, suite, 'src/s' || file_id || '.c' AS path, line, hits::BIGINT AS hits, bv::BIGINT AS branches_valid, bc::BIGINT AS branches_covered FROM {_BRANCHES}",
     "cobertura_lines": f"SELECT 'src/s' || file_id || '.c.xml' AS report_path, 'src/s' || file_id || '.c' AS path, line, hits::BIGINT AS hits, bv::BIGINT AS branches_valid, bc::BIGINT AS branches_covered FROM {_BRANCHES} WHERE suite = 'F'",
@@ -234,6 +236,9 @@ BODIES |= {
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, body in BODIES.items():
+        if name in _RESOLVED:
+            out[name] = body
+            continue
         more = f", {_MORE[name]}" if name in _MORE else ""
         join = ", " if body.lstrip().startswith("tok AS") else " "
         out[name] = f"WITH {FACTS.strip()}{more}{join}{body}"

@@ -115,3 +115,27 @@ def test_workspace_and_shared_lists(spark, tmp_path):
     (tmp_path / "lcov.info").write_text("TN:unit\nSF:m.py\nDA:1,1\nBRDA:1,0,0,1\nBRDA:1,0,1,-\nDA:2,0\nend_of_record\n")
     import_coverage(spark, str(tmp_path / "lcov.info"), store)
     assert [(r.line, r.hits, r.branches_valid, r.branches_covered) for r in StoredGraph(store).coverage.orderBy("line").collect()] == [(1, 1, 2, 1), (2, 0, 0, 0)]
+
+
+def test_failed_run_leaves_a_row(spark, tmp_path, monkeypatch):
+    from graphloom import indexing
+    from graphloom.sources.store import FactStore, StoredGraph
+
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.py").write_text("x = 1\n")
+    store = FactStore(spark, str(tmp_path / "s"))
+    indexing.index(spark, str(tmp_path / "r"), store)
+    monkeypatch.setattr(indexing, "_details", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        indexing.index(spark, str(tmp_path / "r"), store)
+    runs = store.table("index_runs").orderBy("id").collect()
+    assert [r.status for r in runs] == ["completed", "failed"] and "ZeroDivisionError" in runs[1].error_message
+    assert [r.path for r in StoredGraph(store).files.collect()] == ["a.py"]
+
+
+def test_search_by_words_of_any_script(spark):
+    from graphloom.operators import search
+
+    docs = spark.createDataFrame([(1, "Über den Fluss", ""), (2, "uber", ""), (3, "a.b c", "")], "id long, title string, body string")
+    ids = lambda q: [r.doc for r in search.search(docs, "id", q, "title", "body").collect()]
+    assert ids("über fluss") == [1] and ids("a.b") == [3] and ids("luss") == [1]
