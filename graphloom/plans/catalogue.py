@@ -201,6 +201,11 @@ def bm25_symbols(g: StarGraph) -> DataFrame:
     return search.bm25(g.symbols, "id", "small ring", "name", "qualified_name")
 
 
+def bm25_phrases(g: StarGraph) -> DataFrame:
+    """A phrase, an open end, alternatives and an exception."""
+    return search.bm25(g.docs, "id", '"of the" NOT "of the th" * OR thou* AND and OR "lès de"', "body")
+
+
 def search_docs(g: StarGraph) -> DataFrame:
     return search.search(g.docs, "id", "rth th", "title", "body")
 
@@ -369,6 +374,7 @@ QUERIES: dict[str, Callable[[StarGraph], DataFrame]] = {
     "markdown_sections": markdown_sections,
     "bm25_docs": bm25_docs,
     "bm25_symbols": bm25_symbols,
+    "bm25_phrases": bm25_phrases,
     "like_docs": lambda g: search.like(g.docs, "id", "ERTH the", "title", "body"),
     "search_docs": search_docs,
     "combined_search": lambda g: search.combined(g.symbols, g.docs, "ring"),

@@ -100,6 +100,21 @@ def _bm25(rows: str, words: list[str]) -> str:
       SELECT doc, round(s, 6) AS score FROM sc WHERE c = {len(words)}"""
 
 
+def _times(*words: str) -> str:
+    """How often the words follow each other in ``ts``; a last one with ``*`` is a beginning."""
+    same = [f"starts_with(ts[i + {k}], '{w[:-1]}')" if w.endswith("*") else f"ts[i + {k}] = '{w}'" for k, w in enumerate(words)]
+    return f"len(list_filter(range(1, len(ts) - {len(words) - 2}), lambda i: {' AND '.join(same)}))"
+
+
+_PHRASES = [("of", "the"), ("of", "the", "th*"), ("thou*",), ("and",), ("les", "de")]
+_PHRASE_SCORE = " + ".join(
+    f"(CASE WHEN ln((n - d{k} + 0.5) / (d{k} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d{k} + 0.5) / (d{k} + 0.5)) END) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / a))" for k in range(5)
+)
+_BM25_PHRASES = f"""tok AS (SELECT id AS doc, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(body, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ts FROM docs),
+  tf AS (SELECT doc, len(ts) AS dl, {', '.join(f'{_times(*p)} AS f{k}' for k, p in enumerate(_PHRASES))} FROM tok),
+  n AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS a, {', '.join(f'count(*) FILTER (f{k} > 0) AS d{k}' for k in range(5))} FROM tf)
+  SELECT doc, round(-({_PHRASE_SCORE}), 6) AS score FROM tf, n WHERE f0 > 0 AND NOT f1 > 0 OR f2 > 0 AND f3 > 0 OR f4 > 0"""
+
 _EVENTS = "e AS (SELECT *, epoch_us(ts) AS us FROM events WHERE value IS NOT NULL), fn AS (SELECT user_id, us AS lo, us + trunc(value * 60000000)::BIGINT AS hi FROM e WHERE event_type = 'purchase'), bl AS (SELECT user_id, us FROM e WHERE event_type = 'error')"
 _INSIDE = "SELECT user_id, us FROM bl WHERE EXISTS (SELECT 1 FROM fn WHERE fn.user_id = bl.user_id AND us >= lo AND us <= hi)"
 _SETS = "sets AS (SELECT lang, list(doc_id) FILTER (n_chars > 900) AS r, list(doc_id) FILTER (quality = 1) AS x FROM documents JOIN labels USING (doc_id) GROUP BY lang)"
@@ -176,6 +191,7 @@ BODIES: dict[str, str] = {
     "markdown_sections": "SELECT conv_id, section, min(turn) AS start_line, max(turn) AS end_line, sum(length(text))::BIGINT AS n_chars FROM (SELECT *, (sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS section FROM conversations) GROUP BY conv_id, section",
     "bm25_docs": _bm25("SELECT id AS doc, concat_ws(' ', title, body) AS txt FROM docs", ["the", "erth"]),
     "bm25_symbols": _bm25("SELECT id AS doc, name || ' ' || qualified_name AS txt FROM symbols", ["small", "ring"]),
+    "bm25_phrases": _BM25_PHRASES,
     "like_docs": "SELECT id AS doc FROM docs WHERE title ILIKE '%ERTH the%' OR body ILIKE '%ERTH the%'",
     "search_docs": "SELECT id AS doc, 0.0::DOUBLE AS score FROM docs WHERE title ILIKE '%rth th%' OR body ILIKE '%rth th%'",
     "combined_search": "SELECT 'symbol' AS type, id FROM symbols WHERE name ILIKE '%ring%' OR qualified_name ILIKE '%ring%' UNION ALL SELECT 'doc', id FROM docs WHERE title ILIKE '%ring%' OR body ILIKE '%ring%'",

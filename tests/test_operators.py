@@ -114,6 +114,23 @@ def test_search(g):
     assert [r[0] for r in rows.select(search.excerpt(F.col("b"))).collect()] == ["Doc....", "one", "x"]
 
 
+def test_search_language(spark):
+    docs = spark.createDataFrame([(1, "Big red fox", "runs"), (2, "red big fox", None), (3, "Été", "big redder"), (4, None, "e\u0301te a_b"), (5, "big", "red")], "id long, title string, body string")
+    found = lambda q: sorted(r.doc for r in search.bm25(docs, "id", q, "title", "body").collect())
+    assert found("big red") == [1, 2, 5] and found('"big red"') == [1]  # a phrase lies in one column
+    assert found("red*") == [1, 2, 3, 5] and found('"big red" *') == [1, 3]
+    assert found("ete") == found("ÉTÉ") == [3, 4] and found("a_b") == [4]
+    assert found("runs OR ete") == [1, 3, 4] and found("big NOT fox") == [3, 5] and found("red AND fox NOT runs OR a_b") == [2, 4]
+    assert found("big or red") == []  # operators are upper-case
+    for text in ("", "a.b", 'big "', "OR big", "big AND", "big NOT OR red", "* big"):
+        assert search.parse(text) is None and found(text) == []
+    rows = spark.createDataFrame([("a a a-A b aa",), ("ÀA a",)], "t string").select(search.folded(F.col("t")).alias("t"))
+    counts = [search.Phrase(w, o).count(F.col("t")).alias(f"c{k}") for k, (w, o) in enumerate([(("a", "a"), False), (("a", "a"), True), (("a",), False), (("a",), True)])]
+    assert [tuple(r) for r in rows.select(*counts).collect()] == [(3, 3, 4, 5), (0, 0, 1, 2)]
+    scores = [r.doc for r in search.bm25(docs, "id", "runs OR fox", "title", "body").collect()]
+    assert scores == [1, 2]  # both words go before one
+
+
 def test_paths(spark):
     files = spark.createDataFrame([("a/b/c.rs",), ("a/x.rs",), ("z.rs",)], "path string")
     packages = spark.createDataFrame([("root", "", 0), ("a", "a", 1), ("ab", "a/b", 2), ("ab2", "a/b", 3)], "package string, dir string, position int")
