@@ -6,6 +6,7 @@ import ast
 from collections.abc import Iterator
 
 from graphloom.schema import COMBINATORS
+from graphloom.sources import lineage
 from graphloom.sources.facts import Fact, module_of
 
 VERBS = ("get", "post", "put", "delete", "patch", "options", "head")
@@ -33,6 +34,8 @@ class _Walk(ast.NodeVisitor):
         self.calls: dict[str, int] = {}
         self.top: set[str] = set()
         self.methods: dict[str, set[str]] = {}
+        self.assigned: dict[int, str] = {}  # the first name that is assigned on a line
+        self.extents: list[tuple[int, int, str]] = []
 
     @property
     def scope(self) -> str:
@@ -42,6 +45,22 @@ class _Walk(ast.NodeVisitor):
         line = getattr(node, "lineno", 1)
         self.out.append(Fact(fact, name, more.pop("qualified_name", self.scope), start_line=line, end_line=getattr(node, "end_lineno", line) or line, **more))
 
+    def refer(self, targets: list[str], node: ast.AST) -> None:
+        """Columns and shapes."""
+        for t in targets:
+            self.add("type", t, node, target=t)
+
+    def assign(self, node: ast.Assign | ast.AnnAssign, targets: list[ast.expr]) -> None:
+        name = next((x.id for x in ast.walk(targets[0]) if isinstance(x, ast.Name)), None)
+        if name:
+            self.assigned.setdefault(node.lineno, name)
+        if node.value is not None:
+            self.refer(lineage.of_assignment(targets, node.value), node)
+
+    def visit_Assign(self, node: ast.Assign) -> None:
+        self.assign(node, node.targets)
+        self.generic_visit(node)
+
     def document(self, node) -> None:
         text = ast.get_docstring(node, clean=True)
         if text:
@@ -88,6 +107,7 @@ class _Walk(ast.NodeVisitor):
         self.names.append(node.name)
         self.classes.append(True)
         self.add("symbol", node.name, node, kind="Class")
+        self.extents.append((node.lineno, node.end_lineno or node.lineno, self.scope))
         bases = [b for b in map(dotted, node.bases) if b]
         for b in bases:
             self.add("base", b.rsplit(".", 1)[-1], node, target=b)
@@ -152,8 +172,10 @@ class _Walk(ast.NodeVisitor):
                     self.add("link", arg.arg, arg, target=arg.arg)
         for arg in (*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg):
             if arg is not None:
+                self.refer(lineage.of_annotation(arg.arg, arg.annotation), arg)
                 self.types(arg.annotation)
         self.types(node.returns)
+        self.extents.append((node.lineno, node.end_lineno or node.lineno, self.scope))
         self.document(node)
         for x in node.body:
             self.visit(x)
@@ -163,6 +185,9 @@ class _Walk(ast.NodeVisitor):
     visit_FunctionDef = visit_AsyncFunctionDef = function
 
     def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
+        self.assign(node, [node.target])
+        if isinstance(node.target, ast.Name):
+            self.refer(lineage.of_annotation(node.target.id, node.annotation), node)
         self.types(node.annotation)
         self.generic_visit(node)
 
@@ -182,6 +207,7 @@ class _Walk(ast.NodeVisitor):
 
     def visit_Call(self, node: ast.Call) -> None:
         name = dotted(node.func)
+        self.refer(lineage.of_call(node), node)
         if name:
             last, more = name.rsplit(".", 1)[-1], {}
             if last == "partial" and node.args and (f := dotted(node.args[0])):
@@ -204,6 +230,9 @@ class _Walk(ast.NodeVisitor):
     def run(self, text: str) -> list[Fact]:
         self.tree = ast.parse(text)
         self.visit(self.tree)
+        for line, target in lineage.notes(text, self.assigned):
+            inner = max((e for e in self.extents if e[0] <= line <= e[1]), default=None)  # the one that begins last
+            self.out.append(Fact("type", target, inner[2] if inner else self.module, target=target, start_line=line, end_line=line))
         return self.out
 
 

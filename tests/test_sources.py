@@ -159,3 +159,34 @@ def test_repository_end_to_end(spark, tmp_path):
     assert [(r.message, r.author_email) for r in commits.collect()] == [("one | two", "a@x")] and [r["item"] for r in changed.collect()] == ["src/a.py"]
     patch = "@@ -1,3 +1,3 @@\n a\n-b\n+c\n d\n@@ -9 +9,2 @@\n e\n+f\n"
     assert repo.changed_lines(patch) == [2, 10] and repo.changed_symbols(patch, [("m", 1, 3), ("n", 4, 9)]) == ["m"]
+
+
+LINEAGE = '''
+def train(x: torch.Tensor[batch, 3, 224, 224], n: int):
+    # shape: (batch, channels, height, width)
+    y = conv(x)
+
+    batch, channels, height, width = y.shape
+    w: Parameter["a, b"] = new()  # Tensor[c]
+    df = df.with_columns(total=pl.col("revenue") * pl.col("rate"))
+    df = df.select(pl.col("revenue").alias("rev"), "city", ["age", "not one"])
+    df = df.rename({"revenue": "rev", 1: "no"}).filter(col("country") == "US")
+    df["rev"] = df["revenue"]
+    table["rev"] = other["revenue"]
+
+class A:
+    v = z.shape
+# shape: ()
+'''
+
+
+def test_python_lineage():
+    got = {(f.qualified_name, f.target) for f in python_code.extract("src/model.py", LINEAGE) if f.fact == "type" and "::" in f.target}
+    train = {t for q, t in got if q == "src.model::train"}
+    shapes = {"[batch, 3, 224, 224]": "x", "[batch, channels, height, width]": "y", "[a, b]": "w", "[c]": "w"}
+    assert {t for t in train if t.startswith("shape")} == {f"shape::{s}" for s in shapes} | {f"shape::{n}::{s}" for s, n in shapes.items()}
+    assert {t for t in train if " <- " in t} == {
+        "col::total <- with_columns(col::rate, col::revenue)", "col::rev <- select(col::revenue)", "col::rev <- rename(col::revenue)", "col::rev <- assign(col::revenue)",
+    }
+    assert {t for t in train if t.startswith("col") and " <- " not in t} == {f"col::{c}" for c in ("total", "rate", "revenue", "rev", "city", "age", "country")}
+    assert {t for q, t in got if q != "src.model::train"} == {"shape::z::[v]", "shape::[v]"}
