@@ -62,6 +62,14 @@ def helper(n: int):
 
 def test_helper(total):
     helper(2)
+'''),
+    "lineage": ("etl/c{k}.py", '''def load(x: Tensor[batch, {n}]):
+    # shape: (batch, area{n})
+    y = x
+    rows, cols = y.shape
+    df = df.select(col("sum{n}").alias("sum"))
+    df["key{k}"] = df["sum"]
+    return df.rename({"sum": "total{n}"})
 '''),
     "rust": ("crates/c{k}/src/lib.rs", '''use shop::area{n}::Zone;
 
