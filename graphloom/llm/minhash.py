@@ -14,8 +14,8 @@ linear in the bucket's size. What is confirmed on the full sets is a link.
 
 *Rest.* Two members of a bucket may be linked to each other without being linked to its centre. Buckets whose members are
 still in more than one component are therefore gone through exactly: members of a star are dealt into small blocks, and
-pairs of blocks are compared in tasks of bounded size, across components only, after bounds on the intersection from sizes
-have ruled most pairs out. Only links leave these tasks.
+pairs of blocks are compared in tasks of bounded size, by bits of the hashes that more than one of them has. Only links across
+components leave these tasks.
 
 *Components.* Smallest reachable id by label propagation with pointer jumping over tables; no links reach the driver.
 """
@@ -135,6 +135,35 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+#: Hashes that ``intersections`` goes through at once: up to some 16 MB with 256 sets.
+PART_HASHES = 1 << 17
+
+
+def intersections(first: list[np.ndarray], second: list[np.ndarray] | None = None, part: int = PART_HASHES) -> np.ndarray:
+    """Sizes of the intersections of each of ``first`` with each of ``second`` (or of ``first``), all of them sorted sets.
+
+    Hashes that only one set has are left out; the others are bits of a row a set, and are counted 64 at once. Sets are gone
+    through by ranges of hashes, so the rows stay small however long the sets are.
+    """
+    sets, n = first + (second or []), len(first)
+    out = np.zeros((n, n if second is None else len(second)), np.int64)
+    parts = sum(map(len, sets)) // part + 1
+    ends = [np.searchsorted(s, np.array([k * ((1 << 64) // parts) for k in range(1, parts)], np.uint64)) for s in sets]
+    ends = [[0, *map(int, e), len(s)] for e, s in zip(ends, sets, strict=True)]
+    for k in range(parts):
+        slices = [s[e[k] : e[k + 1]] for s, e in zip(sets, ends, strict=True)]
+        _, at, counts = np.unique(np.concatenate(slices), return_inverse=True, return_counts=True)
+        shared = counts > 1
+        column, keep, owner = np.cumsum(shared) - 1, shared[at], np.repeat(np.arange(len(sets)), [len(s) for s in slices])
+        marks = np.zeros((len(sets), -(-int(shared.sum()) // 64) * 64), np.bool_)
+        marks[owner[keep], column[at[keep]]] = True
+        bits = np.packbits(marks, axis=1).view(np.uint64)
+        others = bits[:n] if second is None else bits[n:]
+        for x in range(n):
+            out[x] += np.bitwise_count(others & bits[x]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """Of ``a, b`` those pairs whose full sets are similar enough. Each pair meets its two texts by plain joins."""
     one = texts.select(F.col("rep").alias("a"), F.col("text").alias("a_text"))
@@ -206,8 +235,6 @@ def _rest_links(dealt: DataFrame, texts: DataFrame, shingle: int, threshold: flo
         j = table.column("j")[0].as_py() if table.num_rows else 0
         first = [x for x, o in enumerate(owns) if o == i]
         second = [x for x, o in enumerate(owns) if o == j]
-        centre = sets[first[0]] if first else np.empty(0, np.uint64)
-        shared = [len(np.intersect1d(s, centre, assume_unique=True)) for s in sets]
         names: dict = {}
         root = [names.setdefault(c, len(names)) for c in comps]
         parent = list(range(len(names)))
@@ -218,19 +245,17 @@ def _rest_links(dealt: DataFrame, texts: DataFrame, shingle: int, threshold: flo
                 x = parent[x]
             return x
 
-        percent, size = round(threshold * 100), [len(s) for s in sets]
         out: tuple[list, list] = [], []
-        for x in first:
-            for y in second:
-                if i == j and y <= x or (rx := find(root[x])) == (ry := find(root[y])):
-                    continue
-                # The intersection is at most what both share with one set plus what both have beside it.
-                most = min(shared[x], shared[y]) + min(size[x] - shared[x], size[y] - shared[y])
-                if 100 * most < percent * (size[x] + size[y] - most) or not similar(sets[x], sets[y], threshold):
-                    continue
+        both = intersections([sets[x] for x in first], None if i == j else [sets[y] for y in second])
+        size, own = np.array([len(s) for s in sets], np.int64), np.array(root, np.int64)
+        union = size[first][:, None] + size[second][None, :] - both
+        hit = (both > 0) & (100 * both >= round(threshold * 100) * union) & (own[first][:, None] != own[second][None, :])
+        for x, y in np.argwhere(hit):
+            rx, ry = find(root[first[x]]), find(root[second[y]])
+            if rx != ry:
                 parent[rx] = ry
-                out[0].append(reps[x])
-                out[1].append(reps[y])
+                out[0].append(reps[first[x]])
+                out[1].append(reps[second[y]])
         kind_ = table.schema.field("rep").type
         return pa.table({"a": pa.array(out[0], kind_), "b": pa.array(out[1], kind_)})
 

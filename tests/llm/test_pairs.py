@@ -35,3 +35,18 @@ def test_fit_by_differences_equals_fit_by_whole_pairs():
     assert len(found) < len(pairs) and np.abs(whole.weights).max() > 0.5
     assert np.allclose(whole.weights, short.weights, atol=1e-6) and abs(whole.intercept - short.intercept) < 1e-6
     assert not np.allclose(whole.weights, toxicity.fit_rows(rows, []).weights, atol=1e-2)
+
+
+def test_intersections_are_exact():
+    import numpy as np
+
+    from graphloom.llm.minhash import intersections
+
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, k)) for k in (0, 1, 5, 700, 2500, 2500, 64)] + [pool[:0], np.array([0, (1 << 64) - 1], np.uint64), np.sort(pool)]
+    true = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    for part in (1, 97, 1 << 17):  # many ranges, or one
+        assert (intersections(sets, part=part) == true)[~np.eye(len(sets), dtype=bool)].all()
+        assert (intersections(sets[:4], sets[4:], part) == true[:4, 4:]).all()
+    assert intersections([pool[:0]], [pool[:0]]).tolist() == [[0]]
