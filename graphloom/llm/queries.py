@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, exact_dedup, html_extract, minhash, packing, quality, sharding, token_counts, toxicity, warc
+from graphloom.llm import decontaminate, exact_dedup, html_extract, license_scan, minhash, packing, quality, sharding, token_counts, toxicity, warc
 from graphloom.llm.common import cut, ensure_checkpoint_dir, remove, ship
 
 
@@ -100,6 +100,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence detections of whole texts."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
 # --- stages of the pipeline: documents in, documents (or, at the end, pieces) out -----------------------------------------
 
 
@@ -139,7 +144,37 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_token_counts, op4_warc, op5_toxicity, op6_minhash, op7_quality, op8_html, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_token_counts, op4_warc, op5_toxicity, op6_minhash, op7_quality, op8_html, op9_packing, op10_sharding, op11_licenses)}
+
+
+
+def _license_sql() -> str:
+    """The licence scan in DuckDB's SQL: the same rules over the whole line of a text, and each detection held against all others of it."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = ",\n".join(f"({r.rule}, {r.priority}, {text(r.label)}, {text(f' {r.keyword} ')}, {text(r.pattern)})" for r in license_scan.RULES)
+    base = ",\n".join(f"({text(license_scan.spaced(p))}, {len(p.split())}, {text(label)})" for p, label in license_scan.BASE.items())
+    weights = " ".join(f"WHEN {k} THEN {w}" for k, w in license_scan.WEIGHTS.items())
+    places = "list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0)"
+    return f"""
+        WITH rules(rule, priority, label, keyword, pattern) AS (VALUES {rules}),
+        base(pattern, size, label) AS (VALUES {base}),
+        t AS (SELECT row_number() OVER () AS r, doc_id, trim(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g')) AS x FROM documents),
+        w AS (SELECT r, doc_id, CASE WHEN x = '' THEN '' ELSE ' ' || x || ' ' END AS line FROM t),
+        spots AS (SELECT r, base.label, size, unnest(range(1, len(found) + 1)) AS i, pieces, found
+               FROM (SELECT r, label, size, string_split_regex(line, pattern) AS pieces, regexp_extract_all(line, pattern) AS found, pattern FROM w JOIN base ON contains(line, pattern)) base),
+        bases AS (SELECT r, label, list_sum(list_transform(pieces[1:i], lambda x: length(x) - length(replace(x, ' ', '')))) // 2 + (i - 1) * size AS place FROM spots),
+        b AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM bases GROUP BY r),
+        tried AS (SELECT r, rule, priority, label, string_split_regex(line, pattern) AS pieces, regexp_extract_all(line, pattern) AS found FROM w JOIN rules ON contains(line, keyword)),
+        hits AS (SELECT r, rule, priority, label, {places} AS a, {places} + length(found[i]) AS z
+                 FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM tried)),
+        kept AS (SELECT r, label, CASE priority {weights} END AS weight FROM hits d WHERE NOT EXISTS (
+                 SELECT 1 FROM hits e WHERE e.r = d.r AND (e.a < d.z AND d.a < e.z AND e.priority < d.priority
+                 OR e.a <= d.a AND e.z >= d.z AND e.priority = d.priority AND (e.z - e.a > d.z - d.a OR e.rule < d.rule)))),
+        labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(weight) AS weight FROM (SELECT * FROM kept UNION ALL SELECT r, label, {license_scan.BASE_WEIGHT} FROM bases) GROUP BY r)
+        SELECT doc_id, (length(line) - length(replace(line, ' ', ''))) // 2 AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(weight, 0)::DOUBLE AS score
+        FROM w LEFT JOIN b USING (r) LEFT JOIN labels USING (r)"""
+
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -162,4 +197,5 @@ ORACLES = {
         SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN items USING (doc_id) LEFT JOIN pos USING (doc_id)""",
+    "op11_licenses": _license_sql(),
 }
