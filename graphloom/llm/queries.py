@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, exact_dedup, html_extract, license_scan, minhash, packing, quality, sharding, token_counts, toxicity, warc
+from graphloom.llm import decontaminate, exact_dedup, html_extract, license_scan, minhash, packing, quality, sharding, token_counts, toxicity, turns, warc
 from graphloom.llm.common import cut, ensure_checkpoint_dir, remove, ship
 
 
@@ -105,6 +105,18 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, damaged by a rule, and their cheapest repair."""
+    rows = table(spark, sf_dir, "conversations")
+    space, kind = F.lit(" "), F.col("kind")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), space)
+    rows = rows.select("conv_id", "turn", name("role").alias("role"), name("text").alias("text"), (F.crc32(F.concat(name("conv_id"), F.lit(":"), name("turn")).cast("binary")) % 20).alias("kind"))
+    damaged = rows.withColumn("role", F.when(kind == 4, "user").otherwise(F.col("role"))).withColumn(
+        "text", F.when(kind == 1, "").when(kind == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    )
+    return turns.repair_conversations(damaged, copies=F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1))
+
+
 # --- stages of the pipeline: documents in, documents (or, at the end, pieces) out -----------------------------------------
 
 
@@ -144,7 +156,7 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_token_counts, op4_warc, op5_toxicity, op6_minhash, op7_quality, op8_html, op9_packing, op10_sharding, op11_licenses)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_token_counts, op4_warc, op5_toxicity, op6_minhash, op7_quality, op8_html, op9_packing, op10_sharding, op11_licenses, op13_turns)}
 
 
 
@@ -176,6 +188,39 @@ def _license_sql() -> str:
         FROM w LEFT JOIN b USING (r) LEFT JOIN labels USING (r)"""
 
 
+#: Damage and repair in DuckDB's SQL: a least (cost, audit) for each state of the grammar, row by row. CRC-32 by its table of 256 numbers.
+_TURNS_SQL = r"""
+        WITH RECURSIVE bits AS (SELECT n, n AS c, 0 AS k FROM range(256) t(n) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+        tab AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+        named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+        kinds AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS kind FROM named, tab),
+        damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                           unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM damaged),
+        seen AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+                        regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut_off, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS i0 FROM placed),
+        f AS (SELECT conv_id, pos, turn, role, text, i, i0, blank, again AND NOT blank AS dup, cut_off AND NOT again AND NOT blank AS trunc FROM seen),
+        stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+                         count(*) FILTER (trunc) AS truncated, count(*) FILTER (i0 IS NOT NULL AND i0 || i NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+        ways AS (SELECT conv_id, 0::BIGINT AS pos, 0 AS st, {'cost': 0::BIGINT, 'audit': '', 'said': ''} AS best FROM (SELECT DISTINCT conv_id FROM f)
+                 UNION ALL
+                 SELECT conv_id, pos, st, min({'cost': cost, 'audit': audit, 'said': said}) FROM (
+                   SELECT w.conv_id, f.pos, o.op, CASE o.op WHEN 'D' THEN w.st WHEN 'R' THEN CASE w.st WHEN 2 THEN 3 ELSE 2 END ELSE CASE f.i WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS st,
+                          w.cost + CASE o.op WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN f.trunc AND o.op <> 'D' THEN 3 ELSE 0 END AS cost, w.audit || o.op AS audit,
+                          CASE o.op WHEN 'D' THEN w.said ELSE w.said || CASE w.st WHEN 0 THEN '' ELSE chr(10) END || CASE o.op WHEN 'K' THEN f.role WHEN 'R' THEN CASE w.st WHEN 2 THEN 'assistant' ELSE 'user' END END || ':' || f.text END AS said
+                   FROM (SELECT conv_id, pos, CASE k WHEN 0 THEN st ELSE CASE st WHEN 2 THEN 3 ELSE 2 END END AS st, best.cost + 3 * k AS cost, best.audit || repeat('I', k) AS audit,
+                                best.said || CASE k WHEN 0 THEN '' ELSE CASE st WHEN 0 THEN '' ELSE chr(10) END || CASE st WHEN 2 THEN 'assistant:' ELSE 'user:' END END AS said
+                         FROM ways, (VALUES (0), (1)) ins(k)) w
+                   JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1, (VALUES ('D'), ('K'), ('R')) o(op)
+                   WHERE o.op = 'D' OR NOT f.blank AND NOT f.dup AND (o.op = 'R' OR f.i = 's' AND w.st = 0 OR f.i = CASE w.st WHEN 2 THEN 'a' ELSE 'u' END)) x
+                 GROUP BY conv_id, pos, st),
+        ends AS (SELECT w.conv_id, min({'cost': best.cost + CASE st WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END, 'audit': best.audit || CASE st WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+                        'said': best.said || CASE st WHEN 1 THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 2 THEN chr(10) || 'assistant:' ELSE '' END}) AS best
+                 FROM ways w JOIN stats s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.pos GROUP BY w.conv_id)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.said, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES = {
@@ -198,4 +243,5 @@ ORACLES = {
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN items USING (doc_id) LEFT JOIN pos USING (doc_id)""",
     "op11_licenses": _license_sql(),
+    "op13_turns": _TURNS_SQL,
 }
