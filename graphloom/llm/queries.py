@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, exact_dedup, html_extract, license_scan, minhash, packing, quality, sharding, token_counts, toxicity, turns, warc
+from graphloom.llm import decontaminate, exact_dedup, html_extract, license_scan, minhash, packing, quality, sharding, token_counts, toxicity, turns, warc, whitening
 from graphloom.llm.common import cut, ensure_checkpoint_dir, remove, ship
 
 
@@ -105,6 +105,11 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings on the first four principal components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations, damaged by a rule, and their cheapest repair."""
     rows = table(spark, sf_dir, "conversations")
@@ -156,7 +161,7 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_token_counts, op4_warc, op5_toxicity, op6_minhash, op7_quality, op8_html, op9_packing, op10_sharding, op11_licenses, op13_turns)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_token_counts, op4_warc, op5_toxicity, op6_minhash, op7_quality, op8_html, op9_packing, op10_sharding, op11_licenses, op12_whitening, op13_turns)}
 
 
 
