@@ -56,7 +56,7 @@ def _number(k: int) -> str:
 class Matcher:
     """The automaton of some items, over words, with the table of their windows."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.window, self.seed = window, (window + 1) // 2
         self.numbers: dict[bytes, str] = {}
         self.windows: dict[str, tuple[str, ...]] = {}  # items of each window of full size
@@ -124,7 +124,7 @@ class Matcher:
 _BUILT: dict[tuple[str, int], Matcher] = {}
 
 
-def matcher_of(key: str, items: list[tuple[str, bytes]], window: int) -> Matcher:
+def matcher_of(key: str, items: list[tuple[str | None, bytes]], window: int) -> Matcher:
     """The automaton of a block, built once a worker process; only the last one is held."""
     if (key, window) not in _BUILT:
         _BUILT.clear()
@@ -164,7 +164,7 @@ def segments(text: bytes, window: int, max_bytes: int) -> Iterator[bytes]:
 def item_blocks(items: DataFrame, id_col: str, text_col: str, max_block_bytes: int, window: int = WINDOW) -> Iterator[tuple[str, list[tuple[str, bytes]]]]:
     """The items in named blocks of about ``max_block_bytes`` of text; the driver holds one at a time."""
     block, size = [], 0
-    rows = items.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).dropna()
+    rows = items.select(F.col(id_col).cast("string"), F.col(text_col).cast("string").alias("__text")).filter(F.col("__text").isNotNull())
     for item, text in rows.toLocalIterator():
         for raw in segments(text.encode("utf-8", "surrogatepass"), window, max_block_bytes):
             if block and size + len(raw) > max_block_bytes:
@@ -191,7 +191,7 @@ def _scanner(handle, window: int):
                 n, ranges, items = matcher.scan(text or b"")
                 rows[0].append(n)
                 rows[1].append(sum(b - a for a, b in ranges))
-                rows[2].append(sorted(items))
+                rows[2].append(sorted(x for x in items if x is not None))
                 rows[3].append([{"first": a, "last": b} for a, b in ranges])
                 rows[4].append([{"start": a, "end": b} for a, b in char_spans(text, ranges)] if ranges else [])
             yield pa.RecordBatch.from_arrays(
@@ -215,7 +215,7 @@ def decontaminate(
     """One row per row of ``docs``: its id, ``n_words, n_hit, item_ids, word_ranges, spans``.
 
     ``spans`` are the hit passages as [start, end) in characters of the original text; ``word_ranges`` count words. Null and
-    empty texts have no words; items without words, without text or without id match nothing; equal items all report. An
+    empty texts have no words; items without words or without text match nothing; one without id hits words, too, but isn't in ``item_ids``; equal items all report. An
     empty benchmark hits nothing. Repeated rows are scanned one by one. With more than one block of items, rows are merged
     by id and text hash, so repeated equal rows then come out once for each copy all the same.
     """

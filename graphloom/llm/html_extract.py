@@ -15,7 +15,6 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -57,8 +56,9 @@ _BAD_TAG = {"nav": 0, "menu": 0, "aside": 2, "footer": 3, "header": 4, "form": 6
 _NAME = re.compile(r"[^\s/>]+")
 _STOP = re.compile(r"[>=]")
 _VALUE = re.compile(r"[^\s>]*")
-#: Elements that are open at once at most; those further in count as parts of the innermost one, each block still a block.
-MAX_DEPTH = 64
+#: Of a chain of plain containers, each the only thing in the one before, so many are kept: the rest say nothing about the page.
+CHAIN = 8
+_PLAIN = frozenset(["div", "section", "center"])
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -157,20 +157,43 @@ def _end_of(tag: str) -> re.Pattern:
 _CONFINES = frozenset("table td th button article section div main aside nav ul ol dl body".split())
 
 
+#: What a tag's beginning can end, and where the search for that stops.
+_ENDED = {tag: tuple(x for x, by in _ENDS.items() if tag in by) for tag in frozenset().union(*_ENDS.values())}
+_STOPS = {tag: tuple(x for x in _CONFINES | frozenset(_SCOPE.get(tag, ())) if not (x in ("td", "th") and tag in ("td", "th", "tr"))) for tag in _ENDED}
+
+
+class _Open:
+    """The elements that are open, innermost last, and where those of each tag stand."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop_to(self, depth: int) -> None:
+        """Close all from that depth on."""
+        while len(self.nodes) > depth:
+            self.at[self.nodes.pop().tag].pop()
+
+    def innermost(self, tags: tuple[str, ...]) -> int:
+        """Depth of the innermost open element with one of the tags, 0 if there is none."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
+
+
 def parse(page: str) -> Node:
     """The page as a tree. Unclosed and misnested tags are mended; what is not text of the page is left out.
 
-    The time is linear in the page's length: at most ``MAX_DEPTH`` elements are open, and no end is looked for again once it is
-    known to be missing.
+    The time is linear in the page's length, however deep it is: open elements are found by their tags, each is closed once, and no
+    end is looked for again once it is known to be missing.
     """
     root = Node("html", None)
-    top, at, depth = root, 0, 0
-    beyond: list[str] = []  # open elements beyond the depth
-    inside: Counter = Counter()  # how many of each tag are in it
+    opened, at = _Open(root), 0
     n, source = len(page), _Page(page)
 
     def words(a: int, b: int) -> None:
-        run = page[a:b]
+        run, top = page[a:b], opened.nodes[-1]
         if not run.isspace():
             Node("#text", top, 0, html.unescape(run) if "&" in run else run)
         elif top.kids and top.kids[-1].tag == "#text":
@@ -191,22 +214,8 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if closes:
-            if inside[tag]:
-                while True:
-                    last = beyond.pop()
-                    inside[last] -= 1
-                    if last == tag:
-                        break
-                if tag not in INLINE:
-                    Node("hr", top)
-                continue
-            x, up = top, 0
-            while x.parent is not None and x.tag != tag:
-                x, up = x.parent, up + 1
-            if x.parent is not None:
-                top, depth = x.parent, depth - up - 1
-                beyond.clear()
-                inside.clear()
+            if depth := opened.innermost((tag,)):
+                opened.pop_to(depth)
             continue
         if tag in ("html", "body"):
             continue
@@ -219,38 +228,52 @@ def parse(page: str) -> Node:
                     at = n
             continue
         if tag == "br":
-            Node("#space", top, 0, " ")
+            Node("#space", opened.nodes[-1], 0, " ")
             continue
         if tag in VOID:
             if tag == "hr":
-                Node("hr", top)
+                Node("hr", opened.nodes[-1])
             continue
-        # Implied ends, looked for up to the element that confines them.
-        x, up = top, 0
-        while x.parent is not None:
-            if x.tag in _ENDS and tag in _ENDS[x.tag]:
-                top, depth, up = x.parent, depth - up - 1, -1
-                beyond.clear()
-                inside.clear()
-                if x.tag == "p":
+        if tag in _ENDED:  # implied ends, up to the element that confines them
+            stop = opened.innermost(_STOPS[tag])
+            while (depth := opened.innermost(_ENDED[tag])) > stop:
+                ended = opened.nodes[depth].tag
+                opened.pop_to(depth)
+                if ended == "p":
                     break
-            elif x.tag in _CONFINES and x.tag not in _SCOPE.get(tag, ()) and not (x.tag in ("td", "th") and tag in ("td", "th", "tr")):
-                break
-            elif x.tag in _SCOPE.get(tag, ()):
-                break
-            x, up = x.parent, up + 1
-        if depth >= MAX_DEPTH:
-            if tag not in INLINE:
-                Node("hr", top)
-            beyond.append(tag)
-            inside[tag] += 1
-            continue
-        top, depth = Node(tag, top, groups_of(attributes) if "=" in attributes else 0), depth + 1
-        if attributes.rstrip().endswith("/") and tag not in TAGS:
-            top, depth = top.parent, depth - 1
+        node = Node(tag, opened.nodes[-1], groups_of(attributes) if "=" in attributes else 0)
+        if not (attributes.rstrip().endswith("/") and tag not in TAGS):
+            opened.push(node)
+    shorten(root)
     return root
 
 
+def shorten(root: Node) -> None:
+    """Take the inner ones out of long chains of plain containers, of the same groups each, that hold nothing but the next one."""
+    stack: list[tuple[Node, int]] = [(root, 0)]
+    while stack:
+        node, run = stack.pop()
+        only = [x for x in node.kids if x.tag != "#space"] if len(node.kids) < 9 else node.kids
+        if len(only) == 1 and _alike(node, only[0]):
+            run += 1
+            kid = only[0]
+            if run >= CHAIN:  # go on from the last one of the chain, as if the node held what that one holds
+                while len(inner := [x for x in kid.kids if x.tag != "#space"] if len(kid.kids) < 9 else kid.kids) == 1 and _alike(kid, inner[0]):
+                    kid = inner[0]
+                node.kids = kid.kids
+                for x in node.kids:
+                    x.parent = node
+                stack.extend((x, 0) for x in node.kids)
+                continue
+        else:
+            run = 0
+        stack.extend((x, run) for x in node.kids)
+
+
+def _alike(a: Node, b: Node) -> bool:
+    return a.tag in _PLAIN and b.tag in _PLAIN and a.groups == b.groups
+
+
 FEATURES = 46
 
 
@@ -570,7 +593,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     Null and empty html give empty text, as do pages without main text. White space inside a block becomes one space, line
     breaks (br) included; blocks are joined in page order by one line feed. Repeated rows are extracted one by one, null ids
-    and urls are kept. Damaged html is mended as ``parse`` says; nothing is dropped for size.
+    and urls are kept. Damaged html is mended as ``parse`` says; nothing is dropped for size or depth.
     """
     source = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.col(html_col).cast("string").alias("__html"))
     handle = pages.sparkSession.sparkContext.broadcast(train())

@@ -59,7 +59,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     if read.get(True, 0) or read.get(False, 0) != n:
         raise RuntimeError(f"{read.get(False, 0)} records and {read.get(True, 0)} gaps were read of {n} pages")
     return got.select(
-        F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to")
+        warc.id_of(F.col("record_id")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), warc.id_of(F.col("refers_to")).cast(kind).alias("refers_to")
     )
 
 
@@ -235,7 +235,7 @@ ORACLES = {
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "op2_decontaminate": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
-        b AS (SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+        b AS (SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL),
         win AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS k
                 FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM b WHERE len(ws) > 0)),
         sizes AS (SELECT DISTINCT n FROM win),

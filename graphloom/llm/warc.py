@@ -22,6 +22,7 @@ import tempfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import unquote_plus
 
 import numpy as np
 import pyarrow as pa
@@ -60,17 +61,35 @@ def _uri(url: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(url.cast("string"), r"[\s\x00-\x1f\x7f]+", ""), F.lit("")), F.lit("about:blank"))
 
 
+def record_name(page_id: Column) -> Column:
+    """An id as it stands in a record's name: percent-encoded, so that any text can be told again; ``null`` is no id, and nothing else is."""
+    text = F.url_encode(page_id.cast("string"))
+    return F.when(page_id.isNull(), "null").when(text == "null", "%6Eull").otherwise(text)
+
+
+def id_of(name: Column) -> Column:
+    """The id of a record's name, as text."""
+    return F.when(name != "null", F.url_decode(name))
+
+
+def _page_uri(url: Column) -> Column:
+    """A header line that keeps a url which isn't its target URI as it was; otherwise nothing."""
+    text = url.cast("string")
+    kept = F.when(text.isNull(), "null").otherwise(F.concat(F.lit("="), F.url_encode(text)))
+    return F.when(text == _uri(url), "").otherwise(F.concat(F.lit(f"{CRLF}X-Page-URI: "), kept))
+
+
 def _record(kind: str, page_id: Column, url: Column, digest: Column, payload: Column, refers_to: Column | None) -> Column:
     size = F.octet_length(payload)
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size.cast("string"), F.lit(CRLF + CRLF))
     block = F.concat(http, payload) if kind == "response" else http
     lines = [
-        F.lit(f"WARC/1.1{CRLF}WARC-Type: {kind}{CRLF}WARC-Record-ID: <urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("null")),
-        F.lit(f">{CRLF}WARC-Date: {DATE}{CRLF}WARC-Target-URI: "), _uri(url),
+        F.lit(f"WARC/1.1{CRLF}WARC-Type: {kind}{CRLF}WARC-Record-ID: <urn:x-page:"), record_name(page_id),
+        F.lit(f">{CRLF}WARC-Date: {DATE}{CRLF}WARC-Target-URI: "), _uri(url), _page_uri(url),
         F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), digest, F.lit(f"{CRLF}WARC-Block-Digest: sha1:"), base32_sha1(block.cast("binary")),
     ]
     if refers_to is not None:
-        lines += [F.lit(f"{CRLF}WARC-Refers-To: <urn:x-page:"), refers_to.cast("string"), F.lit(f">{CRLF}WARC-Profile: {PROFILE}")]
+        lines += [F.lit(f"{CRLF}WARC-Refers-To: <urn:x-page:"), record_name(refers_to), F.lit(f">{CRLF}WARC-Profile: {PROFILE}")]
     lines += [F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block]
     return F.concat(*lines)
 
@@ -298,7 +317,7 @@ class _Spool:
         return mmap.mmap(self.file.fileno(), size, access=mmap.ACCESS_READ)
 
 
-SCHEMA = "path string, kind string, start long, end long, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, reason string"
+SCHEMA = "path string, kind string, start long, end long, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, reason string, page_uri string"
 
 
 _BOM = b"\xef\xbb\xbf"
@@ -357,7 +376,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     """Records and gaps of all archives in ``path``, of any size.
 
     ``kind`` is the record's type, or ``gap`` for quarantined bytes (then ``start``, ``end`` and ``reason`` tell which and
-    why). Of a revisit, digest and length are those of the payload that it stands for, from its headers; a response whose
+    why). ``record_id`` and ``refers_to`` are names: ``id_of`` tells the pages' ids again, whatever is in them. ``page_uri`` is the url as it was. Of a revisit, digest and length are those of the payload that it stands for, from its headers; a response whose
     payload contradicts its payload digest is a gap. An empty file has no rows. ``payloads=False`` leaves the payload column
     null.
     """
@@ -412,14 +431,20 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 def _row(name: str, r: Record | Gap, payloads: bool, begin: int = 0) -> tuple:
     start, end = r.start - begin, r.end - begin
     if isinstance(r, Gap):
-        return (name, "gap", start, end, None, None, None, None, None, None, r.reason)
+        return (name, "gap", start, end, None, None, None, None, None, None, r.reason, None)
     h = r.headers
     http, body = r.http()
     revisit = h.get("warc-type") == "revisit"
     claimed = h.get("warc-payload-digest", "").partition(":")[2].upper()
     digest = claimed if revisit else sha1_of(body)
     if claimed and claimed != digest:
-        return (name, "gap", start, end, None, None, None, None, None, None, "payload digest differs")
+        return (name, "gap", start, end, None, None, None, None, None, None, "payload digest differs", None)
     size = http.get("content-length", "") if revisit else str(len(body))
     bare = lambda x: x.strip("<>").removeprefix("urn:x-page:") if x is not None else None
-    return (name, h.get("warc-type", ""), start, end, bare(h.get("warc-record-id")), h.get("warc-target-uri"), bare(h.get("warc-refers-to")), digest, int(size) if size.isdigit() else None, body if payloads and not revisit else None, None)
+    return (name, h.get("warc-type", ""), start, end, bare(h.get("warc-record-id")), h.get("warc-target-uri"), bare(h.get("warc-refers-to")), digest, int(size) if size.isdigit() else None, body if payloads and not revisit else None, None, _url_of(h))
+
+
+def _url_of(headers: dict[str, str]) -> str | None:
+    """The url that a page had, where it isn't the target URI."""
+    kept = headers.get("x-page-uri", "")
+    return unquote_plus(kept[1:]) if kept.startswith("=") else None if kept == "null" else headers.get("warc-target-uri")

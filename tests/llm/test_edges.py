@@ -65,7 +65,28 @@ def test_decontaminate(docs, none, items):
     assert decontaminate.decontaminate(docs, items, max_block_bytes=4).count() == len(ROWS)
     assert decontaminate.decontaminate(none, items).count() == 0 and decontaminate.decontaminate(docs, items.limit(0)).filter("n_hit > 0").count() == 0
     clean = decontaminate.drop_contaminated(docs, items)
-    assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == sorted(["3", "4", "6", "None", "None"])
+    assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == sorted(["3", "4", "6", "None"])
+    nameless = [r for r in decontaminate.decontaminate(docs, items).collect() if r.doc_id is None and r.n_words]
+    assert [(r.n_words, r.n_hit, r.item_ids) for r in nameless] == [(4, 4, [])]
+
+
+def test_decontaminate_query_with_an_item_without_id(spark, tmp_path):
+    import duckdb
+
+    from graphloom.llm import queries
+
+    docs = [(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), (2, "only these three words"), (3, None), (None, "short one"), (4, "short one")]
+    bench = [(None, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10"), (None, "short one"), (7, "Short One!"), (8, "w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), (9, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries.op2_decontaminate(spark, str(tmp_path)).filter("doc_id is not null")
+    want = db.execute(queries.ORACLES["op2_decontaminate"])
+    names = [d[0] for d in want.description]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(r for r in want.fetchall() if r[names.index("doc_id")] is not None)
+    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in got.collect()} == {1: (11, 1, True), 2: (0, 0, False), 3: (0, 0, False), 4: (2, 1, True)}
 
 
 def test_token_counts(docs, none):

@@ -71,3 +71,22 @@ def test_query_fails_on_lost_pages(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "read_warc", lambda *a, **b: whole(*a, **b).filter("record_id <> '3'"))
     with pytest.raises(RuntimeError, match="4 records and 0 gaps were read of 5 pages"):
         queries.op4_warc(spark, str(tmp_path))
+
+
+def test_query_with_null_repeated_and_odd_ids(spark, tmp_path):
+    odd = ["null", None, None, "a b", "<x>", "line\r\nbreak", "100%", "%6Eull", "a+b", "é", "", "a b"]
+    rows = [(k, f"http://x/{n}", f"text {n % 9}") for n, k in enumerate(odd)]
+    spark.createDataFrame(rows, "page_id string, url string, html string").write.parquet(str(tmp_path / "s/pages.parquet"))
+    got = queries.op4_warc(spark, str(tmp_path / "s")).collect()
+    assert sorted(map(repr, (r.page_id for r in got))) == sorted(map(repr, odd))
+    assert {(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"} == {("é", "null")}
+    numbers = [(None, "u", "t"), (3, None, "t"), (3, "about:blank", "t"), (None, "v", "other"), (-4, "w x", "t")]
+    spark.createDataFrame(numbers, "page_id long, url string, html string").write.parquet(str(tmp_path / "n/pages.parquet"))
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in queries.op4_warc(spark, str(tmp_path / "n")).collect()), key=str)
+    assert got == sorted([(None, "response", None)] * 2 + [(3, "revisit", -4)] * 2 + [(-4, "response", None)], key=str)
+
+
+def test_urls_as_they_were(spark, tmp_path):
+    urls = ["http://a/b", "http://a/ b", "http://a/%20b", None, "", "about:blank", "null", "=x", "a\nb+c"]
+    warc.write_warc(spark.createDataFrame([(k, u, str(k)) for k, u in enumerate(urls)], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert {int(r.record_id): r.page_uri for r in warc.read_warc(spark, str(tmp_path / "w")).collect()} == dict(enumerate(urls))
