@@ -37,6 +37,8 @@ THRESHOLD = 0.8
 RECALL = 0.998  # of pairs just at the threshold, before groups add further ways to be linked
 ROWS = 3  # minhashes of a collection
 BLOCK_DOCS = 128
+#: And about so many bytes of text; a longer text is a block of its own.
+BLOCK_BYTES = 8 << 20
 CACHE_WORDS = 80_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -120,7 +122,7 @@ def bucket_keys(reps: DataFrame, m: int) -> DataFrame:
 def texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``rep, text`` of the nodes; only rows that pass a bounded sieve are shuffled."""
     rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text"))
-    return sieve_join(rows, nodes, "rep").join(nodes, "rep", "left_semi")
+    return sieve_join(rows, nodes, "rep").join(nodes.hint("merge"), "rep", "left_semi")
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -185,7 +187,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
             keep = [similar(of(a, ta), of(b, tb), threshold) for a, b, ta, tb in zip(*got, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "a_text", "b_text")
+    # A star's centre is b for all its members: by merge, as only then are large partitions split.
+    joined = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "a_text", "b_text")
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -195,26 +198,32 @@ def components(links: DataFrame) -> DataFrame:
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
         # The smallest label around each node, then the label of that label.
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
+        # A hub, and the label of a large component, is one key for many rows: by merge, as only then are large partitions split.
+        near = both.join(labels.hint("merge"), both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
         near = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
         up = labels.select(F.col("node").alias("up_node"), F.col("component").alias("up"))
-        new = cut(near.join(up, near.component == up.up_node).select("node", "was", F.least("component", "up").alias("component")))
+        new = cut(near.join(up.hint("merge"), near.component == up.up_node).select("node", "was", F.least("component", "up").alias("component")))
         if new.filter("was <> component").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")
 
 
-def _blocks(stars: DataFrame, block: int) -> DataFrame:
-    """``star, i, j, rep, component, side``: members of each star dealt into pairs of blocks.
+def _blocks(stars: DataFrame, texts: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """``star, i, j, rep, component, side``: members of each star dealt into pairs of blocks of about so many members or bytes of text.
 
     Members of the centre's component can be linked among themselves already, so pairs of two blocks of them are left out.
     """
+    odd = F.col("odd").cast("int")
     # One row a star that isn't of one component yet; partial sums, so a large star is a record a task.
-    counts = stars.groupBy("star").agg(F.sum(F.col("odd").cast("int")).alias("n_odd"), F.sum(1 - F.col("odd").cast("int")).alias("n_own"))
-    counts = cut(counts.filter("n_odd > 0").withColumnRenamed("star", "s"))
-    at = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    apart = cut(stars.groupBy("star").agg(F.sum(odd).alias("n")).filter("n > 0").select(F.col("star").alias("s")))
     # By merge, as only then are large partitions split; a broadcast join that is chosen after the shuffle leaves them whole.
-    dealt = stars.join(counts.hint("merge"), F.col("star") == F.col("s")).select("star", "rep", "component", "odd", at("n_odd").alias("p"), at("n_own").alias("q"))
+    open_ = stars.join(apart.hint("merge"), F.col("star") == F.col("s"), "left_semi")
+    open_ = cut(open_.join(texts.select("rep", F.octet_length("text").cast("long").alias("bytes")).hint("merge"), "rep"))
+    counts = open_.groupBy(F.col("star").alias("s")).agg(
+        F.sum(odd).alias("n_odd"), F.sum(1 - odd).alias("n_own"), F.sum(odd * F.col("bytes")).alias("b_odd"), F.sum((1 - odd) * F.col("bytes")).alias("b_own"))
+    # No more blocks than members, however long these are.
+    at = lambda k: F.least(F.col(f"n_{k}"), F.greatest(F.ceil(F.col(f"n_{k}") / F.lit(block)), F.ceil(F.col(f"b_{k}") / F.lit(block_bytes)))).cast("int")
+    dealt = open_.join(cut(counts).hint("merge"), F.col("star") == F.col("s")).select("star", "rep", "component", "odd", at("odd").alias("p"), at("own").alias("q"))
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("odd"), F.col("p")).otherwise(F.col("q"))).cast("int")
     # Odd members are blocks 0 .. p-1, the others p .. p+q-1; an odd block meets all blocks, another only the odd ones.
     dealt = dealt.withColumn("own", F.when(F.col("odd"), own).otherwise(F.col("p") + own))
@@ -259,7 +268,7 @@ def _rest_links(dealt: DataFrame, texts: DataFrame, shingle: int, threshold: flo
         kind_ = table.schema.field("rep").type
         return pa.table({"a": pa.array(out[0], kind_), "b": pa.array(out[1], kind_)})
 
-    return dealt.join(texts, "rep").groupBy("star", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+    return dealt.join(texts.hint("merge"), "rep").groupBy("star", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(
@@ -271,6 +280,7 @@ def near_duplicates(
     recall: float = RECALL,
     k: int = ROWS,
     block_docs: int = BLOCK_DOCS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles, component_id, kept``.
 
@@ -295,7 +305,7 @@ def near_duplicates(
     named = stars.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("star", "rep", F.coalesce("component", "rep").alias("component"))
     centre = labels.select(F.col("node").alias("star"), F.col("component").alias("own"))
     named = cut(named.join(centre.hint("merge"), "star", "left").withColumn("odd", F.col("component") != F.coalesce("own", "star")).drop("own"))
-    more = cut(_rest_links(_blocks(named, block_docs), texts, shingle, threshold))
+    more = cut(_rest_links(_blocks(named, texts, block_docs, block_bytes), texts, shingle, threshold))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component_id"))
@@ -308,9 +318,17 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, with all columns."""
-    lost = near_duplicates(docs, id_col, text_col, **parameters).filter("not kept").select(F.col(id_col).alias("__lost_id")).distinct()
-    return docs.join(cut(lost), F.col(id_col) == F.col("__lost_id"), "left_anti")
+    """The rows of ``docs`` that stay: one document of each group, with all columns.
+
+    Of a group all rows with its smallest id stay, repeated ones too; ``parameters`` are those of ``near_duplicates``. Texts without words,
+    null texts and rows without an id that are linked with nothing stay. A row without id that is linked goes if another of its group has an
+    id. Columns may have any names. An empty table gives no rows.
+    """
+    name = "__lost_id"
+    while name in docs.columns:
+        name += "_"
+    lost = near_duplicates(docs, id_col, text_col, **parameters).filter("not kept").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(cut(lost), F.col(id_col) == F.col(name), "left_anti")
 
 
 def match_probability(similarity: float, m: int, k: int = ROWS) -> float:
