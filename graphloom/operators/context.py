@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sections in the order in which they are tried. The first always goes in; the edges go in all at once or not at all.
@@ -15,7 +14,8 @@ SECTIONS = ("target", "target_docs", "target_tests", "edges", "symbols", "docs",
 def fit(items: list[tuple[int, int]], budget: int | None) -> list[bool]:
     """Which of ``(section, tokens)`` items, in order, go into the pack.
 
-    A section stops at its first item that doesn't fit, and later sections are still tried.
+    A section stops at its first item that doesn't fit, and later sections are still tried. For the few items of one target; ``pack``
+    does the same for all targets.
     """
     used, stopped, out = 0, set(), [False] * len(items)
     whole = sum(n for s, n in items if s == 3)
@@ -37,22 +37,34 @@ def fit(items: list[tuple[int, int]], budget: int | None) -> list[bool]:
 def pack(items: DataFrame, budget: int | None) -> DataFrame:
     """Items that fit, for all targets at once. ``items``: target, section (number), position, item, tokens.
 
-    Without a budget all go in. With one, a section ends at its first item that doesn't fit, and an item has a token at least, so
-    only the first ``budget + 1`` of a section can matter (of the edges, too: more of them don't fit at all). A hub's other
-    items are left behind before the rows of a target meet in one task.
+    Without a budget all go in. With one, a section ends at its first item that doesn't fit, and later sections are still tried with
+    the room that is left. An item has a token at least, so running sums rise, what fits of a section is its beginning, and only the first
+    ``budget + 1`` items of a section can matter: a hub's other items are left behind before rows of a target meet. The room is
+    passed on from section to section over each target's running sums, at most ``budget`` numbers a section.
     """
+    columns = ["target", "section", "position", "item", "tokens"]
     if budget is None:
-        return items.select("target", "section", "position", "item", "tokens")
+        return items.select(*columns)
     order = Window.partitionBy("target", "section").orderBy("position", "item")
-    items = items.withColumn("tokens", F.greatest("tokens", F.lit(1))).withColumn("__rank", F.row_number().over(order)).filter((F.col("section") == 0) | (F.col("__rank") <= budget + 1))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("section", "ascending"), ("position", "ascending"), ("item", "ascending")])
-        keep = fit(list(zip(table.column("section").to_pylist(), table.column("tokens").to_pylist(), strict=True)), budget)
-        return table.filter(pa.array(keep, pa.bool_()))
-
-    kept = items.select("target", "section", "position", "item", "tokens")
-    return kept.groupBy("target").applyInArrow(run, kept.schema)
+    ranked = items.select(*columns[:4], F.greatest("tokens", F.lit(1)).alias("tokens")).withColumn("__rank", F.row_number().over(order))
+    # Apart, as the limit is only put before the shuffle where nothing but the rank is asked for.
+    ranked = ranked.filter("section = 0").unionByName(ranked.filter("section <> 0").filter(F.col("__rank") <= budget + 1))
+    # Of equal items one goes before the other: the rank tells them apart.
+    sums = ranked.withColumn("__sum", F.sum("tokens").over(Window.partitionBy("target", "section").orderBy("__rank").rowsBetween(Window.unboundedPreceding, 0)))
+    whole = F.col("section").isin(0, 3)
+    room = sums.groupBy("target", "section").agg(F.max("__sum").alias("total"), F.collect_list(F.when(~whole & (F.col("__sum") <= budget), F.col("__sum"))).alias("sums"))
+    room = room.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("section", "total", "sums"))).alias("parts"))
+
+    def step(state: Column, part: Column) -> Column:
+        left = F.lit(budget).cast("long") - state["used"]
+        # The most that may be in: all of the target, all edges or none, of others what their running sums let in.
+        most = F.when(part["section"] == 0, part["total"]).when(part["section"] == 3, F.when(part["total"] <= left, part["total"]).otherwise(-1)).otherwise(left)
+        taken = F.when(part["section"].isin(0, 3), F.greatest(most, F.lit(0))).otherwise(F.coalesce(F.array_max(F.filter(part["sums"], lambda x: x <= left)), F.lit(0)))
+        return F.struct((state["used"] + taken).alias("used"), F.concat(state["rooms"], F.array(F.struct(part["section"].alias("section"), most.alias("most")))).alias("rooms"))
+
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<section: {items.schema['section'].dataType.simpleString()}, most: bigint>>").alias("rooms"))
+    rooms = room.select("target", F.explode(F.aggregate("parts", start, step, lambda s: s["rooms"])).alias("r")).select("target", "r.section", "r.most")
+    return sums.join(rooms, ["target", "section"]).filter(F.col("__sum") <= F.col("most")).select(*columns)
 
 
 def rendered(packed: DataFrame) -> DataFrame:

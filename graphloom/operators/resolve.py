@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.relations import symbol_by_qualified_name
+from graphloom.shipping import shipped
 
 #: Kinds that may be resolved by a simple name.
 BY_NAME = ("Calls", "ReferencesType", "ModifiedWith", "ConfiguredBy", "TestedBy", "Spawns", "SendsTo", "Extends", "Implements")
@@ -124,7 +125,7 @@ def names_in_texts(texts: DataFrame, id_col: str, text_col: str, names: DataFram
                 at = pa.array([k for k, h in enumerate(hits) for _ in h], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([n for h in hits for n in h], pa.string())], names=["id", "name"])
 
-        return source.mapInArrow(run, schema)
+        return shipped(source).mapInArrow(run, schema)
 
     size = 0
     for row in names.select(F.col(names.columns[0]).cast("string").alias("name")).filter("name <> ''").distinct().toLocalIterator():

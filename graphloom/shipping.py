@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,3 +21,9 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     sc.addPyFile(str(archive))  # from here on Spark's own file server hands it out
     sc._graphloom_shipped = True
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """The same rows, on executors that can import this package: for whatever applies a Python function to them."""
+    ship(df.sparkSession)
+    return df

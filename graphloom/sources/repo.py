@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.shipping import shipped
 
 
 def repo_root(start: str | Path) -> Path:
@@ -151,7 +152,7 @@ def _left_out(spark: SparkSession, root: str) -> DataFrame:
                     with open(f"{local.rstrip('/')}/{path}", "rb") as f:
                         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], names=["path", "content"])
 
-        return spark.createDataFrame([(n,) for n in names], "path string").mapInArrow(read, schema)
+        return shipped(spark.createDataFrame([(n,) for n in names], "path string")).mapInArrow(read, schema)
     jvm, base = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     rows = []
