@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import as_bytes, by_bytes
+from graphloom.shipping import shipped
 
 WINDOW = 10
 #: Some 700,000 windows, which take about 300 MB in a worker.
@@ -224,7 +225,7 @@ def decontaminate(
     source = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("__text"))
     schema = f"__id {source.schema['__id'].dataType.simpleString()}, __hash long, {HITS}"
     parts = [
-        source.mapInArrow(_scanner(spark.sparkContext.broadcast(block), window), schema)
+        shipped(source).mapInArrow(_scanner(spark.sparkContext.broadcast(block), window), schema)
         for block in item_blocks(items, item_id_col, item_text_col, max_block_bytes, window)
     ]
     if len(parts) == 1:
@@ -263,5 +264,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                 clean = [not matcher.scan(t or b"")[1] for t in as_bytes(batch.column(at)).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = shipped(docs).mapInArrow(run, docs.schema)
     return docs

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import by_bytes
+from graphloom.shipping import shipped
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What is between these tags isn't text of the page.
@@ -614,5 +615,5 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["__id", "__url", "text"])
 
     kind = lambda c: source.schema[c].dataType.simpleString()
-    out = source.mapInArrow(run, f"__id {kind('__id')}, __url {kind('__url')}, text string")
+    out = shipped(source).mapInArrow(run, f"__id {kind('__id')}, __url {kind('__url')}, text string")
     return out.select(F.col("__id").alias(id_col), F.col("__url").alias(url_col), "text")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import as_bytes, by_bytes, cut, sieve_join
+from graphloom.shipping import shipped
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -109,7 +110,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, m: int
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "digest", "keys"]
             )
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n long, digest string, keys array<long>")
+    return shipped(source).mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n long, digest string, keys array<long>")
 
 
 def bucket_keys(reps: DataFrame, m: int) -> DataFrame:
@@ -189,7 +190,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
 
     # A star's centre is b for all its members: by merge, as only then are large partitions split.
     joined = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "a_text", "b_text")
-    return joined.mapInArrow(run, f"a {kind}, b {kind}")
+    return shipped(joined).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -268,7 +269,7 @@ def _rest_links(dealt: DataFrame, texts: DataFrame, shingle: int, threshold: flo
         kind_ = table.schema.field("rep").type
         return pa.table({"a": pa.array(out[0], kind_), "b": pa.array(out[1], kind_)})
 
-    return dealt.join(texts.hint("merge"), "rep").groupBy("star", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+    return shipped(dealt.join(texts.hint("merge"), "rep")).groupBy("star", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(

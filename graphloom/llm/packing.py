@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import by_bytes, cut
+from graphloom.shipping import shipped
 
 CAPACITY = 2048
 GRAIN = 32
@@ -338,7 +339,7 @@ def pack(
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     kind = source.schema["__id"].dataType.simpleString()
     schema = f"__id {kind}, n long, whole_crcs array<long>, rest int, grain_crcs array<long>, rest_crc long, part long, number long, whole_before long"
-    rows = cut(source.mapInArrow(_tokenise(path, end_id, capacity, grain), schema))
+    rows = cut(shipped(source).mapInArrow(_tokenise(path, end_id, capacity, grain), schema))
 
     # Numbers inside a partition become global ones by prefix sums over the partitions' totals.
     counts = cut(rows.groupBy("part", "rest").agg(F.count(F.lit(1)).alias("m"), F.sum(F.size("whole_crcs")).alias("w")))
@@ -361,7 +362,7 @@ def pack(
         F.when(F.col("length") != F.col("rest"), F.col("grain_crcs")).alias("grain_crcs"), F.col("n").alias("doc_tokens"),
         (F.col("sequence") + F.col("number") - F.col("lo")).alias("sequence_id"), "offset",
     )
-    rest = rest.mapInArrow(_piece_crcs(grain), f"__id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    rest = shipped(rest).mapInArrow(_piece_crcs(grain), f"__id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     full = rows.filter(F.size("whole_crcs") > 0).join(F.broadcast(wholes), "part")  # one row a partition
     full = full.select("__id", "n", (F.col("whole_before") + F.col("whole0") + F.lit(n_sequences)).alias("first"), F.posexplode("whole_crcs").alias("k", "crc"))
     full = full.select(

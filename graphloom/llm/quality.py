@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import as_bytes, cut
 from graphloom.llm.linear import sigmoid
+from graphloom.shipping import shipped
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.5
@@ -88,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([shape(t or b"") for t in as_bytes(batch.column(0)).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    table = rows.mapInArrow(run, "x array<double>, y int").toArrow()
+    table = shipped(rows).mapInArrow(run, "x array<double>, y int").toArrow()
     x = np.array(table.column("x").to_pylist(), float).reshape(-1, len(NAMES))
     order = np.lexsort(x.T) if len(x) else np.empty(0, np.int64)  # rows come in any order
     return fit_shape(x[order], np.array(table.column("y").to_pylist(), float)[order])
@@ -106,7 +107,7 @@ def document_scores(docs: DataFrame, model: ShapeModel, id_col: str, text_col: s
             p = own.predict(np.array([shape(t or b"") for t in texts], float)) if texts else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(p, pa.float64())], names=["id", "host", "path", "p"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, host string, path string, p double")
+    return shipped(source).mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, host string, path string, p double")
 
 
 def shrinkage(groups: DataFrame, prior: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut
+from graphloom.shipping import shipped
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +46,7 @@ def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).alias("__id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
     kind = source.schema["__id"].dataType.simpleString()
-    rows = cut(source.mapInArrow(_running, f"__id {kind}, size long, text_crc32 long, __part long, __before long, __row long"))
+    rows = cut(shipped(source).mapInArrow(_running, f"__id {kind}, size long, text_crc32 long, __part long, __before long, __row long"))
     # One row a partition of the input: the only table that meets in one task, and the one that is broadcast.
     parts = rows.groupBy("__part").agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__rows"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import by_bytes
+from graphloom.shipping import shipped
 
 BATCH_BYTES = 1 << 20
 PIECE_CHARS = 1 << 14
@@ -92,4 +93,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n = pa.array(count_tokens(texts, path, batch_bytes), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n], names=["__id", "n_bytes", "n_tokens"])
 
-    return source.mapInArrow(count, f"__id {source.schema['__id'].dataType.simpleString()}, n_bytes long, n_tokens long").withColumnRenamed("__id", id_col)
+    return shipped(source).mapInArrow(count, f"__id {source.schema['__id'].dataType.simpleString()}, n_bytes long, n_tokens long").withColumnRenamed("__id", id_col)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import by_bytes, cut
 from graphloom.llm.linear import Rows, fit
+from graphloom.shipping import shipped
 
 BITS = 20
 SAMPLE_ROWS = 12_000
@@ -188,7 +189,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.join(F.broadcast(chosen.distinct()), F.col("__id") == F.col("__lid")).select("__id", "y", "h", "text", F.xxhash64("text").alias("t"))
     pairs_of = "a array<array<int>>, b array<array<int>>, n array<long>"
-    found = rows.mapInArrow(_featurise(terms), f"__id {rows.schema['__id'].dataType.simpleString()}, y int, t long, f array<int>, {pairs_of}")
+    found = shipped(rows).mapInArrow(_featurise(terms), f"__id {rows.schema['__id'].dataType.simpleString()}, y int, t long, f array<int>, {pairs_of}")
     found = cut(found.groupBy("__id", "y").agg(F.min_by(F.struct("f", "a", "b", "n"), "t").alias("r")).select("y", "r.*"))
 
     sizes = {r.toxic: r["count"] for r in found.groupBy((F.col("y") > 0).alias("toxic")).count().collect()}
@@ -196,7 +197,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     telling = seen.filter(is_telling(F.col("n1"), F.col("n0"), sizes.get(True, 0), sizes.get(False, 0))).select("x").toArrow()
     known = np.sort(telling.column(0).to_numpy()).astype(np.int64)
 
-    short = cut(found.mapInArrow(_narrow(known), f"y int, f array<int>, {pairs_of}"))
+    short = cut(shipped(found).mapInArrow(_narrow(known), f"y int, f array<int>, {pairs_of}"))
     array_of = lambda x: np.asarray(x, np.int64)
     table = short.select("f", "y").toArrow()
     sample = [(array_of(f.values), y) for f, y in zip(table.column("f"), table.column("y").to_pylist(), strict=True)]
@@ -228,7 +229,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             scores = pa.array([own.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["__id", "score"])
 
-    out = source.mapInArrow(run, f"__id {source.schema['__id'].dataType.simpleString()}, score double")
+    out = shipped(source).mapInArrow(run, f"__id {source.schema['__id'].dataType.simpleString()}, score double")
     return out.select(F.col("__id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -242,4 +243,4 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
         for batch in by_bytes(batches, at):
             yield batch.filter(pa.array([own.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return shipped(docs).mapInArrow(run, docs.schema)

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, sieve_join, text_or_empty
+from graphloom.shipping import shipped
 
 CRLF = "\r\n"
 END = b"\r\n\r\n"
@@ -421,7 +422,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         if rows:
             yield batch()
 
-    parts = [lines.mapInArrow(read, SCHEMA) for lines in _lines(spark, path, list(names.values()))]
+    parts = [shipped(lines).mapInArrow(read, SCHEMA) for lines in _lines(spark, path, list(names.values()))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
