@@ -9,6 +9,7 @@ from graphloom.functions import text as T
 from graphloom.operators import context, coverage, graph, history, incremental, relations, resolve, search
 from graphloom.schema import CONTEXT_KINDS, SCHEMAS
 from graphloom.sources.repo import read_file
+from graphloom.sources.store import INDEXED
 
 
 class Engine:
@@ -59,11 +60,18 @@ class Engine:
     def docs(self, name: str) -> DataFrame:
         return relations.docs_for_symbols(self.g).filter(F.col("qualified_name") == name)
 
+    def _searched(self, name: str, query: str) -> DataFrame:
+        """By the graph's index, if it has one, else over its texts."""
+        rows, index = getattr(self.g, name), self.g.text_index(name) if hasattr(self.g, "text_index") else None
+        return search.search(rows, "id", query, *INDEXED[name]) if index is None else index.search(rows, "id", query)
+
     def doc_search(self, query: str) -> DataFrame:
-        return search.search(self.g.docs, "id", query, "title", "body")
+        return self._searched("docs", query)
 
     def search(self, query: str) -> DataFrame:
-        return search.combined(self.g.symbols, self.g.docs, query)
+        """Symbols and docs, each ranked, or by substring where nothing is ranked."""
+        one = lambda name, kind: self._searched(name, query).select(F.lit(kind).alias("type"), F.col("doc").alias("id"), "score")
+        return one("symbols", "symbol").unionByName(one("docs", "doc"))
 
     def impact(self, name: str, depth: int = 2) -> DataFrame:
         return graph.impact(self.g, relations.start_symbols(self.g, name), depth)

@@ -20,7 +20,7 @@ from graphloom.operators import coverage, incremental, matching, resolve
 from graphloom.operators.relations import last_segment
 from graphloom.sources import facts as sources
 from graphloom.sources import repo, reports
-from graphloom.sources.store import FactStore, Run
+from graphloom.sources.store import INDEXED, FactStore, Run
 
 #: Rows of git's output that are turned into a DataFrame at once.
 PATCH_ROWS = 500_000
@@ -86,6 +86,8 @@ def _index(spark: SparkSession, root: str, store: FactStore, began: str, ignored
     one = spark.createDataFrame([entry], "id long, files_scanned long, files_changed long, files_deleted long, started_at string, finished_at string, status string")
     run.write("index_runs", run.old("index_runs").unionByName(one.withColumn("repository_id", repo_id), allowMissingColumns=True))
     run.finish()
+    for name in INDEXED:
+        store.refresh_index(name)
     return summary
 
 

@@ -141,9 +141,9 @@ def search(docs: DataFrame, id_col: str, query: str, *columns: str) -> DataFrame
 
 
 def combined(symbols: DataFrame, docs: DataFrame, query: str) -> DataFrame:
-    """Symbols and docs, tagged."""
-    s = like(symbols, "id", query, "name", "qualified_name").select(F.lit("symbol").alias("type"), F.col("doc").alias("id"))
-    return s.unionByName(like(docs, "id", query, "title", "body").select(F.lit("doc").alias("type"), F.col("doc").alias("id")))
+    """Symbols and docs, tagged: each ranked, or by substring where nothing is ranked."""
+    s = search(symbols, "id", query, "name", "qualified_name").select(F.lit("symbol").alias("type"), F.col("doc").alias("id"))
+    return s.unionByName(search(docs, "id", query, "title", "body").select(F.lit("doc").alias("type"), F.col("doc").alias("id")))
 
 
 def excerpt(body: Column) -> Column:
@@ -154,7 +154,8 @@ def excerpt(body: Column) -> Column:
 
 def has_word(text: Column, word: str) -> Column:
     """The word stands alone: no letter, digit or ``_`` beside it."""
-    return text.rlike(rf"(?<![\p{{L}}\p{{N}}_])\Q{word}\E(?![\p{{L}}\p{{N}}_])")
+    quoted = re.sub(r"([^\w\s])", r"\\\1", word)
+    return text.rlike(rf"(?<![\p{{L}}\p{{N}}_]){quoted}(?![\p{{L}}\p{{N}}_])")
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.engine import Engine
-from graphloom.operators import context, coverage, graph, history, incremental, matching, relations, resolve, search
+from graphloom.operators import context, coverage, fulltext, graph, history, incremental, matching, relations, resolve, search
 from graphloom.plans import generated
 from graphloom.plans.generated import View
+from graphloom.shared import shared_folder
 from graphloom.sources.testdata import CUSTOMER, NATION, PART, StarGraph
 
 PART_NAME = "small ring"
@@ -193,21 +194,57 @@ def markdown_sections(g: StarGraph) -> DataFrame:
     return rows.groupBy("conv_id", "section").agg(F.min("turn").alias("start_line"), F.max("turn").alias("end_line"), F.sum(F.char_length("text")).alias("n_chars"))
 
 
+#: Indexes by session and table folder: the first query over one writes it, the others read their terms' postings.
+_INDEXES: dict[tuple[str, str, str], fulltext.TextIndex] = {}
+
+
+def _index(g: StarGraph, name: str) -> fulltext.TextIndex:
+    """The index of the docs' or symbols' texts."""
+    key = (g.spark.sparkContext.applicationId, g.sf_dir, name)
+    if key not in _INDEXES:
+        columns = ("title", "body") if name == "docs" else ("name", "qualified_name")
+        index = fulltext.TextIndex(g.spark, shared_folder(g.spark, f"index-{name}"), columns)
+        index.add(getattr(g, name))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 def bm25_docs(g: StarGraph) -> DataFrame:
-    return search.bm25(g.docs, "id", WORDS, "title", "body")
+    return _index(g, "docs").bm25(WORDS)
 
 
 def bm25_symbols(g: StarGraph) -> DataFrame:
-    return search.bm25(g.symbols, "id", "small ring", "name", "qualified_name")
+    return _index(g, "symbols").bm25("small ring")
 
 
 def bm25_phrases(g: StarGraph) -> DataFrame:
-    """A phrase, an open end, alternatives and an exception."""
+    """A phrase, an open end, alternatives and an exception, over the texts themselves."""
     return search.bm25(g.docs, "id", '"of the" NOT "of the th" * OR thou* AND and OR "lès de"', "body")
 
 
 def search_docs(g: StarGraph) -> DataFrame:
-    return search.search(g.docs, "id", "rth th", "title", "body")
+    """A text that no word is: the index finds nothing, the substring search does."""
+    return _index(g, "docs").search(g.docs, "id", "rth th")
+
+
+def search_near(g: StarGraph) -> DataFrame:
+    """Words near each other in one column, or a word in a named column."""
+    return _index(g, "docs").bm25("NEAR(the erth, 2) OR title: ring").select("doc")
+
+
+def combined_search(g: StarGraph) -> DataFrame:
+    return fulltext.combined(_index(g, "symbols"), g.symbols, _index(g, "docs"), g.docs, "ring")
+
+
+def index_changes(g: StarGraph) -> DataFrame:
+    """An index after docs have gone, others have got another text, and new ones have come: its ranking of two words."""
+    docs = g.docs.select("id", "title", "body")
+    index = fulltext.TextIndex(g.spark, shared_folder(g.spark, "index-changes"), ("title", "body"))
+    index.add(docs.filter("id % 11 <> 5"))
+    index.delete(docs.filter("id % 10 = 3").select("id"))
+    index.add(docs.filter("id % 7 = 1").select("id", F.col("body").alias("title"), F.col("title").alias("body")))
+    index.add(docs.filter("id % 11 = 5"))
+    return index.bm25(WORDS)
 
 
 def doc_excerpts(g: StarGraph) -> DataFrame:
@@ -377,7 +414,9 @@ QUERIES: dict[str, Callable[[StarGraph], DataFrame]] = {
     "bm25_phrases": bm25_phrases,
     "like_docs": lambda g: search.like(g.docs, "id", "ERTH the", "title", "body"),
     "search_docs": search_docs,
-    "combined_search": lambda g: search.combined(g.symbols, g.docs, "ring"),
+    "combined_search": combined_search,
+    "search_near": search_near,
+    "index_changes": index_changes,
     "doc_excerpts": doc_excerpts,
     "grep_baseline": grep_baseline,
     "set_metrics": set_metrics,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from graphloom.plans import generated, generated_oracle
 
 FACTS = """
@@ -194,7 +196,14 @@ BODIES: dict[str, str] = {
     "bm25_phrases": _BM25_PHRASES,
     "like_docs": "SELECT id AS doc FROM docs WHERE title ILIKE '%ERTH the%' OR body ILIKE '%ERTH the%'",
     "search_docs": "SELECT id AS doc, 0.0::DOUBLE AS score FROM docs WHERE title ILIKE '%rth th%' OR body ILIKE '%rth th%'",
-    "combined_search": "SELECT 'symbol' AS type, id FROM symbols WHERE name ILIKE '%ring%' OR qualified_name ILIKE '%ring%' UNION ALL SELECT 'doc', id FROM docs WHERE title ILIKE '%ring%' OR body ILIKE '%ring%'",
+    "combined_search": f"""s AS (WITH {_bm25("SELECT id AS doc, name || ' ' || qualified_name AS txt FROM symbols", ["ring"])}), d AS (WITH {_bm25("SELECT id AS doc, concat_ws(' ', title, body) AS txt FROM docs", ["ring"])})
+      SELECT 'symbol' AS type, doc AS id, score FROM s UNION ALL SELECT 'doc', doc, score FROM d""",
+    "search_near": """tok AS (SELECT id AS doc, col, list_filter(regexp_split_to_array(lower(coalesce(txt, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ts
+             FROM (SELECT id, 'title' AS col, title AS txt FROM docs UNION ALL SELECT id, 'body', body FROM docs)),
+      words AS (SELECT doc, col, unnest(ts) AS w, unnest(range(len(ts))) AS i FROM tok)
+      SELECT a.doc FROM words a JOIN words b ON a.doc = b.doc AND a.col = b.col AND a.w = 'the' AND b.w = 'erth' AND abs(a.i - b.i) <= 3
+      UNION SELECT doc FROM words WHERE col = 'title' AND w = 'ring'""",
+    "index_changes": _bm25("SELECT id AS doc, concat_ws(' ', title, body) AS txt FROM docs WHERE id % 10 <> 3 OR id % 7 = 1 OR id % 11 = 5", ["the", "erth"]),
     "grep_baseline": "SELECT count(*) AS n_files, coalesce(sum(ceil(length(body) / 4.0)), 0)::BIGINT AS tokens FROM docs WHERE regexp_matches(body, '(^|[^\\p{L}\\p{N}_])erth($|[^\\p{L}\\p{N}_])')",
     "doc_excerpts": "SELECT doc_id, CASE WHEN contains(t, chr(10)) THEN rtrim(split_part(t, chr(10), 1), ' ') || '...' ELSE t END AS excerpt FROM (SELECT id AS doc_id, trim(regexp_replace(trim(body, ' '), '^(\"{3}|''{3}|\"|'')|(\"{3}|''{3}|\"|'')$', '', 'g'), ' ') AS t FROM docs)",
     "set_metrics": "SELECT * FROM metrics",
@@ -256,6 +265,6 @@ def oracle_sql() -> dict[str, str]:
             out[name] = body
             continue
         more = f", {_MORE[name]}" if name in _MORE else ""
-        join = ", " if body.lstrip().startswith("tok AS") else " "
+        join = ", " if re.match(r"\s*\w+ AS \(", body) else " "
         out[name] = f"WITH {FACTS.strip()}{more}{join}{body}"
     return out

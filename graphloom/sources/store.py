@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.fulltext import TextIndex
 from graphloom.operators.incremental import row_counts
 from graphloom.schema import SCHEMAS
 
@@ -21,6 +22,8 @@ EXTRA = {
     "generated_symbols": "symbol_id long, provenance string",
 }
 _MANIFEST = "table_name string, run long"
+#: Tables that have a full-text index, and its columns.
+INDEXED = {"docs": ("title", "body"), "symbols": ("name", "qualified_name")}
 
 
 class FactStore:
@@ -59,6 +62,32 @@ class FactStore:
         at = (self.manifest() if manifest is None else manifest).get(name)
         return self.spark.createDataFrame([], schema) if at is None else self.spark.read.schema(schema).parquet(f"{self.root}/run={at}/{name}")
 
+    def text_index(self, name: str) -> TextIndex:
+        return TextIndex(self.spark, f"{self.root}/index-{name}", INDEXED[name])
+
+    def refresh_index(self, name: str) -> None:
+        """Bring a table's full-text index up to the last whole run: rows that are gone or differ from the run at which it was are replaced.
+
+        If it was never written, or that run is gone, it is written anew from all rows.
+        """
+        index, last = self.text_index(name), self.latest()
+        fs, mark = self._path(f"index-{name}-at")
+        at = self.spark.read.schema("run long").parquet(f"{self.root}/index-{name}-at").first() if fs.exists(mark) else None
+        if last is None or (at is not None and at.run == last):
+            return
+        columns = INDEXED[name]
+        rows = lambda manifest: self.table(name, manifest).select("id", *columns, F.xxhash64(*columns).alias("hash"))
+        now = rows(self.manifest(last))
+        if at is None or not self._done(at.run):
+            index_fs, path = self._path(f"index-{name}")
+            index_fs.delete(path, True)
+            index.add(now)
+        else:
+            before = rows(self.manifest(at.run)).select("id", "hash")
+            index.delete(before.join(now.select("id"), "id", "left_anti").select("id"))
+            index.add(now.join(before, ["id", "hash"], "left_anti"))
+        self.spark.createDataFrame([(last,)], "run long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/index-{name}-at")
+
     def begin(self) -> Run:
         numbers = self._numbers()
         return Run(self, (numbers[-1] if numbers else 0) + 1, self.manifest())
@@ -127,6 +156,11 @@ class StoredGraph:
     def table(self, name: str) -> DataFrame:
         return self.store.table(name, self._manifest)
 
+    def text_index(self, name: str) -> TextIndex | None:
+        """A table's full-text index; none if it wasn't written."""
+        index = self.store.text_index(name)
+        return index if index.generations() else None
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in SCHEMAS or name in EXTRA:
             return self.table(name)
