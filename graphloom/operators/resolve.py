@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.relations import symbol_by_qualified_name
+from graphloom.operators.relations import last_segment, symbol_by_qualified_name
+from graphloom.shared import cut
 from graphloom.shipping import shipped
 
 #: Kinds that may be resolved by a simple name.
@@ -71,6 +72,97 @@ def resolve_external(edges: DataFrame, owners: DataFrame, dependencies: DataFram
     return edges.filter("stage = 'none'").withColumn("name", first).join(owners, "source_symbol_id").join(dependencies.select("package_id", "name").distinct(), ["package_id", "name"]).select("source_symbol_id", "kind", "unresolved_target", F.concat(F.lit("external:"), "name").alias("external_file"))
 
 
+class _Tables:
+    def __init__(self, **tables: DataFrame):
+        self.__dict__.update(tables)
+
+
+#: What tells edges apart before they are resolved.
+EDGE = ["source_symbol_id", "kind", "unresolved_target"]
+
+
+def _keys(edges: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the edges, once for each name by which they may be resolved: ``q`` qualified, ``n`` simple."""
+    target = F.col("unresolved_target")
+    tries = F.filter(F.array(F.struct(F.lit("q").alias("sort"), target.alias("key")), F.struct(F.lit("q").alias("sort"), dotted(target).alias("key")), F.struct(F.lit("n").alias("sort"), simple_name(target).alias("key"))), lambda x: x["key"].isNotNull())
+    return edges.select(*columns, F.inline(tries))
+
+
+def _names(symbols: DataFrame) -> DataFrame:
+    """The names of symbols as keys."""
+    return symbols.select(F.inline(F.array(F.struct(F.lit("q").alias("sort"), F.col("qualified_name").alias("key")), F.struct(F.lit("n").alias("sort"), F.col("name").alias("key"))))).distinct()
+
+
+def _named(symbols: DataFrame, keys: DataFrame) -> DataFrame:
+    """Symbols that one of the keys may mean: all others neither match nor make a name ambiguous."""
+    q, n = (keys.filter(F.col("sort") == k).select(F.col("key").alias(c)).distinct() for k, c in (("q", "qualified_name"), ("n", "name")))
+    by_name = symbols.join(n, "name", "left_semi").select(symbols.columns)
+    return by_name.unionByName(symbols.join(q, "qualified_name", "left_semi").join(n, "name", "left_anti").select(symbols.columns))
+
+
+def resolve_among(g, edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``resolve_edges`` of a few edges: of the symbols, their sources and those of their names are gone through, not all."""
+    keys = cut(_keys(edges).distinct())
+    need = _named(symbols, keys).unionByName(symbols.join(edges.select(F.col("source_symbol_id").alias("id")).distinct(), "id", "left_semi").select(symbols.columns)).distinct()
+    # A source that is there for itself has all symbols of its own name beside it only if that is a key; other names aren't asked for.
+    return resolve_edges(_Tables(files=g.files, symbols=need, edges=edges))
+
+
+def resolve_fixpoint(g, owners: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All edges as ``resolve_edges`` gives them, and the symbols made on the way, once nothing more can be resolved.
+
+    What stays open after the first three stages and begins with a dependency of the source's package gets a symbol in the file
+    ``external:<dependency>`` (stage ``external``), whose names are then tried by the edges that are still open: by those alone whose names
+    the new symbols bear, round after round, until none is left. An edge that is resolved stays as it is.
+
+    ``owners`` and ``dependencies`` as in ``resolve_external``. Made symbols: repository_id, external_file, id, file_id, name, qualified_name, kind.
+    """
+    columns = ["id", "file_id", "name", "qualified_name", "kind"]
+    symbols, files = g.symbols.select(*columns), g.files.select("id", "repository_id", "language", "path")
+    tried = cut(resolve_edges(_Tables(files=files, symbols=symbols, edges=g.edges)))
+    done, left = tried.filter("stage <> 'none'"), tried.filter("stage = 'none'")
+    outside = resolve_external(left, owners, dependencies).distinct()
+    found = cut(left.join(outside, EDGE).withColumn("file_id", F.xxhash64("repository_id", "external_file")).withColumn("resolved_id", F.xxhash64("file_id", "unresolved_target")).withColumn("stage", F.lit("external")))
+    made = cut(found.select("repository_id", "external_file", F.col("resolved_id").alias("id"), "file_id", last_segment(F.col("unresolved_target")).alias("name"), F.col("unresolved_target").alias("qualified_name"), F.lit("Unknown").alias("kind")).distinct())
+    out = done.unionByName(found.select(tried.columns))
+    left = cut(left.join(found.select(EDGE).distinct(), EDGE, "left_anti").select(tried.columns))
+    symbols = symbols.unionByName(made.select(*columns))
+    files = files.unionByName(made.select(F.col("file_id").alias("id"), "repository_id", F.lit("rust").alias("language"), F.col("external_file").alias("path")).distinct())
+    fresh = made
+    while True:
+        names = _names(fresh)
+        hit = _keys(left, *EDGE).join(names, ["sort", "key"], "left_semi").select(EDGE).distinct()
+        delta = cut(left.join(hit, EDGE, "left_semi").select(*EDGE, F.lit(None).cast("long").alias("target_symbol_id"), *[c for c in ("confidence", "ordering") if c in left.columns]))
+        if delta.isEmpty():
+            return out.unionByName(left), made
+        again = cut(resolve_among(_Tables(files=files), delta, symbols).filter("stage <> 'none'").select(tried.columns))
+        out = out.unionByName(again)
+        left = cut(left.join(again.select(EDGE), EDGE, "left_anti").select(tried.columns))
+        fresh = fresh.limit(0)  # these rules make no symbols after the first round; a rule that does would put them here
+
+
+def resolve_changed(g, before: DataFrame, edges_before: DataFrame, symbols_before: DataFrame) -> DataFrame:
+    """``resolve_edges(g)`` from what it gave before: only edges that are new or bear a changed name are resolved again.
+
+    ``before`` is the old result, ``edges_before`` and ``symbols_before`` what it was made of. A symbol counts as changed if its row did;
+    then its old and new names are. Whether a name is ambiguous is told from the symbols of that name, so the others aren't read
+    again; the work goes with the names that changed and the edges that bear them.
+    """
+    columns = ["id", "file_id", "name", "qualified_name", "kind"]
+    old, new = symbols_before.select(*columns), g.symbols.select(*columns)
+    changed = cut(_names(new.exceptAll(old).unionByName(old.exceptAll(new))))
+    is_open = "target_symbol_id is null and unresolved_target is not null"
+    rows, was = g.edges.filter(is_open), edges_before.filter(is_open)
+    gone = was.select(EDGE).join(rows.select(EDGE), EDGE, "left_anti")
+    # Sources that came or went, or moved to another repository, take their edges with them.
+    moved = new.select("id", "file_id").exceptAll(old.select("id", "file_id")).unionByName(old.select("id", "file_id").exceptAll(new.select("id", "file_id"))).select(F.col("id").alias("source_symbol_id")).distinct()
+    named = _keys(rows, *EDGE).join(changed, ["sort", "key"], "left_semi").select(EDGE)
+    todo = cut(named.unionByName(rows.select(EDGE).join(was.select(EDGE), EDGE, "left_anti")).unionByName(rows.select(EDGE).join(moved, "source_symbol_id", "left_semi").select(EDGE)).distinct())
+    dropped = todo.unionByName(gone).unionByName(was.select(EDGE).join(moved, "source_symbol_id", "left_semi").select(EDGE)).distinct()
+    kept = before.join(dropped, EDGE, "left_anti").select(before.columns)
+    return kept.unionByName(resolve_among(g, rows.join(todo, EDGE, "left_semi").select(rows.columns), g.symbols.select(*columns)).select(before.columns))
+
+
 def write_back(g, resolved: DataFrame) -> DataFrame:
     """All edges after resolution, one a source, target and kind: an edge that was resolved before goes first."""
     before = g.edges.filter("target_symbol_id is not null").select("source_symbol_id", "target_symbol_id", "kind", F.lit(0).alias("late"))

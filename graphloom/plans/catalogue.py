@@ -325,6 +325,32 @@ def external_targets(g: StarGraph) -> DataFrame:
     return found.groupBy("kind", "external_file").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
+def resolve_fixpoint(g: StarGraph) -> DataFrame:
+    """All rounds of resolution: edges and targets by stage, where a made symbol's names are tried by what is still open."""
+    owners = g.symbols.select(F.col("id").alias("source_symbol_id"), F.col("file_id").alias("package_id"))
+    found, _ = resolve.resolve_fixpoint(g, owners, g.dependencies)
+    return found.groupBy("kind", "stage").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("resolved_id").alias("n_targets"), F.sum(F.char_length("unresolved_target")).alias("n_chars"))
+
+
+def _changed_symbols(g: StarGraph) -> DataFrame:
+    """Suppliers of every tenth number are gone, and parts of every fifth have another name, some of them one that was unique."""
+    number = F.col("id") % 1_000_000
+    name = F.when((F.col("kind") == "Method") & (number % 5 == 1), F.concat(F.lit("new name "), (number % 100).cast("string"))).otherwise(F.col("name"))
+    return g.symbols.filter((F.col("kind") != "Class") | (number % 10 != 3)).withColumn("name", name)
+
+
+def resolve_incremental(g: StarGraph) -> DataFrame:
+    """Resolution after symbols were renamed or have gone and edges have come, from the result before."""
+    old = View(files=g.files, symbols=g.symbols, edges=g.edges)
+    number = F.col("id") % 1_000_000
+    more = g.symbols.filter("kind = 'Function'").select(
+        F.col("id").alias("source_symbol_id"), F.lit(None).cast("long").alias("target_symbol_id"), F.concat(F.lit("x.new name "), (number % 100).cast("string")).alias("unresolved_target"),
+        F.lit("ReferencesType").alias("kind"), F.lit(1.0).alias("confidence"), F.lit(None).cast("long").alias("ordering"))
+    now = View(files=g.files, symbols=_changed_symbols(g), edges=g.edges.filter("source_symbol_id % 17 <> 3").unionByName(more))
+    found = resolve.resolve_changed(now, resolve.resolve_edges(old), old.edges, old.symbols)
+    return found.groupBy("kind", "stage").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("resolved_id").alias("n_targets"), F.coalesce(F.sum("resolved_id"), F.lit(0)).alias("sum_targets"))
+
+
 def test_deps(g: StarGraph) -> DataFrame:
     """What a test is linked with by its calls."""
     links = resolve.direct_call_tests(g).select("source_symbol_id", "target_symbol_id", F.lit(None).cast("string").alias("unresolved_target"), F.lit("TestedBy").alias("kind"), F.lit(1.0).alias("confidence"))
@@ -370,6 +396,8 @@ QUERIES: dict[str, Callable[[StarGraph], DataFrame]] = {
     "delete_files": delete_files,
     "replace_coverage": replace_coverage,
     "resolve_edges": resolve_edges,
+    "resolve_fixpoint": resolve_fixpoint,
+    "resolve_incremental": resolve_incremental,
     "unique_match_gate": unique_match_gate,
     "write_back": write_back,
     "direct_call_tests": resolve.direct_call_tests,

@@ -158,6 +158,8 @@ BODIES: dict[str, str] = {
     "delete_files": 'SELECT kind, count(*) AS n_edges, count(t) AS n_resolved, sum(s)::BIGINT AS sum_sources, sum(t)::BIGINT AS sum_targets, sum(length(u))::BIGINT AS n_chars FROM (SELECT DISTINCT source_symbol_id AS s, CASE WHEN t.file_id < 3 THEN NULL ELSE target_symbol_id END AS t, CASE WHEN t.file_id < 3 THEN t.qualified_name ELSE unresolved_target END AS u, e.kind FROM edges e JOIN symbols s ON e.source_symbol_id = s.id LEFT JOIN symbols t ON e.target_symbol_id = t.id WHERE s.file_id >= 3) GROUP BY kind',
     "replace_coverage": "SELECT file_id, suite, 'old' AS version, count(*) AS n_lines FROM cov WHERE suite <> 'F' GROUP BY ALL UNION ALL SELECT file_id, suite, 'new', count(*) FROM cov WHERE suite = 'F' AND line % 2 = 0 GROUP BY ALL",
     "resolve_edges": "SELECT kind, stage, count(*) AS n_edges, count(DISTINCT rid) AS n_targets, coalesce(sum(rid), 0)::BIGINT AS sum_targets FROM resolved GROUP BY ALL",
+    "resolve_fixpoint": "SELECT kind, stage, count(*) AS n_edges, count(DISTINCT rid) AS n_targets, sum(length(unresolved_target))::BIGINT AS n_chars FROM rounds GROUP BY ALL",
+    "resolve_incremental": "SELECT kind, stage, count(*) AS n_edges, count(DISTINCT rid) AS n_targets, coalesce(sum(rid), 0)::BIGINT AS sum_targets FROM resolved GROUP BY ALL",
     "unique_match_gate": "SELECT repository_id, name, count(*) AS n_symbols, CASE WHEN count(*) = 1 THEN min(s.id) ELSE -1 END AS symbol_id FROM symbols s JOIN files f ON s.file_id = f.id GROUP BY ALL",
     "write_back": "SELECT kind, late, count(*) AS n_edges FROM (SELECT s, t, kind, min(late) AS late FROM (SELECT source_symbol_id AS s, target_symbol_id AS t, kind, 0 AS late FROM edges WHERE target_symbol_id IS NOT NULL UNION ALL SELECT source_symbol_id, rid, kind, 1 FROM resolved WHERE rid IS NOT NULL) GROUP BY s, t, kind) GROUP BY ALL",
     "direct_call_tests": _DIRECT,
@@ -245,7 +247,26 @@ _KEPT = """items AS (SELECT id // 50 AS target, CASE WHEN path LIKE '%/en/%' THE
   first AS (SELECT * FROM (SELECT *, (sum(tokens) OVER (PARTITION BY target ORDER BY id))::BIGINT AS total FROM items WHERE section = 1) WHERE total <= 8000),
   second AS (SELECT * FROM (SELECT *, (sum(tokens) OVER (PARTITION BY target ORDER BY id))::BIGINT + coalesce((SELECT max(total) FROM first f WHERE f.target = i.target), 0) AS total FROM items i WHERE section = 2) WHERE total <= 8000),
   kept AS (SELECT * FROM first UNION ALL SELECT * FROM second)"""
-_MORE = {"context_pack_prefix": _KEPT, "context_pack_text": _KEPT, "package_dependencies": _DEPS, "external_targets": f"{_RESOLVE}, {_DEPS}", "safety_of_file": _EVENTS, "resolve_edges": _RESOLVE, "write_back": _RESOLVE, "safety_profile": _EVENTS, "unsafe_containment": _EVENTS, "set_metrics": f"{_SETS}, {_METRICS}", "bench_summary": f"{_SETS}, {_METRICS}", "longest_prefix_package": _DIR}
+_ROUNDS = """
+  segs AS (SELECT t.*, CASE WHEN contains(unresolved_target, '::') THEN split_part(unresolved_target, '::', 1) ELSE split_part(unresolved_target, '.', 1) END AS seg, file_id
+           FROM tried t JOIN symbols s ON t.source_symbol_id = s.id WHERE coalesce(ia, ib, ic) IS NULL),
+  outside AS (SELECT s.*, name IS NOT NULL AS made FROM segs s LEFT JOIN deps ON package_id = file_id AND name = seg),
+  made AS (SELECT DISTINCT repository_id, unresolved_target AS q, regexp_extract(unresolved_target, '([^.:]*)$', 1) AS n FROM outside WHERE made),
+  made_n AS (SELECT repository_id, n, count(*) AS k, min(q) AS q FROM made GROUP BY ALL),
+  rounds AS (
+    SELECT kind, unresolved_target, CASE WHEN ia IS NOT NULL THEN 'exact' WHEN ib IS NOT NULL THEN 'dotted' ELSE 'unique' END AS stage, coalesce(ia, ib, ic)::VARCHAR AS rid FROM tried WHERE coalesce(ia, ib, ic) IS NOT NULL
+    UNION ALL SELECT kind, unresolved_target, 'external', repository_id || '|' || unresolved_target FROM outside WHERE made
+    UNION ALL SELECT kind, unresolved_target, CASE WHEN x.q IS NOT NULL THEN 'exact' WHEN y.q IS NOT NULL THEN 'dotted' WHEN u THEN 'unique' ELSE 'none' END,
+                     o.repository_id || '|' || coalesce(x.q, y.q, CASE WHEN u THEN z END)
+    FROM (SELECT o.*, m.q AS z, m.k = 1 AND kind <> 'Imports' AND simple <> '*' AND NOT (kind = 'ModifiedWith' AND (contains(unresolved_target, '.') OR contains(unresolved_target, '::')))
+                 AND coalesce(CASE WHEN kind IN ('ReferencesType', 'Calls', 'Extends', 'Implements') THEN n_plain ELSE n_all END, 0) = 0 AS u
+          FROM outside o LEFT JOIN made_n m ON o.repository_id = m.repository_id AND simple = m.n LEFT JOIN un ON un.repository_id = o.repository_id AND un.name = simple WHERE NOT made) o
+    LEFT JOIN made x ON x.repository_id = o.repository_id AND x.q = unresolved_target LEFT JOIN made y ON y.repository_id = o.repository_id AND y.q = dotted)"""
+_CHANGED = """symbols2 AS (SELECT id, file_id, CASE WHEN kind = 'Method' AND id % 1000000 % 5 = 1 THEN 'new name ' || (id % 1000000 % 100) ELSE name END AS name, qualified_name, kind FROM symbols
+    WHERE kind <> 'Class' OR id % 1000000 % 10 <> 3),
+  edges2 AS (SELECT source_symbol_id, target_symbol_id, unresolved_target, kind FROM edges WHERE source_symbol_id % 17 <> 3
+    UNION ALL SELECT id, NULL, 'x.new name ' || (id % 1000000 % 100), 'ReferencesType' FROM symbols WHERE kind = 'Function')"""
+_MORE = {"resolve_fixpoint": f"{_RESOLVE}, {_DEPS}, {_ROUNDS}", "resolve_incremental": f"{_CHANGED}, {_RESOLVE.replace('symbols s', 'symbols2 s').replace('FROM edges e', 'FROM edges2 e')}", "context_pack_prefix": _KEPT, "context_pack_text": _KEPT, "package_dependencies": _DEPS, "external_targets": f"{_RESOLVE}, {_DEPS}", "safety_of_file": _EVENTS, "resolve_edges": _RESOLVE, "write_back": _RESOLVE, "safety_profile": _EVENTS, "unsafe_containment": _EVENTS, "set_metrics": f"{_SETS}, {_METRICS}", "bench_summary": f"{_SETS}, {_METRICS}", "longest_prefix_package": _DIR}
 
 _BRANCHES = "(SELECT file_id, suite, line, hits, CASE WHEN line % 3 = 0 THEN 2 ELSE 0 END AS bv, CASE WHEN line % 3 = 0 AND hits > 0 THEN 1 ELSE 0 END AS bc FROM cov)"
 BODIES |= generated_oracle.bodies({kind: path for kind, (path, _) in generated.FILES.items()})

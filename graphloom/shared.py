@@ -5,17 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path under ``spark.checkpoint.dir``; only a single-machine session without it gets a temporary one."""
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder of ``spark.checkpoint.dir``; only a single-machine session without it gets a temporary one."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            if not (sc.master == "local" or sc.master.startswith("local[")):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            path = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
-        sc.setCheckpointDir(path)
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    if sc.getCheckpointDir():
+        return
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
+    sc.setCheckpointDir(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
