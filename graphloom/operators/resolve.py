@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.relations import last_segment, symbol_by_qualified_name
 from graphloom.shared import cut
-from graphloom.shipping import shipped
 
 #: Kinds that may be resolved by a simple name.
 BY_NAME = ("Calls", "ReferencesType", "ModifiedWith", "ConfiguredBy", "TestedBy", "Spawns", "SendsTo", "Extends", "Implements")
@@ -189,51 +184,54 @@ def doc_symbol_links(g) -> DataFrame:
     return docs.join(g.symbols.select(F.col("id").alias("symbol_id"), normalise(F.col("name")).alias("key")), "key").select("doc_id", "symbol_id").distinct()
 
 
-#: Characters of names in one automaton, which takes some 80 bytes for each.
-BLOCK_CHARS = 1 << 21
+#: Characters of the pieces under which names are filed. Shorter names are filed whole.
+GRAM = 5
+#: Numbers of a sieve over the pieces that names are filed under: what is broadcast is this many small integers at most.
+SIEVE = 1 << 18
+
 
+def _grams(text: Column, size: int) -> Column:
+    """The distinct pieces of so many characters, in a text's own row."""
+    chars = F.split(text, "")
+    pieces = lambda cs: F.array_distinct(F.transform(F.slice(cs, 1, F.greatest(F.size(cs) - (size - 1), F.lit(0))), lambda c, i: F.concat(c, *(F.get(cs, i + k) for k in range(1, size)))))
+    return F.flatten(F.transform(F.array(chars), pieces))
 
-def names_in_texts(texts: DataFrame, id_col: str, text_col: str, names: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``id, name``: each distinct name that a text contains anywhere, by Aho-Corasick automata over blocks of the names.
 
-    Each block of names takes one pass over the texts; no text meets the names one by one. Null texts and empty names match nothing.
+def names_in_texts(texts: DataFrame, id_col: str, text_col: str, names: DataFrame, gram: int = GRAM) -> DataFrame:
+    """``id, name``: each distinct name that a text contains anywhere. Null texts and empty names match nothing; ids are unique.
+
+    Each name is filed under the rarest of its pieces of ``gram`` characters (rarest among the names; a shorter one under itself). One pass over
+    the texts gives their distinct pieces; those that may have a name under them meet the names by an equi-join, and what a text is a
+    candidate for is then looked for in it. No name and no text passes the driver, and pieces of many texts have few names under them.
+    """
+    source = texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text <> ''")
+    every = cut(names.select(F.col(names.columns[0]).cast("string").alias("name")).filter("name <> ''").distinct())
+    own = F.when(F.char_length("name") < gram, F.array("name")).otherwise(_grams(F.col("name"), gram))
+    pieces = every.select("name", F.explode(own).alias("piece"))
+    counts = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    filed = pieces.join(counts, "piece").groupBy("name").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    filed = cut(filed.withColumn("size", F.least(F.char_length("piece"), F.lit(gram))))
+    sizes = [r["size"] for r in filed.select("size").distinct().collect()]  # at most ``gram`` numbers
+    if not sizes:
+        return source.select("id", F.lit("").alias("name")).limit(0)
+    number = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE)).cast("int")
+    sieve = filed.select(number("piece").alias("number")).distinct()
+    found = source.select("id", F.explode(F.flatten(F.array(*(_grams(F.col("text"), k) for k in sizes)))).alias("piece"))
+    found = found.withColumn("number", number("piece")).join(F.broadcast(sieve), "number", "left_semi").select("id", "piece")
+    # By merge: a piece that very many texts have is split.
+    candidates = found.join(filed.select("piece", "name").hint("merge"), "piece").select(F.col("id").alias("at"), "name").distinct()
+    return candidates.join(source.hint("merge"), F.col("at") == F.col("id")).filter(F.contains("text", F.col("name"))).select("id", "name")
+
+
+def doc_body_links(g, symbols: DataFrame | None = None, gram: int = GRAM, block_chars: int | None = None) -> DataFrame:
+    """Docs whose body contains a symbol's qualified name, with ``::`` or with dots; of all symbols if none are given.
+
+    ``block_chars`` has no effect any more: names don't come in blocks.
     """
-    spark = texts.sparkSession
-    source = texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {source.schema['id'].dataType.simpleString()}, name string"
-    out = spark.createDataFrame([], schema)
-    block: list[str] = []
-
-    def found(part: list[str]) -> DataFrame:
-        handle = spark.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = ahocorasick.Automaton()
-            for name in handle.value:
-                automaton.add_word(name, name)
-            automaton.make_automaton()
-            for batch in batches:
-                hits = [sorted({name for _, name in automaton.iter(t or "")}) for t in batch.column(1).to_pylist()]
-                at = pa.array([k for k, h in enumerate(hits) for _ in h], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([n for h in hits for n in h], pa.string())], names=["id", "name"])
-
-        return shipped(source).mapInArrow(run, schema)
-
-    size = 0
-    for row in names.select(F.col(names.columns[0]).cast("string").alias("name")).filter("name <> ''").distinct().toLocalIterator():
-        block.append(row.name)
-        size += len(row.name)
-        if size >= block_chars:
-            out, block, size = out.unionByName(found(block)), [], 0
-    return out.unionByName(found(block)) if block else out
-
-
-def doc_body_links(g, symbols: DataFrame | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Docs whose body contains a symbol's qualified name, with ``::`` or with dots; of all symbols if none are given."""
     symbols = g.symbols if symbols is None else symbols
     dots = F.replace(F.col("qualified_name"), F.lit("::"), F.lit("."))
     names = symbols.select(F.col("id").alias("symbol_id"), F.explode(F.array_distinct(F.array(F.col("qualified_name"), dots))).alias("name"))
-    hits = names_in_texts(g.docs, "id", "body", names.select("name"), block_chars)
+    hits = names_in_texts(g.docs, "id", "body", names.select("name"), gram)
     return hits.join(names, "name").select(F.col("id").alias("doc_id"), "symbol_id").distinct()
 
 

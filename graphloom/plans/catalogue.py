@@ -88,6 +88,12 @@ def doc_body_links(g: StarGraph) -> DataFrame:
     return links.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_names"))
 
 
+def symbol_names_in_docs(g: StarGraph) -> DataFrame:
+    """Docs against all symbols: which docs hold the qualified name of which, each doc's body with what its title's symbol is called."""
+    docs = g.docs.select("id", F.concat_ws(" ", "body", F.lit("see"), F.concat(F.lit("Brand#"), (F.col("id") % 5 + 11).cast("string"), F.lit("::"), "title", F.lit("."), F.col("id").cast("string"))).alias("body"))
+    return resolve.doc_body_links(View(docs=docs, symbols=g.symbols)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_symbols"), F.min("symbol_id").alias("first_symbol"))
+
+
 def tests_for_symbols(g: StarGraph) -> DataFrame:
     return resolve.direct_call_tests(g).groupBy("target_symbol_id").agg(F.count(F.lit(1)).alias("n_tests"))
 
@@ -404,6 +410,7 @@ QUERIES: dict[str, Callable[[StarGraph], DataFrame]] = {
     "tests_for_symbols": tests_for_symbols,
     "doc_symbol_links": doc_symbol_links,
     "doc_body_links": doc_body_links,
+    "symbol_names_in_docs": symbol_names_in_docs,
     "generated_links": generated_links,
     "external_targets": external_targets,
     "test_deps": test_deps,

@@ -166,6 +166,9 @@ BODIES: dict[str, str] = {
     "tests_for_symbols": f"SELECT target_symbol_id, count(*) AS n_tests FROM ({_DIRECT}) GROUP BY ALL",
     "doc_symbol_links": "SELECT doc_id, count(*) AS n_symbols, min(sid) AS first_symbol FROM (SELECT DISTINCT d.id AS doc_id, s.id AS sid FROM docs d JOIN symbols s ON regexp_replace(regexp_replace(lower(d.title), '[ -]', '_', 'g'), '[^a-z0-9_]', '', 'g') = regexp_replace(regexp_replace(lower(s.name), '[ -]', '_', 'g'), '[^a-z0-9_]', '', 'g')) GROUP BY doc_id",
     "doc_body_links": 'SELECT page_id AS doc_id, count(*) AS n_names FROM pages p JOIN (SELECT DISTINCT t FROM (SELECT unnest(regexp_extract_all(html, \'href="([^"]*)"\', 1)) AS t FROM pages) WHERE t <> \'\') ON contains(p.html, t) OR contains(p.html, replace(t, \'::\', \'.\')) GROUP BY page_id',
+    "symbol_names_in_docs": """SELECT d.id AS doc_id, count(DISTINCT s.id) AS n_symbols, min(s.id) AS first_symbol
+      FROM (SELECT id, concat_ws(' ', body, 'see', 'Brand#' || (id % 5 + 11) || '::' || title || '.' || id) AS body FROM docs) d
+      JOIN symbols s ON contains(body, s.qualified_name) OR contains(body, replace(s.qualified_name, '::', '.')) GROUP BY d.id""",
     "test_name_targets": "SELECT name, nullif(CASE WHEN starts_with(name, 'test_') THEN substr(name, 6) WHEN starts_with(name, 'test') THEN substr(name, 5) WHEN starts_with(name, 'Test') THEN substr(name, 5) END, '') AS target FROM (SELECT ['test_', 'Test', 'x'][c_custkey % 3 + 1] || c_name AS name FROM customer)",
     "file_churn": "SELECT item, count(DISTINCT commit_id) AS churn FROM cf GROUP BY item",
     "symbol_churn": "SELECT item, count(DISTINCT commit_id) AS churn FROM cs GROUP BY item",
