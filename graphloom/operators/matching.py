@@ -43,6 +43,32 @@ def channel_pairs(sends: DataFrame, receives: DataFrame) -> DataFrame:
     return s.join(r, "channel").filter("sender <> receiver").select("sender", "receiver", "channel")
 
 
+def _end_names(var: Column) -> Column:
+    """What a channel's end may be called if a variable stands for it: itself, what precedes a ``.`` or ``_`` in it, what follows a ``.``."""
+    places = lambda *signs: F.filter(F.sequence(F.lit(1), F.char_length(var)), lambda i: F.substr(var, i, F.lit(1)).isin(*signs))
+    before = F.transform(places(".", "_"), lambda i: F.substr(var, F.lit(1), i - 1))
+    behind = F.transform(places("."), lambda i: F.substr(var, i + 1))
+    return F.array_distinct(F.filter(F.concat(F.array(var), before, behind), lambda x: x != ""))
+
+
+def sends_to(declared: DataFrame, ends: DataFrame) -> DataFrame:
+    """``file_id, sender, receiver``: scopes of one file of which one sends into a channel from which the other receives.
+
+    ``declared``: file_id, tx, rx; ends: file_id, scope, role (``send`` or ``recv``), var. A variable stands for a declared end if it is
+    its name, begins with it and ``.`` or ``_``, or ends with ``.`` and it: those names are exploded as keys, so that ends meet channels by
+    equality. Sends of no declared name that are called like a sender (``tx`` or ``sender`` in the name) go to all receives called like one.
+    """
+    used = ends.filter("var <> ''").select("file_id", "scope", "role", "var").distinct()
+    named = used.select("file_id", "scope", "role", F.explode(_end_names(F.col("var"))).alias("name"))
+    channels = declared.select("file_id", "tx", "rx").distinct()
+    at = lambda role, end, scope: named.filter(F.col("role") == role).select("file_id", F.col("name").alias(end), F.col("scope").alias(scope)).join(channels, ["file_id", end]).select("file_id", "tx", "rx", scope).distinct()
+    pairs = at("send", "tx", "sender").join(at("recv", "rx", "receiver"), ["file_id", "tx", "rx"]).select("file_id", "sender", "receiver")
+    like = lambda role, scope, *parts: used.filter((F.col("role") == role) & (F.contains("var", F.lit(parts[0])) | F.contains("var", F.lit(parts[1])))).select("file_id", "var", F.col("scope").alias(scope))
+    loose = like("send", "sender", "tx", "sender").join(channels.select("file_id", F.col("tx").alias("var")).distinct(), ["file_id", "var"], "left_anti").select("file_id", "sender").distinct()
+    guessed = loose.join(like("recv", "receiver", "rx", "receiver").select("file_id", "receiver").distinct(), "file_id")
+    return pairs.unionByName(guessed).filter("sender <> receiver").distinct()
+
+
 def channel_counts(sends: DataFrame, receives: DataFrame) -> DataFrame:
     """Of each channel the number of pairs that ``channel_pairs`` has and the sums of their ends, without making them.
 

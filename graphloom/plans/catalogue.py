@@ -174,6 +174,17 @@ def channel_pairs(g: StarGraph) -> DataFrame:
     return matching.channel_counts(e.filter("event_type = 'view'").drop("event_type"), e.filter("event_type = 'click'").drop("event_type"))
 
 
+def sends_to(g: StarGraph) -> DataFrame:
+    """Views send, clicks receive, errors send into what nobody has declared; every 200 events are a file, which declares the channels of its signups."""
+    k = F.get_json_object("props", "$.k")
+    e = g.events.select(F.expr("event_id div 200").alias("file_id"), F.concat(F.lit("user::"), F.col("user_id").cast("string")).alias("scope"), "event_type", (F.col("event_id") % 4).alias("n"), (k.cast("long") % 7).cast("string").alias("k"))
+    form = lambda end: F.when(F.col("n") == 0, F.concat(F.lit(end), "k")).when(F.col("n") == 1, F.concat(F.lit(end), "k", F.lit(".clone"))).when(F.col("n") == 2, F.concat(F.lit(end), "k", F.lit("_x"))).otherwise(F.concat(F.lit("self."), F.lit(end), "k"))
+    var = F.when(F.col("event_type") == "view", form("tx")).when(F.col("event_type") == "click", form("rx")).otherwise(F.concat(F.lit("my_sender"), "k"))
+    ends = e.filter("event_type in ('view', 'click', 'error')").select("file_id", "scope", F.when(F.col("event_type") == "click", "recv").otherwise("send").alias("role"), var.alias("var"))
+    declared = e.filter("event_type = 'signup'").select("file_id", F.concat(F.lit("tx"), "k").alias("tx"), F.concat(F.lit("rx"), "k").alias("rx"))
+    return matching.sends_to(declared, ends)
+
+
 def topology(g: StarGraph) -> DataFrame:
     return relations.topology(g, ("ConfiguredBy", "ModifiedWith")).groupBy("edge_kind", "target").agg(F.count(F.lit(1)).alias("n_sources"))
 
@@ -440,6 +451,7 @@ QUERIES: dict[str, Callable[[StarGraph], DataFrame]] = {
     "safety_profile": safety_profile,
     "unsafe_containment": unsafe_containment,
     "channel_pairs": channel_pairs,
+    "sends_to": sends_to,
     "topology": topology,
     "longest_prefix_package": longest_prefix_package,
     "suffix_path_match": suffix_path_match,

@@ -169,6 +169,14 @@ BODIES: dict[str, str] = {
     "symbol_names_in_docs": """SELECT d.id AS doc_id, count(DISTINCT s.id) AS n_symbols, min(s.id) AS first_symbol
       FROM (SELECT id, concat_ws(' ', body, 'see', 'Brand#' || (id % 5 + 11) || '::' || title || '.' || id) AS body FROM docs) d
       JOIN symbols s ON contains(body, s.qualified_name) OR contains(body, replace(s.qualified_name, '::', '.')) GROUP BY d.id""",
+    "sends_to": """ev AS (SELECT event_id // 200 AS file_id, 'user::' || user_id AS scope, event_type, event_id % 4 AS n, json_extract_string(props, '$.k')::BIGINT % 7 AS k FROM events),
+      ends AS (SELECT file_id, scope, event_type = 'click' AS recv, CASE WHEN event_type = 'error' THEN 'my_sender' || k ELSE CASE n WHEN 0 THEN e || k WHEN 1 THEN e || k || '.clone' WHEN 2 THEN e || k || '_x' ELSE 'self.' || e || k END END AS v
+               FROM (SELECT *, CASE event_type WHEN 'view' THEN 'tx' ELSE 'rx' END AS e FROM ev) WHERE event_type IN ('view', 'click', 'error')),
+      decl AS (SELECT DISTINCT file_id, 'tx' || k AS tx, 'rx' || k AS rx FROM ev WHERE event_type = 'signup')
+      SELECT s.file_id, s.scope AS sender, r.scope AS receiver FROM decl d JOIN ends s ON s.file_id = d.file_id AND NOT s.recv AND (s.v = tx OR starts_with(s.v, tx || '.') OR starts_with(s.v, tx || '_') OR ends_with(s.v, '.' || tx))
+        JOIN ends r ON r.file_id = d.file_id AND r.recv AND (r.v = rx OR starts_with(r.v, rx || '.') OR starts_with(r.v, rx || '_') OR ends_with(r.v, '.' || rx)) WHERE s.scope <> r.scope
+      UNION SELECT s.file_id, s.scope, r.scope FROM ends s JOIN ends r ON s.file_id = r.file_id AND NOT s.recv AND r.recv AND s.scope <> r.scope
+        WHERE (contains(s.v, 'tx') OR contains(s.v, 'sender')) AND (contains(r.v, 'rx') OR contains(r.v, 'receiver')) AND NOT EXISTS (SELECT 1 FROM decl d WHERE d.file_id = s.file_id AND d.tx = s.v)""",
     "test_name_targets": "SELECT name, nullif(CASE WHEN starts_with(name, 'test_') THEN substr(name, 6) WHEN starts_with(name, 'test') THEN substr(name, 5) WHEN starts_with(name, 'Test') THEN substr(name, 5) END, '') AS target FROM (SELECT ['test_', 'Test', 'x'][c_custkey % 3 + 1] || c_name AS name FROM customer)",
     "file_churn": "SELECT item, count(DISTINCT commit_id) AS churn FROM cf GROUP BY item",
     "symbol_churn": "SELECT item, count(DISTINCT commit_id) AS churn FROM cs GROUP BY item",
