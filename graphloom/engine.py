@@ -164,6 +164,15 @@ class Engine:
             return coverage.symbol_coverage(self.g.coverage.join(symbols.select("file_id"), "file_id", "left_semi"), symbols)
         return coverage.coverage_profile(self.g.coverage.join(files, "file_id", "left_semi"))
 
+    def coverage_sets(self, target: str) -> DataFrame:
+        """Of a file's path or a qualified name: the lists of lines that can be, are and aren't covered, over all reports and suites."""
+        lines = self.g.line_coverage.select("file_id", F.coalesce("report_path", F.lit("")).alias("report"), F.coalesce("test_suite", F.lit("")).alias("suite"), "line", "hits")
+        files = self.g.files.filter(F.col("path") == target).select(F.col("id").alias("file_id"))
+        if not files.isEmpty():
+            return coverage.line_sets(lines.join(files, "file_id", "left_semi"))
+        symbols = self.g.symbols.filter(F.col("qualified_name") == target).select("file_id", F.col("qualified_name").alias("symbol"), "start_line", "end_line")
+        return coverage.symbol_line_sets(lines.join(symbols.select("file_id"), "file_id", "left_semi"), symbols)
+
     def uncovered(self, path: str) -> DataFrame:
         """Runs of uncovered lines of a file, by suite."""
         files = self.g.files.filter(F.col("path") == path).select(F.col("id").alias("file_id"))

@@ -39,6 +39,43 @@ def coverage_profile(lines: DataFrame) -> DataFrame:
     return out.withColumn("covered", F.col("coverable") - F.col("uncovered")).withColumn("percent", F.round(F.col("covered").cast("double") / F.col("coverable") * 100.0, 6))
 
 
+def _lines_of(bitmap: Column, bucket: Column) -> Column:
+    """The line numbers of a bitmap, rising: its bytes that aren't zero, taken apart."""
+    byte = F.filter(F.transform(F.regexp_extract_all(F.hex(bitmap), F.lit(".."), F.lit(0)), lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: x["h"] != "00")
+    bits = lambda x: F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(x["h"], 16, 10).cast("int").bitwiseAND(F.pow(F.lit(2), k).cast("int")) != 0)
+    at = F.flatten(F.transform(byte, lambda x: F.transform(bits(x), lambda k: x["i"].cast("long") * 8 + k)))
+    # As ``bitmap_bucket_number`` and ``bitmap_bit_position`` have it: lines from 1 on rise, line 0 is a bucket of its own.
+    return F.transform(at, lambda p: F.when(bucket > 0, (bucket - 1) * 32768 + p + 1).otherwise(bucket * 32768 - p))
+
+
+def line_sets(lines: DataFrame, target: str = "file_id", sources: tuple[str, ...] = ("report", "suite")) -> DataFrame:
+    """Of each target: how many sources (reports and suites) know it, and the sorted lists ``coverable``, ``uncovered`` and ``covered``.
+
+    Coverable is what any source knows, uncovered what every source of the target leaves uncovered; what one leaves uncovered and
+    another doesn't know counts as covered. ``lines``: target, sources, line, hits; of a line that a source has more than once the most
+    hits count, null hits are none. Lines are bits of a map for each source and 32,768 lines, so that what is shuffled and
+    joined are maps; lists are made of them at the end, as long as the target's lines.
+    """
+    each = lines.filter(F.col("line").isNotNull()).groupBy(target, *sources, "line").agg(F.max(F.coalesce("hits", F.lit(0))).alias("hits"))
+    each = each.select(target, *sources, F.bitmap_bucket_number("line").alias("bucket"), F.bitmap_bit_position("line").alias("bit"), "hits")
+    maps = each.groupBy(target, *sources, "bucket").agg(F.bitmap_construct_agg("bit").alias("known"), F.bitmap_construct_agg(F.when(F.col("hits") == 0, F.col("bit"))).alias("missed"))
+    by_bucket = maps.groupBy(target, "bucket").agg(F.bitmap_or_agg("known").alias("known"), F.bitmap_and_agg("missed").alias("missed"), F.count(F.lit(1)).alias("n_here"))
+    count = each.groupBy(target).agg(F.count_distinct(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sources)).alias("n_sources"))
+    known, missed = _lines_of(F.col("known"), F.col("bucket")), _lines_of(F.col("missed"), F.col("bucket"))
+    # A source that has no line in a bucket leaves none uncovered there.
+    rows = by_bucket.join(count, target).select(target, "n_sources", "bucket", known.alias("known"), F.when(F.col("n_here") == F.col("n_sources"), missed).otherwise(F.array().cast("array<long>")).alias("missed"))
+    lists = rows.groupBy(target, "n_sources").agg(F.sort_array(F.collect_list(F.struct("bucket", "known", "missed"))).alias("parts"))
+    coverable, uncovered = (F.flatten(F.transform("parts", lambda p: p["known"])), F.flatten(F.transform("parts", lambda p: p["missed"])))
+    out = lists.select(target, "n_sources", F.array_sort(coverable).alias("coverable"), F.array_sort(uncovered).alias("uncovered"))
+    return out.withColumn("covered", F.array_except("coverable", "uncovered"))
+
+
+def symbol_line_sets(lines: DataFrame, intervals: DataFrame) -> DataFrame:
+    """``line_sets`` of each symbol (file_id, symbol): of the lines of its file that lie within it."""
+    inside = lines_in_intervals(lines, intervals).withColumn("__symbol", F.struct("file_id", "symbol"))
+    return line_sets(inside, "__symbol").select("__symbol.*", "n_sources", "coverable", "uncovered", "covered")
+
+
 def branch_coverage(lines: DataFrame, *group: str) -> DataFrame:
     """Branches of each group by its suite that covers the most of them; of equals the last by name. Lines without branches count none."""
     sums = lines.groupBy(*group, "suite").agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in BRANCHES))

@@ -152,6 +152,23 @@ def coverage_by_symbol(g: StarGraph) -> DataFrame:
     return coverage.symbol_coverage(g.coverage, _blocks_of_parts(g))
 
 
+def _reported_lines(g: StarGraph) -> DataFrame:
+    """Lines by report and suite: three reports, of which each has two suites."""
+    return g.table("lineitem").select(F.col("l_suppkey").alias("file_id"), F.concat(F.lit("report-"), (F.col("l_linenumber") % 3).cast("string")).alias("report"), F.col("l_linestatus").alias("suite"), F.col("l_partkey").alias("line"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("hits"))
+
+
+def _joined(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*columns, "n_sources", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("coverable", "uncovered", "covered")))
+
+
+def coverage_sets(g: StarGraph) -> DataFrame:
+    return _joined(coverage.line_sets(_reported_lines(g)), "file_id")
+
+
+def coverage_sets_of_symbols(g: StarGraph) -> DataFrame:
+    return _joined(coverage.symbol_line_sets(_reported_lines(g), _blocks_of_parts(g)), "file_id", "symbol")
+
+
 def _safety_parts(g: StarGraph) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = g.events.filter("value is not null").withColumn("ts", F.col("ts").cast("timestamp"))
     blocks = e.filter("event_type = 'error'").select("user_id", F.unix_micros("ts").alias("start"), F.unix_micros("ts").alias("end"))
@@ -446,6 +463,8 @@ QUERIES: dict[str, Callable[[StarGraph], DataFrame]] = {
     "call_order": call_order,
     "pipeline_steps": pipeline_steps,
     "coverage_by_symbol": coverage_by_symbol,
+    "coverage_sets": coverage_sets,
+    "coverage_sets_of_symbols": coverage_sets_of_symbols,
     "coverage_profile": lambda g: coverage.coverage_profile(g.coverage),
     "uncovered_spans": lambda g: coverage.uncovered_spans(g.coverage),
     "safety_profile": safety_profile,

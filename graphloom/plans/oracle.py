@@ -130,6 +130,18 @@ _START = 4000007
 _UP = _bfs(_START, False)
 _DOWN = _bfs(_START, True)
 
+def _line_sets(lines: str, target: str) -> str:
+    """Sets of lines by target; ``lines`` has target, report, suite, line and hits once each."""
+    join = lambda c: f"coalesce(array_to_string(list_sort({c}), ','), '')"
+    return f"""one AS (SELECT {target}, report, suite, line, max(hits) AS hits FROM ({lines}) GROUP BY ALL),
+      n AS (SELECT {target}, count(DISTINCT report || '/' || suite) AS n_sources FROM one GROUP BY ALL),
+      per AS (SELECT {target}, line, count(*) FILTER (hits = 0) AS missed FROM one GROUP BY ALL)
+      SELECT {target}, n_sources, {join('list(line)')} AS coverable, {join('list(line) FILTER (missed = n_sources)')} AS uncovered, {join('list(line) FILTER (missed < n_sources)')} AS covered
+      FROM per JOIN n USING ({target}) GROUP BY ALL"""
+
+
+_REPORTED = "SELECT l_suppkey AS file_id, 'report-' || (l_linenumber % 3) AS report, l_linestatus AS suite, l_partkey AS line, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS hits FROM lineitem"
+
 BODIES: dict[str, str] = {
     "callers": _sources("small ring", "Calls"),
     "callers_all": "SELECT target_qname, count(DISTINCT source_qname) AS n_callers FROM named WHERE edge_kind = 'Calls' AND target_id IS NOT NULL GROUP BY ALL",
@@ -177,6 +189,9 @@ BODIES: dict[str, str] = {
         JOIN ends r ON r.file_id = d.file_id AND r.recv AND (r.v = rx OR starts_with(r.v, rx || '.') OR starts_with(r.v, rx || '_') OR ends_with(r.v, '.' || rx)) WHERE s.scope <> r.scope
       UNION SELECT s.file_id, s.scope, r.scope FROM ends s JOIN ends r ON s.file_id = r.file_id AND NOT s.recv AND r.recv AND s.scope <> r.scope
         WHERE (contains(s.v, 'tx') OR contains(s.v, 'sender')) AND (contains(r.v, 'rx') OR contains(r.v, 'receiver')) AND NOT EXISTS (SELECT 1 FROM decl d WHERE d.file_id = s.file_id AND d.tx = s.v)""",
+    "coverage_sets": _line_sets(_REPORTED, "file_id"),
+    "coverage_sets_of_symbols": _line_sets(
+        f"SELECT file_id, a || '-' || (a + w - 1) AS symbol, report, suite, line, hits FROM (SELECT *, line // w * w AS a FROM ({_REPORTED}), (VALUES (100), (1000)) v(w))", "file_id, symbol"),
     "test_name_targets": "SELECT name, nullif(CASE WHEN starts_with(name, 'test_') THEN substr(name, 6) WHEN starts_with(name, 'test') THEN substr(name, 5) WHEN starts_with(name, 'Test') THEN substr(name, 5) END, '') AS target FROM (SELECT ['test_', 'Test', 'x'][c_custkey % 3 + 1] || c_name AS name FROM customer)",
     "file_churn": "SELECT item, count(DISTINCT commit_id) AS churn FROM cf GROUP BY item",
     "symbol_churn": "SELECT item, count(DISTINCT commit_id) AS churn FROM cs GROUP BY item",
