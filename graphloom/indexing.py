@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import coverage, incremental, matching, resolve
 from graphloom.operators.relations import last_segment
 from graphloom.sources import facts as sources
-from graphloom.sources import repo, reports
+from graphloom.sources import repo, report_lines
 from graphloom.sources.store import INDEXED, FactStore, Run
 
 #: Rows of git's output that are turned into a DataFrame at once.
@@ -286,7 +286,7 @@ def import_coverage(spark: SparkSession, report: str, store: FactStore, suite: s
     """Read coverage reports (LCOV or Cobertura; a file or folder), match their paths to indexed files, and replace older rows of the
     same report and suite. Lines of files that aren't indexed are left out."""
     run = store.begin()
-    rows = run.stage("lines", reports.read(spark.read.format("binaryFile").load(report).select("path", "content"), suite))
+    rows = run.stage("lines", report_lines.read(spark, report, suite))
     files = run.old("files").filter(~F.col("path").startswith("external:"))
     known = matching.suffix_match(rows.select("path").distinct(), files.select("path"))
     ids = known.join(files.select(F.col("path").alias("known"), F.col("id").alias("file_id")), "known").select(F.col("reported").alias("path"), "file_id")

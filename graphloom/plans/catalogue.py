@@ -243,6 +243,13 @@ def _index(g: StarGraph, name: str) -> fulltext.TextIndex:
     return _INDEXES[key]
 
 
+def write_indexes(spark: SparkSession, sf_dir: str) -> None:
+    """Write the indexes of the ranked queries, if this session hasn't yet."""
+    g = StarGraph(spark, sf_dir)
+    for name in ("docs", "symbols"):
+        _index(g, name)
+
+
 def bm25_docs(g: StarGraph) -> DataFrame:
     return _index(g, "docs").bm25(WORDS)
 

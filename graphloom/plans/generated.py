@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import resolve
-from graphloom.sources import facts, reports
+from graphloom.sources import facts, report_lines, reports
 
 
 class View:
@@ -275,14 +275,19 @@ def _lines(g) -> DataFrame:
 
 
 def lcov(g) -> DataFrame:
-    """One report of each file and suite, written and read back: ``report_path, suite, path, line, hits, branches_valid, branches_covered``."""
-    own = F.concat(F.lit("DA:"), F.col("line").cast("string"), F.lit(","), F.col("hits").cast("string"), F.lit("\n"))
-    taken = lambda n, t: F.concat(F.lit("BRDA:"), F.col("line").cast("string"), F.lit(f",0,{n},"), t, F.lit("\n"))
-    two = F.when(F.col("branches") > 0, F.concat(taken(0, F.col("hits").cast("string")), taken(1, F.lit("-")))).otherwise("")
-    rows = _lines(g).groupBy("file_id", "suite").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", F.concat(own, two).alias("text")))), lambda x: x["text"]), "").alias("body"))
+    """One report of each file and suite, as its lines in blocks of 64 source lines, read: ``report_path, suite, path, line, hits, branches_valid, branches_covered``."""
     file = F.concat(F.lit("src/s"), F.col("file_id").cast("string"), F.lit(".c"))
-    text = F.concat(F.lit("TN:"), "suite", F.lit("\nSF:"), file, F.lit("\n"), "body", F.lit("end_of_record\n"))
-    return reports.read(rows.select(F.concat(file, F.lit("-"), "suite", F.lit(".info")).alias("path"), text.alias("content")))
+    name = F.concat(file, F.lit("-"), "suite", F.lit(".info")).alias("report_path")
+    line = F.col("line").cast("string")
+    taken = lambda n, t: F.when(F.col("branches") > 0, F.concat(F.lit("BRDA:"), line, F.lit(f",0,{n},"), t))
+    own = F.array(F.concat(F.lit("DA:"), line, F.lit(","), F.col("hits").cast("string")), taken(0, F.col("hits").cast("string")), taken(1, F.lit("-")))
+    body = _lines(g).select(name, (F.expr("line div 64") + 1).alias("block"), F.col("line").alias("n"), F.posexplode(own).alias("k", "value")).filter("value IS NOT NULL")
+    body = body.select("report_path", "block", (F.col("n") * 4 + F.col("k")).alias("at"), "value")
+    last = F.lit(1 << 40)
+    ends = F.array(*(F.struct(block.cast("long").alias("block"), F.lit(at).cast("long").alias("at"), value.alias("value")) for block, at, value in (
+        (F.lit(0), 0, F.concat(F.lit("TN:"), "suite")), (F.lit(0), 1, F.concat(F.lit("SF:"), file)), (last, 0, F.lit("end_of_record")))))
+    heads = _lines(g).select("file_id", "suite").distinct().select(name, F.inline(ends))
+    return report_lines.lcov_rows(heads.unionByName(body))
 
 
 def cobertura(g) -> DataFrame:
