@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,9 +23,10 @@ def run_summary(changes: DataFrame) -> DataFrame:
 
 def upsert(rows: DataFrame, key: list[str], order: str, id_col: str = "id") -> DataFrame:
     """The last write of each key, under the id of the first."""
-    w = Window.partitionBy(*key)
-    ranked = rows.withColumn("__first", F.min_by(id_col, order).over(w)).withColumn("__rank", F.row_number().over(w.orderBy(F.desc(order))))
-    return ranked.filter("__rank = 1").withColumn(id_col, F.col("__first")).drop("__first", "__rank")
+    others = [c for c in rows.columns if c not in key and c != id_col]
+    # Two values a key, which each task has for its own rows before they are shuffled.
+    last = F.max_by(F.struct(*others), F.struct(order)).alias("__last")
+    return rows.groupBy(*key).agg(F.min_by(id_col, order).alias(id_col), last).select(*key, id_col, "__last.*").select(*rows.columns)
 
 
 def delete_files(edges: DataFrame, symbols: DataFrame, gone: DataFrame) -> DataFrame:
