@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.schema import CONTEXT_KINDS
+
 #: Sections in the order in which they are tried. The first always goes in; the edges go in all at once or not at all.
 SECTIONS = ("target", "target_docs", "target_tests", "edges", "symbols", "docs", "tests")
 
@@ -67,6 +70,42 @@ def pack(items: DataFrame, budget: int | None) -> DataFrame:
     return sums.join(rooms, ["target", "section"]).filter(F.col("__sum") <= F.col("most")).select(*columns)
 
 
+def items(g, targets: DataFrame, links: DataFrame, kinds: tuple[str, ...] = CONTEXT_KINDS) -> DataFrame:
+    """Items of all seven sections for all targets at once (``targets``: id), as ``pack`` takes them.
+
+    The target; its docs; the tests that are linked with it (``links``: source_symbol_id of the test, target_symbol_id); its edges in either
+    direction; the symbols at their other ends; those symbols' docs and tests. Each is found by joins on ids. Items of a section are distinct
+    and in order of their texts; tokens are estimated from them.
+    """
+    own = targets.select(F.col("id").alias("target")).distinct()
+    names = g.symbols.select("id", F.concat_ws(" ", "kind", "qualified_name").alias("label"), "qualified_name")
+    edges = g.edges.filter(F.col("kind").isin(*kinds) & F.col("target_symbol_id").isNotNull()).select("source_symbol_id", "target_symbol_id", "kind").distinct()
+    out = edges.join(own, F.col("source_symbol_id") == F.col("target")).select("target", F.col("target_symbol_id").alias("other"), "source_symbol_id", "target_symbol_id", "kind")
+    into = edges.join(own, F.col("target_symbol_id") == F.col("target")).select("target", F.col("source_symbol_id").alias("other"), "source_symbol_id", "target_symbol_id", "kind")
+    touching = out.unionByName(into)
+    beside = touching.filter("other <> target").select("target", F.col("other").alias("id")).distinct()
+    name = lambda c: names.select(F.col("id").alias(c), F.col("qualified_name").alias(f"{c}_name"))
+    lines = touching.join(name("source_symbol_id"), "source_symbol_id").join(name("target_symbol_id"), "target_symbol_id")
+    lines = lines.select("target", F.concat("kind", F.lit(" "), "source_symbol_id_name", F.lit(" -> "), "target_symbol_id_name").alias("item"))
+    whole = own.withColumn("id", F.col("target"))
+    symbols = lambda at: at.join(names, "id").select("target", F.col("label").alias("item"))
+    docs = lambda at: at.join(g.docs.select(F.col("symbol_id").alias("id"), F.col("path").alias("item")), "id").select("target", "item")
+    tests = links.join(name("source_symbol_id"), "source_symbol_id").select(F.col("target_symbol_id").alias("id"), F.col("source_symbol_id_name").alias("item"))
+    tested = lambda at: at.join(tests, "id").select("target", "item")
+    parts = (symbols(whole), docs(whole), tested(whole), lines, symbols(beside), docs(beside), tested(beside))
+    rows = [p.filter(F.col("item").isNotNull()).distinct().select("target", F.lit(k).alias("section"), F.lit(0).alias("position"), "item", F.ceil(F.char_length("item") / F.lit(4.0)).cast("long").alias("tokens")) for k, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def as_json(packed: DataFrame) -> DataFrame:
+    """``target, json``: each pack as an object with its sections by name, in order, and their items."""
+    names = F.array(*(F.lit(s) for s in SECTIONS))
+    parts = packed.groupBy("target", "section").agg(F.sort_array(F.collect_list(F.struct("position", "item"))).alias("items"))
+    one = F.struct("section", F.to_json(F.struct(F.element_at(names, F.col("section") + 1).alias("section"), F.transform("items", lambda x: x["item"]).alias("items"))).alias("text"))
+    body = parts.select("target", one.alias("one")).groupBy("target").agg(F.array_join(F.transform(F.sort_array(F.collect_list("one")), lambda x: x["text"]), ",").alias("body"))
+    return body.select("target", F.concat(F.lit('{"target":'), F.col("target").cast("string"), F.lit(',"sections":['), "body", F.lit("]}")).alias("json"))
+
+
 def rendered(packed: DataFrame) -> DataFrame:
     """``target, text``: each pack as Markdown, its sections in order. A pack is as long as its budget at most, or was asked for whole."""
     names = F.array(*(F.lit(s) for s in SECTIONS))

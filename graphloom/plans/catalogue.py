@@ -131,6 +131,17 @@ def context_pack_text(g: StarGraph) -> DataFrame:
     return context.rendered(context.pack(_pack_items(g), 8000))
 
 
+def context_packs(g: StarGraph) -> DataFrame:
+    """Packs of 400 tokens, with all seven sections, of all suppliers at once."""
+    packed = context.pack(context.items(g, g.symbols.filter("kind = 'Class'"), resolve.direct_call_tests(g)), 400)
+    return packed.select("target", "section", "item", "tokens")
+
+
+def context_packs_json(g: StarGraph) -> DataFrame:
+    packed = context.pack(context.items(g, g.symbols.filter("kind = 'Class'"), resolve.direct_call_tests(g)), 400)
+    return context.as_json(packed)
+
+
 def pipeline_steps(g: StarGraph) -> DataFrame:
     return graph.pipeline_steps(g.table("conversations"), "conv_id", "turn", "role", F.col("role") == "user")
 
@@ -467,6 +478,8 @@ QUERIES: dict[str, Callable[[StarGraph], DataFrame]] = {
     "context_neighbors": lambda g: graph.neighbourhood(g, _start(g, PART + 7)),
     "context_pack_prefix": context_pack_prefix,
     "context_pack_text": context_pack_text,
+    "context_packs": context_packs,
+    "context_packs_json": context_packs_json,
     "call_order": call_order,
     "pipeline_steps": pipeline_steps,
     "coverage_by_symbol": coverage_by_symbol,

@@ -130,6 +130,31 @@ _START = 4000007
 _UP = _bfs(_START, False)
 _DOWN = _bfs(_START, True)
 
+def _packs(budget: int) -> str:
+    """Seven sections of each supplier, one after the other with the room that those before it left."""
+    used = ["u0 AS (SELECT target, coalesce(sum(tokens) FILTER (section = 0), 0) AS used FROM it GROUP BY target)"]
+    kept = ["SELECT target, section, item, tokens FROM it WHERE section = 0"]
+    for s in range(1, 7):
+        fits = "total <= room" if s == 3 else "rs <= room"
+        used.append(f"k{s} AS (SELECT i.* FROM (SELECT it.*, {budget} - used AS room FROM it JOIN u{s - 1} USING (target) WHERE section = {s}) i WHERE {fits})")
+        used.append(f"u{s} AS (SELECT u.target, used + coalesce(more, 0) AS used FROM u{s - 1} u LEFT JOIN (SELECT target, sum(tokens) AS more FROM k{s} GROUP BY target) USING (target))")
+        kept.append(f"SELECT target, section, item, tokens FROM k{s}")
+    return f"""own AS (SELECT id AS target FROM symbols WHERE kind = 'Class'),
+      te AS (SELECT DISTINCT source_symbol_id AS s, target_symbol_id AS t, kind FROM edges WHERE kind IN {CONTEXT} AND target_symbol_id IS NOT NULL),
+      touch AS (SELECT target, t AS other, s, t, kind FROM te JOIN own ON s = target UNION SELECT target, s, s, t, kind FROM te JOIN own ON t = target),
+      beside AS (SELECT DISTINCT target, other AS id FROM touch WHERE other <> target), linked AS ({_DIRECT}),
+      items AS (SELECT target, 0 AS section, kind || ' ' || qualified_name AS item FROM own JOIN symbols ON id = target
+        UNION SELECT target, 1, path FROM own JOIN docs ON symbol_id = target
+        UNION SELECT target, 2, qualified_name FROM own JOIN linked ON target_symbol_id = target JOIN symbols ON id = source_symbol_id
+        UNION SELECT target, 3, t.kind || ' ' || a.qualified_name || ' -> ' || b.qualified_name FROM touch t JOIN symbols a ON a.id = s JOIN symbols b ON b.id = t.t
+        UNION SELECT target, 4, kind || ' ' || qualified_name FROM beside JOIN symbols USING (id)
+        UNION SELECT target, 5, path FROM beside b JOIN docs d ON d.symbol_id = b.id
+        UNION SELECT target, 6, qualified_name FROM beside b JOIN linked ON target_symbol_id = b.id JOIN symbols y ON y.id = source_symbol_id),
+      it AS (SELECT *, sum(tokens) OVER (PARTITION BY target, section ORDER BY item) AS rs, sum(tokens) OVER (PARTITION BY target, section) AS total
+             FROM (SELECT *, greatest(ceil(length(item) / 4.0)::BIGINT, 1) AS tokens FROM items WHERE item IS NOT NULL)),
+      {", ".join(used)}, kept AS ({" UNION ALL ".join(kept)})"""
+
+
 def _line_sets(lines: str, target: str) -> str:
     """Sets of lines by target; ``lines`` has target, report, suite, line and hits once each."""
     join = lambda c: f"coalesce(array_to_string(list_sort({c}), ','), '')"
@@ -192,6 +217,11 @@ BODIES: dict[str, str] = {
     "coverage_sets": _line_sets(_REPORTED, "file_id"),
     "coverage_sets_of_symbols": _line_sets(
         f"SELECT file_id, a || '-' || (a + w - 1) AS symbol, report, suite, line, hits FROM (SELECT *, line // w * w AS a FROM ({_REPORTED}), (VALUES (100), (1000)) v(w))", "file_id, symbol"),
+    "context_packs": f"{_packs(400)} SELECT target, section, item, tokens FROM kept",
+    "context_packs_json": f"""{_packs(400)}
+      SELECT target, '{{"target":' || target || ',"sections":[' || string_agg(part, ',' ORDER BY section) || ']}}' AS json FROM (
+        SELECT target, section, '{{"section":"' || ['target', 'target_docs', 'target_tests', 'edges', 'symbols', 'docs', 'tests'][section + 1] || '","items":[' || string_agg('"' || item || '"', ',' ORDER BY item) || ']}}' AS part FROM kept GROUP BY target, section)
+      GROUP BY target""",
     "test_name_targets": "SELECT name, nullif(CASE WHEN starts_with(name, 'test_') THEN substr(name, 6) WHEN starts_with(name, 'test') THEN substr(name, 5) WHEN starts_with(name, 'Test') THEN substr(name, 5) END, '') AS target FROM (SELECT ['test_', 'Test', 'x'][c_custkey % 3 + 1] || c_name AS name FROM customer)",
     "file_churn": "SELECT item, count(DISTINCT commit_id) AS churn FROM cf GROUP BY item",
     "symbol_churn": "SELECT item, count(DISTINCT commit_id) AS churn FROM cs GROUP BY item",
