@@ -50,3 +50,18 @@ def test_engine_by_file_and_symbol(spark):
     assert (one.n_sources, one.coverable, one.uncovered, one.covered) == (2, [1, 2, 3, 4, 9], [1, 9], [2, 3, 4])
     of = e.coverage_sets("a::f").first()
     assert (of.symbol, of.coverable, of.uncovered, of.covered) == ("a::f", [2, 3, 4], [], [2, 3, 4]) and e.coverage_sets("none").count() == 0
+
+
+def test_intervals_of_every_file_are_not_repeated_for_each(spark):
+    from graphloom.plans import catalogue
+    from graphloom.sources.testdata import StarGraph
+
+    lines = spark.createDataFrame([(f, "r", "s", n, n % 2) for f in (1, 2) for n in (3, 64, 9_000_000_000)], "file_id long, report string, suite string, line long, hits int")
+    common = spark.createDataFrame([("a", 0, 99), ("b", 9_000_000_000, 9_000_000_009), ("none", 200, 300)], "symbol string, start_line long, end_line long")
+    own = spark.createDataFrame([(f, s, a, b) for f in (1, 2) for s, a, b in (("a", 0, 99), ("b", 9_000_000_000, 9_000_000_009))], "file_id long, symbol string, start_line long, end_line long")
+    for of in (coverage.symbol_coverage, coverage.symbol_line_sets):
+        got, want = of(lines, common), of(lines, own)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and got.count() == 4
+    g = StarGraph(spark, "/root/testdata/sf0.001")
+    last = g.table("part").agg({"p_partkey": "max"}).first()[0]
+    assert catalogue._blocks_of_parts(g).count() == last // 100 + 1 + last // 1000 + 1
