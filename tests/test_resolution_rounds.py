@@ -85,3 +85,18 @@ def test_only_edges_with_changed_names_are_resolved_again(spark, monkeypatch):
     monkeypatch.setattr(resolve, "resolve_among", lambda g, e, s: seen.append(e.count()) or whole(g, e, s))
     got = resolve.resolve_changed(new, resolve.resolve_edges(old), old.edges, old.symbols)
     assert got.filter(F.col("stage") == "none").count() == 1 and got.count() == 60 and seen == [1]
+
+
+def test_doc_links_are_counted_without_pairs(spark):
+    class Graph:
+        docs = spark.createDataFrame([(k, "Hot name" if k % 4 else "hot-NAME") for k in range(300)] + [(900, "a b"), (900, "c"), (900, "Hot name"), (901, None), (None, "c"), (902, "nothing")], "id long, title string")
+        symbols = spark.createDataFrame([(k, "hot name") for k in range(400)] + [(7, "C"), (7, "A-B"), (1000, "c"), (None, "c")], "id long, name string")
+
+    want = resolve.doc_symbol_links(Graph()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_symbols"), F.min("symbol_id").alias("first_symbol"))
+    got = {r.doc_id: (r.n_symbols, r.first_symbol) for r in resolve.doc_symbol_counts(Graph()).collect()}
+    assert got == {r.doc_id: (r.n_symbols, r.first_symbol) for r in want.collect()} and got[0] == (400, 0) and got[900] == (402, 0) and got[None] == (3, 7)
+
+    class Large:  # 1,600,000,000 pairs
+        docs, symbols = spark.range(40_000).withColumn("title", F.lit("a-b")), spark.range(40_000).withColumn("name", F.lit("A b"))
+
+    assert resolve.doc_symbol_counts(Large()).agg(F.sum("n_symbols")).first()[0] == 1_600_000_000
