@@ -137,3 +137,17 @@ def test_words_with_signs(spark):
     rows = spark.createDataFrame([(r"a\Eb.c x",), ("a b",), ("f(x)",)], "t string")
     for word, want in ((r"a\Eb", [True, False, False]), ("f(x)", [False, False, True]), ("x", [True, False, True])):
         assert [r[0] for r in rows.select(search.has_word(rows.t, word)).collect()] == want
+
+
+def test_words_are_not_shuffled_one_by_one(spark, tmp_path):
+    """What indexing shuffles: texts once, lengths, and postings once; not each place of each word."""
+    body = " ".join(f"w{k % 40}" for k in range(400))
+    docs = spark.range(500).selectExpr("id", f"'{body}' as title", "cast(null as string) as body").coalesce(2)
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: [x for found in [store.stageList(None, False, False, none, None)] for x in (found.apply(k) for k in range(found.size()))]
+    before = max((x.stageId() for x in stages()), default=-1)
+    index = fulltext.TextIndex(spark, str(tmp_path / "i"), ("title", "body"), buckets=4)
+    index.add(docs)
+    assert sum(x.shuffleWriteRecords() for x in stages() if x.stageId() > before) < 500 * 40 + 500 * 6
+    found = index.postings(["w3"]).collect()
+    assert len(found) == 500 and all(r.positions == list(range(3, 400, 40)) and r.length == 400 for r in found)
