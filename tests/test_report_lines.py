@@ -54,3 +54,25 @@ def test_no_python(spark, tmp_path):
     (tmp_path / "r.info").write_text(report(1))
     plan = report_lines.read(spark, str(tmp_path)).withColumn("x", F.lit(1))._jdf.queryExecution().executedPlan().toString()
     assert "InArrow" not in plan and "Python" not in plan
+
+
+def test_reports_of_one_batch_are_read_one_at_a_time(spark, monkeypatch):
+    """A task gives back what it has read before it reads on: its memory doesn't go with all reports of a batch."""
+    import pyarrow as pa
+
+    text = '<coverage><class filename="a.c"><lines>' + "".join(f'<line number="{k}" hits="1"/>' for k in range(15_000)) + "</lines></class></coverage>"
+    taken = []
+    monkeypatch.setattr(reports, "ship", lambda s: None)
+
+    class Files:
+        sparkSession = spark
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array([f"r{k}" for k in range(8)]), pa.array([text.encode()] * 8)], names=["path", "content"])
+            taken.extend(b.num_rows for b in run(iter([batch])))
+
+    reports.read(Files())
+    assert sum(taken) == 8 * 15_000 and max(taken) <= 20_000
