@@ -100,3 +100,22 @@ def test_doc_links_are_counted_without_pairs(spark):
         docs, symbols = spark.range(40_000).withColumn("title", F.lit("a-b")), spark.range(40_000).withColumn("name", F.lit("A b"))
 
     assert resolve.doc_symbol_counts(Large()).agg(F.sum("n_symbols")).first()[0] == 1_600_000_000
+
+
+def test_edges_are_read_once_for_their_changes(spark):
+    """What is shuffled and written goes with the edges: they are made once, whatever is asked of them."""
+    files = [(k, 1, f"f{k}.rs", "rust") for k in range(3)]
+    symbols = [(k, k % 3, f"n{k}", f"m::n{k}", "Function") for k in range(60)]
+    edges = [(k, None, f"x.n{(k * 7) % 60}", "Calls") for k in range(60)]
+    old = Graph(spark, files, symbols, edges)
+    new = Graph(spark, files, [(*r[:2], "fresh", *r[3:]) if r[0] == 5 else r for r in symbols], edges[:50] + [(70, None, "n1", "Calls"), (3, None, "m::n4", "Calls")])
+    before, seen = resolve.resolve_edges(old).localCheckpoint(), spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    new.edges = spark.createDataFrame(new.edges.rdd.map(counted), EDGES)
+    got = resolve.resolve_changed(new, before, old.edges, old.symbols).collect()
+    assert seen.value == 52 and len(got) == 51  # the edge of 70 has no source
+    assert sorted((r.source_symbol_id, r.unresolved_target, r.stage) for r in got if r.stage != "unique") == [(3, "m::n4", "exact"), (35, "x.n5", "none")]
