@@ -50,3 +50,16 @@ def test_packs_of_the_tables_equal_those_of_all_items(spark):
 
     targets, links = g.symbols.filter("kind = 'Class'"), resolve.direct_call_tests(g)
     assert context.packs(g, targets, links, 400).exceptAll(context.pack(context.items(g, targets, links), 400)).count() == 0
+
+
+def test_edges_of_targets_are_read_once(spark):
+    g, links, targets = graph(spark, 3)
+    seen, schema, n = spark.sparkContext.accumulator(0), g.edges.schema, g.edges.count()
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    g.edges = spark.createDataFrame(g.edges.rdd.map(counted), schema)
+    context.packs(g, targets, links, 40).collect()
+    assert seen.value == 2 * n  # once for either end
